@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from loomkit.llm import binary, packing, tokens
+from loomkit.llm import binary, decontaminate, licenses, packing, secrets, tokens
 from loomkit.llm.common import table
 
 
@@ -19,15 +19,28 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontaminate.digest(decontaminate.find_passages(docs, benchmark))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = binary.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_packing, op10_token_store)
+    found = (op1_token_counts, op2_packing, op5_secrets, op6_decontamination, op8_licenses, op10_token_store)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": decontaminate.SQL}
