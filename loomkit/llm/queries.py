@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from loomkit.llm import binary, decontaminate, licenses, packing, secrets, tokens
+from loomkit.llm import binary, decontaminate, licenses, packing, quality, secrets, tokens
 from loomkit.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.digest(quality.judge(docs, weights))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -38,7 +44,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_packing, op5_secrets, op6_decontamination, op8_licenses, op10_token_store)
+    found = (op1_token_counts, op2_packing, op3_quality, op5_secrets, op6_decontamination, op8_licenses, op10_token_store)
     return {f.__name__: f for f in found}
 
 
