@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from loomkit.llm import binary, decontaminate, licenses, packing, quality, secrets, tokens
+from loomkit.llm import binary, decontaminate, licenses, packing, quality, secrets, tokens, toxicity
 from loomkit.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_passages(docs, benchmark))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -44,7 +49,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_packing, op3_quality, op5_secrets, op6_decontamination, op8_licenses, op10_token_store)
+    found = (op1_token_counts, op2_packing, op3_quality, op5_secrets, op6_decontamination, op7_toxicity, op8_licenses, op10_token_store)
     return {f.__name__: f for f in found}
 
 
