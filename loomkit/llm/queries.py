@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from loomkit.llm import binary, decontaminate, licenses, packing, quality, secrets, tokens, toxicity
+from loomkit.llm import binary, decontaminate, licenses, neardup, packing, quality, secrets, tokens, toxicity
 from loomkit.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(docs, weights))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -49,7 +53,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_packing, op3_quality, op5_secrets, op6_decontamination, op7_toxicity, op8_licenses, op10_token_store)
+    found = (op1_token_counts, op2_packing, op3_quality, op4_near_duplicates, op5_secrets, op6_decontamination, op7_toxicity, op8_licenses, op10_token_store)
     return {f.__name__: f for f in found}
 
 
