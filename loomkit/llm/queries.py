@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from loomkit.llm import binary, decontaminate, licenses, neardup, packing, quality, secrets, tokens, toxicity
+from loomkit.llm import binary, decontaminate, licenses, neardup, packing, quality, repeats, secrets, tokens, toxicity
 from loomkit.llm.common import table
 
 
@@ -47,13 +47,17 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = binary.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_packing, op3_quality, op4_near_duplicates, op5_secrets, op6_decontamination, op7_toxicity, op8_licenses, op10_token_store)
+    found = (op1_token_counts, op2_packing, op3_quality, op4_near_duplicates, op5_secrets, op6_decontamination, op7_toxicity, op8_licenses, op9_repeats, op10_token_store)
     return {f.__name__: f for f in found}
 
 
