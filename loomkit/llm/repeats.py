@@ -30,6 +30,8 @@ LENGTH, GRAM = 50, 20
 PIECE, FLUSH, GROUP, SHARD = 1 << 20, 1 << 20, 500_000, 30_000
 #: Contexts of a fingerprint from which its windows are joined instead.
 CROWD = 15_000
+#: Bytes of a fingerprint; two that agree by chance only cost a needless comparison.
+PRINT = 6
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,7 +70,7 @@ def contexts(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     text_of = np.repeat(np.arange(len(sizes)), sizes)[places]
     first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (places[1:] != places[:-1] + 1) | (text_of[1:] != text_of[:-1])))
     texts = text_of[first]
-    return (chosen[first] >> np.uint64(6)).astype(np.int64), texts, places[first] - (np.cumsum(sizes) - sizes)[texts], np.diff(np.append(first, len(places)))
+    return (chosen[first] >> np.uint64(64 - 8 * PRINT)).astype(np.int64), texts, places[first] - (np.cumsum(sizes) - sizes)[texts], np.diff(np.append(first, len(places)))
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[bytes]]]:
@@ -91,6 +93,17 @@ def longs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.int64)
 
 
+def packed(prints: np.ndarray) -> bytes:
+    return np.ascontiguousarray(prints.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :PRINT]).tobytes()
+
+
+def unpacked(column) -> np.ndarray:
+    narrow = np.frombuffer(b"".join(column), np.uint8).reshape(-1, PRINT)
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, :PRINT] = narrow
+    return wide.view("<i8").ravel()
+
+
 def shared_fingerprints(docs: DataFrame, groups: int) -> DataFrame:
     """_id and _prints (packed 64-bit), any number of rows for a document: its fingerprints that two documents have.
 
@@ -113,7 +126,7 @@ def shared_fingerprints(docs: DataFrame, groups: int) -> DataFrame:
             rows = []
             known = np.repeat(counts > 1, counts)
             for doc, own in by(d[known], p[known]):
-                rows.append((-1 - doc % groups, own.tobytes(), np.array([doc]).tobytes(), b""))
+                rows.append((-1 - doc % groups, packed(own), np.array([doc]).tobytes(), b""))
             ask, who, sure = p[first], d[first], counts > 1
             place = ask % groups
             order = np.argsort(place, kind="stable")
@@ -121,7 +134,7 @@ def shared_fingerprints(docs: DataFrame, groups: int) -> DataFrame:
             for g in range(groups):
                 i = order[cuts[g] : cuts[g + 1]]
                 if len(i):
-                    rows.append((g, ask[i].tobytes(), who[i].tobytes(), sure[i].tobytes()))
+                    rows.append((g, packed(ask[i]), who[i].tobytes(), np.packbits(sure[i]).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["_group", "_prints", "_ids", "_known"])
 
         for rows, datas in pieces(batches):
@@ -139,15 +152,16 @@ def shared_fingerprints(docs: DataFrame, groups: int) -> DataFrame:
         if table.column("_group")[0].as_py() < 0:
             rows = [(np.frombuffer(i, np.int64)[0], p) for i, p in zip(table.column("_ids").to_pylist(), table.column("_prints").to_pylist())]
         else:
-            p, d = longs(table.column("_prints").to_pylist()), longs(table.column("_ids").to_pylist())
-            sure = np.frombuffer(b"".join(table.column("_known").to_pylist()), bool)
+            packs = table.column("_prints").to_pylist()
+            p, d = unpacked(packs), longs(table.column("_ids").to_pylist())
+            sure = np.concatenate([np.unpackbits(np.frombuffer(k, np.uint8))[: len(x) // PRINT] for k, x in zip(table.column("_known").to_pylist(), packs)]).astype(bool)
             order = np.argsort(p, kind="stable")
             p, d, sure = p[order], d[order], sure[order]
             first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
             counts = np.diff(np.append(first, len(p)))
             two = (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)) | np.logical_or.reduceat(sure, first)
             tell = np.repeat(two, counts) & ~sure
-            rows = [(doc, own.tobytes()) for doc, own in by(d[tell], p[tell])]
+            rows = [(doc, packed(own)) for doc, own in by(d[tell], p[tell])]
         return pa.table({"_id": pa.array([r[0] for r in rows], pa.int64()), "_prints": pa.array([r[1] for r in rows], pa.binary())})
 
     return docs.select("_id", "_text").mapInArrow(probe, schema).groupBy("_group").applyInArrow(answer, "_id long, _prints binary")
@@ -162,11 +176,11 @@ def by(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]
         yield int(keys[a]), values[a:b]
 
 
-CONTEXT = "_id long, _row long, _first int, _windows int, _print long, _name binary, _bytes binary"
+CONTEXT = "_id long, _row long, _first int, _windows int, _print long, _name long"
 
 
-def shared_contexts(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """The contexts of each document with fingerprints that it was told of."""
+def shared_contexts(docs: DataFrame, told: DataFrame, copies: DataFrame) -> DataFrame:
+    """The contexts of each document with fingerprints that it was told of, by place; copies of a document have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, datas in pieces(batches):
@@ -175,20 +189,33 @@ def shared_contexts(docs: DataFrame, told: DataFrame) -> DataFrame:
             cuts = np.searchsorted(texts, np.arange(len(datas) + 1))
             for i, row in enumerate(rows):
                 a, b = cuts[i], cuts[i + 1]
-                mine[a:b] = np.isin(found[a:b], longs(row["_told"]))
+                if row["_row"] not in (row["_copies"] or ()):
+                    mine[a:b] = np.isin(found[a:b], unpacked(row["_told"]))
             keep = np.flatnonzero(mine)
-            parts = [datas[t][f : f + w + LENGTH - 1] for t, f, w in zip(texts[keep].tolist(), first[keep].tolist(), windows[keep].tolist())]
-            of = [rows[t] for t in texts[keep].tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["_id"] for r in of], pa.int64()), pa.array([r["_row"] for r in of], pa.int64()), pa.array(first[keep], pa.int32()), pa.array(windows[keep], pa.int32()), pa.array(found[keep], pa.int64()), pa.array([xxhash.xxh3_128_digest(p) for p in parts], pa.binary()), pa.array(parts, pa.binary())],
-                names=["_id", "_row", "_first", "_windows", "_print", "_name", "_bytes"],
-            )
+            own, first, windows = texts[keep], first[keep], windows[keep]
+            names = np.fromiter((xxhash.xxh3_64_intdigest(datas[t][f : f + w + LENGTH - 1]) for t, f, w in zip(own.tolist(), first.tolist(), windows.tolist())), np.uint64, len(keep))
+            ids, marks = (np.array([r[k] for r in rows], np.int64)[own] for k in ("_id", "_row"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(found[keep]), pa.array(names.view(np.int64))], names=["_id", "_row", "_first", "_windows", "_print", "_name"])
 
     lists = told.groupBy("_id").agg(F.collect_list("_prints").alias("_told"))
-    return docs.join(lists, "_id").select("_id", "_row", "_text", "_told").mapInArrow(run, CONTEXT)
+    lists = lists.join(copies.groupBy("_id").agg(F.collect_list("_row").alias("_copies")), "_id", "left")
+    return docs.join(lists, "_id").select("_id", "_row", "_text", "_told", "_copies").mapInArrow(run, CONTEXT)
 
 
-def repeated_windows(names: list[bytes], datas: list[bytes], least: np.ndarray) -> Iterator[tuple[bytes, list[int]]]:
+def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The contexts wanted (_print, _name, and _where one stands) with their bytes."""
+    of = wanted.groupBy(F.col("_where._id").alias("_id"), F.col("_where._row").alias("_row")).agg(F.collect_list(F.struct("_print", "_name", "_where._first", "_where._windows")).alias("_of"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, datas in pieces(batches):
+            out = [(c["_print"], c["_name"], r["_id"], d[c["_first"] : c["_first"] + c["_windows"] + LENGTH - 1]) for r, d in zip(rows, datas) for c in r["_of"]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["_print", "_name", "_least", "_bytes"])
+
+    once = docs.join(of, ["_id", "_row"]).dropDuplicates(["_id", "_row"])
+    return once.select("_id", "_text", "_of").mapInArrow(run, "_print long, _name long, _least long, _bytes binary")
+
+
+def repeated_windows(names: list[tuple], datas: list[bytes], least: np.ndarray) -> Iterator[tuple[tuple, list[int]]]:
     """Of a shard's contexts: name, and the windows (from 0) that a context with a smaller least document has too."""
     sizes = np.array([len(d) + 1 for d in datas], np.int64)
     flat = np.frombuffer(b"\0".join(datas) + b"\0" * (LENGTH + 9), np.uint8)
@@ -208,24 +235,29 @@ def repeated_windows(names: list[bytes], datas: list[bytes], least: np.ndarray)
         yield names[c], (places - starts[c]).tolist()
 
 
-def marks(distinct: DataFrame) -> DataFrame:
-    """_name and _gone (windows that a smaller document has too) of contexts with _print, _name, _least, _windows and _bytes."""
-    shards = max(1, distinct.count() // SHARD)
-    crowds = distinct.groupBy("_print").count().where(F.col("count") > CROWD).select("_print")
+GONE = "_print long, _name long, _gone array<int>"
+
+
+def marks(told: DataFrame, shards: int, crowds: DataFrame | None) -> DataFrame:
+    """_print, _name and _gone (windows that a smaller document has too) of contexts with _print, _name, _least and _bytes."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list(repeated_windows(table.column("_name").to_pylist(), table.column("_bytes").to_pylist(), table.column("_least").to_numpy()))
-        return pa.table({"_name": pa.array([r[0] for r in rows], pa.binary()), "_gone": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+        keys = list(zip(table.column("_print").to_pylist(), table.column("_name").to_pylist()))
+        rows = list(repeated_windows(keys, table.column("_bytes").to_pylist(), table.column("_least").to_numpy()))
+        return pa.table({"_print": pa.array([r[0][0] for r in rows], pa.int64()), "_name": pa.array([r[0][1] for r in rows], pa.int64()), "_gone": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(r["_name"], k, xxhash.xxh3_128_digest(r["_bytes"][k : k + LENGTH]), r["_least"]) for r in batch.to_pylist() for k in range(r["_windows"])]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.binary(), pa.int32(), pa.binary(), pa.int64()))], names=["_name", "_k", "_window", "_least"])
-
-    few = distinct.join(crowds, "_print", "left_anti").groupBy(F.pmod("_print", F.lit(shards))).applyInArrow(run, "_name binary, _gone array<int>")
-    windows = distinct.join(crowds, "_print", "left_semi").mapInArrow(split, "_name binary, _k int, _window binary, _least long")
+            out = [(r["_print"], r["_name"], k, xxhash.xxh3_128_digest(r["_bytes"][k : k + LENGTH]), r["_least"]) for r in batch.to_pylist() for k in range(len(r["_bytes"]) - LENGTH + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["_print", "_name", "_k", "_window", "_least"])
+
+    if crowds is None:
+        return told.groupBy(F.pmod("_print", F.lit(shards))).applyInArrow(run, GONE)
+    told = cut(told, "context-bytes")
+    few = told.join(crowds, "_print", "left_anti").groupBy(F.pmod("_print", F.lit(shards))).applyInArrow(run, GONE)
+    windows = told.join(crowds, "_print", "left_semi").mapInArrow(split, "_print long, _name long, _k int, _window binary, _least long")
     smallest = windows.groupBy("_window").agg(F.min("_least").alias("_min"))
-    many = windows.join(smallest, "_window").where("_min < _least").groupBy("_name").agg(F.array_sort(F.collect_list("_k")).alias("_gone"))
+    many = windows.join(smallest, "_window").where("_min < _least").groupBy("_print", "_name").agg(F.array_sort(F.collect_list("_k")).alias("_gone"))
     return few.unionByName(many)
 
 
@@ -242,16 +274,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_row", F.xxhash64("_text"))
     long_ones = docs.where(F.col("_id").isNotNull() & (F.octet_length("_text") >= LENGTH))
     total = long_ones.agg(F.sum(F.octet_length("_text"))).head()[0] or 0
+    equal = F.md5("_text").alias("_same")
+    firsts = long_ones.groupBy(equal).agg(F.min("_id").alias("_least"))
+    copies = cut(long_ones.select("_id", "_row", F.octet_length("_text").alias("_size"), equal).join(firsts, "_same").where("_id > _least").drop("_same", "_least"), "copies")
     told = shared_fingerprints(long_ones, max(8, total // 16 // GROUP))
-    found = cut(shared_contexts(long_ones, told), "contexts")
-    distinct = found.groupBy("_print", "_name").agg(F.min("_id").alias("_least"), F.first("_windows").alias("_windows"), F.first("_bytes").alias("_bytes"))
-    distinct = cut(distinct, "distinct-contexts")
-    names = distinct.select("_name", "_least").join(marks(distinct), "_name", "left").withColumnRenamed("_name", "_name2")
-    placed = found.select("_id", "_row", "_first", "_windows", "_name").join(names, F.col("_name") == F.col("_name2"))
+    found = cut(shared_contexts(long_ones, told, copies), "contexts")
+    distinct = cut(found.groupBy("_print", "_name").agg(F.min(F.struct("_id", "_row", "_first", "_windows")).alias("_where")), "distinct-contexts")
+    counts = cut(distinct.groupBy("_print").count().where("count > 1"), "counts")  # a lone context has nothing to be compared with
+    known, most = counts.agg(F.sum("count"), F.max("count")).head()
+    crowds = counts.where(F.col("count") > CROWD).select("_print") if most and most > CROWD else None
+    gone = cut(marks(with_bytes(long_ones, distinct.join(counts, "_print", "left_semi")), max(1, (known or 0) // SHARD), crowds), "gone")
+    names = distinct.select("_print", "_name", F.col("_where._id").alias("_least")).join(gone, ["_print", "_name"], "left")
+    placed = found.join(names, ["_print", "_name"])
     whole = F.col("_id") > F.col("_least")
     run = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
     spans = F.when(whole, F.array(run(F.col("_first"), F.col("_first") + F.col("_windows") + (LENGTH - 1)))).otherwise(F.transform("_gone", lambda k: run(F.col("_first") + k, F.col("_first") + k + LENGTH)))
-    spans = placed.where(whole | F.col("_gone").isNotNull()).select("_id", "_row", spans.alias("_spans")).groupBy("_id", "_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans"))
+    spans = placed.where(whole | F.col("_gone").isNotNull()).select("_id", "_row", spans.alias("_spans"))
+    spans = spans.unionByName(copies.select("_id", "_row", F.array(run(F.lit(0), F.col("_size"))).alias("_spans")))
+    spans = cut(spans.groupBy("_id", "_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), "spans")
     same = (docs["_id"] == spans["_id"]) & (docs["_row"] == spans["_row"])
     both = docs.join(spans, same, "left").select(docs["_id"].alias(id_col), F.struct("_text", "_spans").alias("_both"))
 
