@@ -21,7 +21,7 @@ from loomkit.llm.common import annotate
 
 ORDERS, BITS = (2, 6), 18
 #: Labelled rows that a model is fitted to, at most, and the texts that a feature must be in.
-SAMPLE, LEAST_TEXTS = 6000, 4
+SAMPLE, LEAST_TEXTS = 2500, 4
 LOWER = np.arange(256, dtype=np.uint32)
 LOWER[65:91] += 32
 LOWER[[9, 10, 11, 12, 13]] = 32
