@@ -1,19 +1,602 @@
-"""Queries over the synthetic tables, one for each operator, with SQL that gives the same rows."""
+"""Queries over the synthetic tables, one or more for each operator, with SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomkit.functions import encoding, geo, hashing, stats, text, validators, web
+from loomkit.operators import aggregates as A
+from loomkit.operators import frames, joins, vectors
+from loomkit.plans import catalog, contract, search
+from loomkit.registry import Workbench
+from loomkit.sources import copy, readers
+from loomkit.streaming import windows
+from loomkit.types import enum_ordinal
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_returnflag").agg(F.sum(F.col("l_linenumber").cast("long") + 1).alias("total"))
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
 
+    return add
 
-def queries() -> dict:
-    return {"scalar_plus_one": flagship}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"scalar_plus_one": "SELECT l_returnflag, CAST(sum(l_linenumber + 1) AS BIGINT) AS total FROM lineitem GROUP BY 1"}
+    return dict(SQL)
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits)
+
+
+def key9(c: str) -> Column:
+    return F.lpad(F.col(c).cast("string"), 9, "0")
+
+
+# scalars ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, CAST(sum(l_linenumber + 1) AS BIGINT) AS total FROM lineitem GROUP BY 1")
+def scalar_plus_one(spark, sf_dir):
+    bench = Workbench(spark)
+    bench.scalar("loom_plus_one", "x + 1", {"x": "BIGINT"}, "BIGINT")
+    t(spark, sf_dir, "lineitem").createOrReplaceTempView("loom_lineitem")
+    return spark.sql("SELECT l_returnflag, sum(loom_plus_one(l_linenumber)) AS total FROM loom_lineitem GROUP BY 1")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scalar_plus_one(spark, sf_dir)
+
+
+@query("SELECT l_returnflag, CAST(sum(l_linenumber + 1) AS BIGINT) AS total FROM lineitem GROUP BY 1")
+def scalar_python(spark, sf_dir):
+    Workbench(spark).python("loom_py_plus_one", lambda x: x.astype("int64") + 1, "BIGINT")
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.expr("sum(loom_py_plus_one(cast(l_linenumber as bigint)))").alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_linenumber AS BIGINT) + 1 END AS v FROM lineitem")
+def scalar_null_propagation(spark, sf_dir):
+    bench = Workbench(spark)
+    bench.column("plus_one", lambda x: x + 1)
+    x = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber").cast("long"))
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bench.call("plus_one", x).alias("v"))
+
+
+@query("SELECT n_nationkey, translate(n_name, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS v FROM nation")
+def rot13_text(spark, sf_dir):
+    return t(spark, sf_dir, "nation").select("n_nationkey", text.rot13(F.col("n_name")).alias("v"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS v FROM part")
+def slugify_part(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", text.slugify(F.col("p_name")).alias("v"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS s FROM orders)
+SELECT o_orderkey, (3 * CAST(s[1] AS INT) + 7 * CAST(s[2] AS INT) + CAST(s[3] AS INT) + 3 * CAST(s[4] AS INT) + 7 * CAST(s[5] AS INT) + CAST(s[6] AS INT) + 3 * CAST(s[7] AS INT) + 7 * CAST(s[8] AS INT) + CAST(s[9] AS INT)) % 10 = 0 AS v FROM d""")
+def aba_from_keys(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", validators.aba_validate(key9("o_orderkey")).alias("v"))
+
+
+LUHN = "list_sum(list_transform(range(1, len({s}) + 1), lambda i: CASE WHEN (len({s}) - i) % 2 = 0 THEN CAST({s}[i] AS INT) ELSE (CAST({s}[i] AS INT) * 2) // 10 + (CAST({s}[i] AS INT) * 2) % 10 END)) % 10 = 0"
+
+
+@query(f"WITH d AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS s FROM orders) SELECT o_orderkey, {LUHN.format(s='s')} AS v FROM d")
+def luhn_orders(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", validators.luhn_validate(key9("o_orderkey")).alias("v"))
+
+
+@query(f"WITH d AS (SELECT p_partkey, '3028' || '29' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS s FROM part) SELECT p_partkey, {LUHN.format(s='s')} AS v FROM d")
+def isin_parts(spark, sf_dir):
+    code = F.concat(F.lit("US"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
+    swapped = F.concat(F.lit("3028"), F.lit("29"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
+    plain = F.concat(validators.lettered(F.lit("US")), F.lit("29"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
+    ok = validators.luhn(plain)
+    return t(spark, sf_dir, "part").select("p_partkey", F.when(validators.isin_validate(code).isNotNull() & (plain == swapped), ok).alias("v"))
+
+
+@query("""WITH d AS (SELECT c_custkey, 'DE89' || lpad(CAST(c_custkey AS VARCHAR), 18, '0') AS s FROM customer)
+SELECT c_custkey, CAST(lpad(CAST(c_custkey AS VARCHAR), 18, '0') || '131489' AS HUGEINT) % 97 = 1 AS v FROM d""")
+def iban_customers(spark, sf_dir):
+    code = F.concat(F.lit("DE89"), F.lpad(F.col("c_custkey").cast("string"), 18, "0"))
+    return t(spark, sf_dir, "customer").select("c_custkey", validators.iban_validate(code).alias("v"))
+
+
+@query("""SELECT c_custkey, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(b - a) / 2), 2) + cos(radians(a)) * cos(radians(b)) * pow(sin(radians(d - c) / 2), 2))), 6) AS km
+FROM (SELECT c_custkey, c_custkey % 90 - 45.0 AS a, (c_custkey * 7) % 80 - 40.0 AS b, c_custkey % 180 - 90.0 AS c, (c_custkey * 11) % 170 - 85.0 AS d FROM customer)""")
+def haversine_grid(spark, sf_dir):
+    k = F.col("c_custkey")
+    a, b, c, d = k % 90 - 45.0, (k * 7) % 80 - 40.0, k % 180 - 90.0, (k * 11) % 170 - 85.0
+    return t(spark, sf_dir, "customer").select("c_custkey", r(geo.haversine_km(a, c, b, d)).alias("km"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 1024 AS BIGINT) AS x, CAST(l_suppkey % 1024 AS BIGINT) AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(list_sum(list_transform(range(10), lambda i: ((x >> i) & 1) << (2 * i))) + list_sum(list_transform(range(10), lambda i: ((y >> i) & 1) << (2 * i + 1))) AS BIGINT) AS z, x, y FROM b""")
+def morton_lineitem(spark, sf_dir):
+    z = geo.morton_encode(F.col("l_partkey") % 1024, F.col("l_suppkey") % 1024)
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", z.alias("z"))
+    return rows.select("*", geo.morton_decode_x(F.col("z")).alias("x"), geo.morton_decode_y(F.col("z")).alias("y"))
+
+
+@query("SELECT 256 AS cells, true AS steps")
+def hilbert_walk(spark, sf_dir):
+    cells = spark.range(256).select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).alias("y"))
+    d = cells.select("x", "y", geo.hilbert_encode(F.col("x"), F.col("y"), 4).alias("d"))
+    step = F.abs(F.col("x") - F.lag("x").over(Window.orderBy("d"))) + F.abs(F.col("y") - F.lag("y").over(Window.orderBy("d")))
+    return d.withColumn("s", step).agg(F.count_distinct("d").cast("int").alias("cells"), F.bool_and(F.col("s") == 1).alias("steps"))
+
+
+@query("""SELECT s_suppkey, round(degrees(asin(sin(radians(d)) * sin(radians(27.12825)) + cos(radians(d)) * cos(radians(27.12825)) * cos(radians(a - 192.85948)))), 6) AS b, round(15.0 * (a % 24 + 30 / 60.0 + 15 / 3600.0), 6) AS h
+FROM (SELECT s_suppkey, s_suppkey * 3.0 AS a, s_suppkey % 120 - 60.0 AS d FROM supplier)""")
+def sky_positions(spark, sf_dir):
+    a, d = F.col("s_suppkey") * 3.0, F.col("s_suppkey") % 120 - 60.0
+    return t(spark, sf_dir, "supplier").select("s_suppkey", r(geo.equatorial_to_galactic_b(a, d)).alias("b"), r(geo.hms_to_deg(a % 24, F.lit(30), F.lit(15))).alias("h"))
+
+
+@query("SELECT p_partkey, sha1(p_name) AS sha1, md5(p_name) AS md5, sha256(p_name) AS sha256 FROM part")
+def hashes_part(spark, sf_dir):
+    n = F.col("p_name")
+    return t(spark, sf_dir, "part").select("p_partkey", hashing.sha1(n).alias("sha1"), F.md5(n).alias("md5"), F.sha2(n, 256).alias("sha256"))
+
+
+@query()
+def hashes_python(spark, sf_dir):
+    n = F.col("n_name")
+    return t(spark, sf_dir, "nation").select("n_nationkey", hashing.sha3_256(n).alias("sha3"), hashing.xxh32(n).alias("x32"), hashing.xxh64(n).alias("x64"), hashing.xxh3(n).alias("x3"), hashing.murmur3(n).alias("m3"), encoding.base32_encode(n.cast("binary")).alias("b32"), encoding.base58_encode(n.cast("binary")).alias("b58"))
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, CAST(damerau_levenshtein(a.n_name, b.n_name) AS INT) AS dl, CAST(levenshtein(a.n_name, b.n_name) AS INT) AS lev FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def text_distances(spark, sf_dir):
+    n = t(spark, sf_dir, "nation")
+    pairs = n.alias("a").join(n.alias("b"), F.col("a.n_regionkey") == F.col("b.n_regionkey"))
+    x, y = F.col("a.n_name"), F.col("b.n_name")
+    return pairs.select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"), text.damerau_levenshtein(x, y).alias("dl"), F.levenshtein(x, y).alias("lev"))
+
+
+@query("""SELECT c_custkey, round(exp(-pow(x, 2) / 2) / sqrt(2 * pi()), 6) AS pdf, round(1 - exp(-0.5 * abs(x)), 6) AS e, round(exp(k * ln(2.5) - 2.5 - ln(CAST(factorial(k) AS DOUBLE))), 6) AS p
+FROM (SELECT c_custkey, c_acctbal / 5000 AS x, CAST(c_custkey % 12 AS INT) AS k FROM customer)""")
+def distributions(spark, sf_dir):
+    x, k = F.col("c_acctbal") / 5000, (F.col("c_custkey") % 12).cast("int")
+    return t(spark, sf_dir, "customer").select("c_custkey", r(stats.normal_pdf(x, F.lit(0.0), F.lit(1.0))).alias("pdf"), r(stats.exponential_cdf(F.abs(x), F.lit(0.5))).alias("e"), r(stats.poisson_pmf(k, F.lit(2.5))).alias("p"))
+
+
+@query("""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host FROM pages)
+SELECT page_id, host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h""")
+def url_domain_pages(spark, sf_dir):
+    u = F.col("url")
+    return t(spark, sf_dir, "pages").select("page_id", web.host(u).alias("host"), web.registrable_domain(u, ()).alias("domain"), web.public_suffix(u, ()).alias("suffix"))
+
+
+@query()
+def html_text_pages(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') IS NOT NULL AS ok FROM events")
+def json_events(spark, sf_dir):
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}
+    return t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), web.json_schema_valid(F.col("props"), schema).alias("ok"))
+
+
+@query("SELECT o_orderkey, ((epoch_ms(o_orderdate) - 1577836800000) << 22) | (o_orderkey & 4194303) AS id FROM orders WHERE o_orderdate >= TIMESTAMP '2020-01-01' UNION ALL SELECT o_orderkey, (epoch_ms(o_orderdate) - 1577836800000) * 4194304 + (o_orderkey & 4194303) FROM orders WHERE o_orderdate < TIMESTAMP '2020-01-01'")
+def tsid_orders(spark, sf_dir):
+    made = encoding.tsid_from_timestamp(F.col("o_orderdate"), F.col("o_orderkey"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", encoding.tsid_decode(encoding.tsid_encode(made)).alias("id"))
+
+
+# aggregates ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag, CAST(coalesce(sum(l_linenumber), 0) AS BIGINT) AS s FROM lineitem GROUP BY 1")
+def sample_sum_group(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(A.sample_sum(F.col("l_linenumber")).alias("s"))
+
+
+@query("SELECT CAST(coalesce(sum(l_linenumber), 0) AS BIGINT) AS s, round(CAST(NULL AS DOUBLE), 1) AS hm FROM lineitem WHERE false")
+def sample_sum_empty(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").where("false").agg(A.sample_sum(F.col("l_linenumber")).alias("s"), A.harmonic_mean(F.col("l_quantity")).alias("hm"))
+
+
+@query("SELECT l_returnflag, round(count(l_quantity) / sum(1.0 / l_quantity), 6) AS hm FROM lineitem GROUP BY 1")
+def harmonic_mean_group(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r(A.harmonic_mean(F.col("l_quantity"))).alias("hm"))
+
+
+@query("SELECT l_returnflag, round(count(DISTINCT l_quantity) / sum(DISTINCT 1.0 / l_quantity), 6) AS hm FROM lineitem GROUP BY 1")
+def hm_distinct(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r(A.harmonic_mean(F.col("l_quantity"), distinct=True)).alias("hm"))
+
+
+@query("SELECT l_returnflag, round(count(l_quantity) FILTER (WHERE l_discount > 0.05) / sum(1.0 / l_quantity) FILTER (WHERE l_discount > 0.05), 6) AS hm FROM lineitem GROUP BY 1")
+def hm_filter(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r(A.harmonic_mean(F.col("l_quantity"), where=F.col("l_discount") > 0.05)).alias("hm"))
+
+
+@query("SELECT o_orderkey, round(count(o_totalprice) OVER w / sum(1.0 / o_totalprice) OVER w, 4) AS hm FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def hm_window_rows(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)
+    return t(spark, sf_dir, "orders").select("o_orderkey", r(A.harmonic_mean(F.col("o_totalprice"), window=w), 4).alias("hm"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(count(l_quantity) / sum(1.0 / l_quantity), 6) AS hm, median(l_extendedprice) AS med FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def hm_rollup(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(r(A.harmonic_mean(F.col("l_quantity"))).alias("hm"), F.median("l_extendedprice").alias("med"))
+
+
+@query("SELECT o_custkey, median(DISTINCT o_totalprice) FILTER (WHERE o_orderstatus <> 'P') AS med FROM orders GROUP BY 1")
+def fold_median(spark, sf_dir):
+    m = A.fold(F.col("o_totalprice"), A.median_of, where=F.col("o_orderstatus") != "P", distinct=True)
+    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(m.alias("med"))
+
+
+@query("SELECT o_orderstatus, CAST(sum(DISTINCT o_custkey) FILTER (WHERE o_orderkey % 2 = 0) AS BIGINT) AS s FROM orders GROUP BY 1")
+def alias_sum_distinct_filter(spark, sf_dir):
+    Workbench(spark).alias("loom_total", "sum")
+    return t(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.expr("loom_total(DISTINCT o_custkey) FILTER (WHERE o_orderkey % 2 = 0)").alias("s"))
+
+
+@query("SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM orders")
+def ns_alias_over(spark, sf_dir):
+    Workbench(spark).alias("total", "sum", namespace="loom_stats")
+    return t(spark, sf_dir, "orders").selectExpr("o_orderkey", "loom_stats.total(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s")
+
+
+@query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name DESC) AS names, string_agg(n_name, ',' ORDER BY n_nationkey) AS by_key FROM nation GROUP BY 1")
+def ordered_string_agg(spark, sf_dir):
+    names = F.expr("listagg(n_name, '|') WITHIN GROUP (ORDER BY n_name DESC)")
+    return t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(names.alias("names"), A.ordered_concat(F.col("n_name"), F.col("n_nationkey")).alias("by_key"))
+
+
+@query("SELECT n_regionkey, sha256(string_agg(n_name, chr(10) ORDER BY n_nationkey)) AS h FROM nation GROUP BY 1")
+def hash_agg_nations(spark, sf_dir):
+    return t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(hashing.hash_agg(F.col("n_name"), F.col("n_nationkey")).alias("h"))
+
+
+@query("SELECT p_brand, true AS all_in FROM part GROUP BY 1")
+def bloom_membership(spark, sf_dir):
+    parts = t(spark, sf_dir, "part").select("p_brand", "p_name")
+    made = parts.groupBy("p_brand").agg(A.bloom_filter(F.col("p_name"), 1 << 13).alias("bloom"), A.xor_filter(F.col("p_name")).alias("xor"))
+    held = A.bloom_contains(F.col("bloom"), F.col("p_name"), 1 << 13) & A.xor_filter_contains(F.col("xor"), F.col("p_name"))
+    return parts.join(made, "p_brand").groupBy("p_brand").agg(F.bool_and(held).alias("all_in"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, CAST(grouping(event_type) AS BIGINT) AS g FROM events GROUP BY CUBE (event_type)")
+def cube_events(spark, sf_dir):
+    return t(spark, sf_dir, "events").cube("event_type").agg(F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"), F.grouping("event_type").cast("long").alias("g"))
+
+
+# windows ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW), 2) AS s FROM orders")
+def frame_exclude_current(spark, sf_dir):
+    d = frames.excluding(t(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "current row", -2, 2, "s")
+    return d.select("o_orderkey", r(F.col("s"), 2).alias("s"))
+
+
+RANGED = "OVER (PARTITION BY o_orderstatus ORDER BY CAST(o_custkey AS BIGINT) RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING EXCLUDE {})"
+
+
+@query(f"SELECT o_orderkey, CAST(sum(o_orderkey) {RANGED.format('GROUP')} AS BIGINT) AS s FROM orders")
+def frame_exclude_group(spark, sf_dir):
+    return frames.excluding(t(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_custkey"], "o_orderkey", "group", -5, 5, "s").select("o_orderkey", "s")
+
+
+@query(f"SELECT o_orderkey, count(o_orderkey) {RANGED.format('TIES')} AS n FROM orders")
+def frame_exclude_ties(spark, sf_dir):
+    return frames.excluding(t(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_custkey"], "o_orderkey", "ties", -5, 5, "n", "count").select("o_orderkey", "n")
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW), 4) AS s FROM events")
+def frame_exclude_fold(spark, sf_dir):
+    d = frames.fold_excluding(t(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", "value", "current row", -3, 0, frames.sum_of, "s")
+    return d.select("event_id", r(F.col("s"), 4).alias("s"))
+
+
+@query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM orders")
+def frame_groups(spark, sf_dir):
+    return frames.groups_frame(t(spark, sf_dir, "orders"), ["o_orderstatus"], "o_custkey", F.count(F.lit(1)), -1, 1, "n").select("o_orderkey", "n")
+
+
+@query("SELECT event_id, count(DISTINCT event_type) OVER w AS kinds, round(sum(value) FILTER (WHERE event_type = 'click') OVER w, 4) AS clicks FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def window_distinct_filter(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
+    kinds = frames.distinct_over(F.col("event_type"), w, lambda a: F.size(a).cast("long"))
+    clicks = frames.filtered_over(F.sum, F.col("value"), F.col("event_type") == "click", w)
+    return t(spark, sf_dir, "events").select("event_id", kinds.alias("kinds"), r(clicks, 4).alias("clicks"))
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS sma FROM events")
+def sma_events(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
+    return t(spark, sf_dir, "events").select("event_id", r(F.avg("value").over(w)).alias("sma"))
+
+
+@query("""WITH v AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1)
+SELECT user_id, round(list_reduce(v, lambda a, x: 0.3 * x + 0.7 * a), 6) AS ema,
+round((SELECT CASE WHEN len(v) < 2 THEN NULL WHEN u + d = 0 THEN 50.0 ELSE 100 * u / (u + d) END FROM (SELECT coalesce(list_sum(list_transform(range(2, len(v) + 1), lambda i: greatest(v[i] - v[i - 1], 0.0))), 0) AS u, coalesce(list_sum(list_transform(range(2, len(v) + 1), lambda i: greatest(v[i - 1] - v[i], 0.0))), 0) AS d)), 6) AS rsi FROM v""")
+def ema_rsi_events(spark, sf_dir):
+    order = F.struct("ts", "event_id")
+    return t(spark, sf_dir, "events").groupBy("user_id").agg(r(A.ema(F.col("value"), order, 0.3)).alias("ema"), r(A.rsi(F.col("value"), order)).alias("rsi"))
+
+
+@query("SELECT c_custkey, CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC) AS INT) AS rk, lag(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS before FROM customer")
+def ranking(spark, sf_dir):
+    w = Window.partitionBy("c_mktsegment")
+    return t(spark, sf_dir, "customer").select("c_custkey", F.rank().over(w.orderBy(F.desc("c_acctbal"))).alias("rk"), F.lag("c_custkey").over(w.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("before"))
+
+
+# table functions, macros, casts, types --------------------------------------------------------------------------
+
+
+@query("SELECT range AS value FROM range(5000)")
+def emit_sequence(spark, sf_dir):
+    Workbench(spark).table("loom_emit_sequence", readers.EmitSequence)
+    return spark.sql("SELECT value FROM loom_emit_sequence(5000)")
+
+
+@query("SELECT n_nationkey, CAST(v AS BIGINT) AS value FROM nation, unnest(range(n_nationkey)) AS u(v)")
+def lateral_emit(spark, sf_dir):
+    Workbench(spark).table("loom_emit_sequence", readers.EmitSequence)
+    t(spark, sf_dir, "nation").createOrReplaceTempView("loom_nation")
+    return spark.sql("SELECT n_nationkey, value FROM loom_nation, LATERAL loom_emit_sequence(n_nationkey)")
+
+
+@query("SELECT range AS value FROM range(1000) WHERE range >= 990")
+def sequence_source(spark, sf_dir):
+    return readers.sequence(spark, 1000).where("value >= 990")
+
+
+@query("SELECT range * range AS square FROM range(100)")
+def arrow_producer(spark, sf_dir):
+    import pyarrow as pa
+
+    return readers.produced(spark, "square bigint", 4, lambda k: iter([pa.record_batch([pa.array([i * i for i in range(25 * k, 25 * k + 25)], pa.int64())], names=["square"])]))
+
+
+@query("SELECT p_partkey, p_size * 2 + 1 AS v FROM part")
+def macro_scalar(spark, sf_dir):
+    Workbench(spark).macro("loom_twice_plus", {"x": "INT", "more": "INT DEFAULT 1"}, "x * 2 + more")
+    return t(spark, sf_dir, "part").selectExpr("p_partkey", "loom_twice_plus(p_size) AS v")
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 2")
+def macro_table(spark, sf_dir):
+    t(spark, sf_dir, "nation").createOrReplaceTempView("loom_nation")
+    Workbench(spark).table_macro("loom_nations_of", {"region": "INT"}, {"n_name": "STRING"}, "SELECT n_name FROM loom_nation WHERE n_regionkey = region")
+    return spark.sql("SELECT n_name FROM loom_nations_of(2)")
+
+
+@query("SELECT c_custkey, CAST(floor(c_acctbal * 100) AS BIGINT) AS cents, CAST(c_acctbal AS DECIMAL(12, 2)) AS money FROM customer")
+def cast_custom(spark, sf_dir):
+    bench = Workbench(spark)
+    bench.type_alias("cents", "BIGINT")
+    bench.type_alias("money", "DECIMAL(12, 2)")
+    bench.cast("double", "cents", lambda c: F.floor(c * 100).cast("long"), "implicit", 50)
+    c = F.col("c_acctbal")
+    return t(spark, sf_dir, "customer").select("c_custkey", bench.convert(c, "double", "cents").alias("cents"), bench.convert(c, "double", "money").alias("money"))
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 WHEN 'F' THEN 2 END AS INT) AS place FROM orders")
+def enum_order(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", enum_ordinal(F.col("o_orderstatus"), ["O", "P", "F"]).alias("place"))
+
+
+@query("SELECT 'loomkit.limit' AS key, '7' AS value")
+def pragma_setting(spark, sf_dir):
+    bench = Workbench(spark)
+    bench.setting("limit", "how many", "bigint", "5")
+    bench.set_option("limit", 7)
+    bench.pragma("show_limit", lambda: f"SELECT 'loomkit.limit' AS key, '{bench.option('limit')}' AS value;")
+    return bench.run_pragma("show_limit")
+
+
+# catalog ---------------------------------------------------------------------------------------------------------
+
+#: A small catalog to try the plans on.
+CATALOG = {
+    "extensions": [
+        {"name": "aba", "version": "1.0.0", "exports": ["aba_validate"], "content_digest": "a" * 64, "wit_contract_version": "pkg@4.1.0", "unknown": 1,
+         "providers": [{"id": "w2", "kind": "wasm", "abi": "pkg@2.0", "content_digest": "b" * 64}, {"id": "w4", "kind": "wasm", "abi": "pkg@4.0", "content_digest": "c" * 64}, {"id": "n", "kind": "native", "platform": "linux", "duckdb_version": "v1"}],
+         "functions": [{"name": "aba_validate", "kind": "scalar", "returns": "BOOLEAN", "arguments": [{"name": "routing", "type": "VARCHAR"}], "summary": "Check a routing number.", "description": "Nine digits with a check digit.", "tags": ["validator", "banking"]}]},
+        {"name": "crypto", "version": "2.0.0", "namespace": "crypto", "prefix": "c", "content_digest": "d" * 64, "wit_contract_version": "pkg@3.0.0", "crates": ["x"],
+         "providers": [{"id": "cn", "kind": "community-native", "extension_name": "crypto", "function_mapping": {"hash": "crypto_hash"}}],
+         "functions": [{"name": "hash", "kind": "scalar", "returns": "VARCHAR", "arguments": [], "summary": "Hash of a text.", "tags": ["hash", "digest"]}, {"name": " ", "kind": "scalar"}]},
+        {"name": "sample", "version": "0.1.0", "providers": None, "content_digest": "e" * 64, "wit_contract_version": "pkg@4.2.0",
+         "functions": [{"name": "emit_sequence", "kind": "table", "arguments": [{"name": "limit", "type": "BIGINT"}], "columns": [{"name": "value", "type": "BIGINT"}], "summary": "Numbers up to a limit."}]},
+    ]
+}
+
+
+def small_catalog(spark: SparkSession) -> DataFrame:
+    return catalog.of_json(spark, json.dumps(CATALOG))
+
+
+@query("SELECT * FROM (VALUES ('aba', 'w4', repeat('c', 64)), ('crypto', NULL, NULL), ('sample', NULL, repeat('e', 64))) AS v(module, provider, digest)")
+def provider_select(spark, sf_dir):
+    return catalog.digests(small_catalog(spark), host=4)
+
+
+@query("SELECT * FROM (VALUES ('aba', 'n', 'native'), ('crypto', 'cn', 'community'), ('sample', NULL, NULL)) AS v(module, provider, kind)")
+def native_select(spark, sf_dir):
+    return catalog.natives(small_catalog(spark), "linux", "v1")
+
+
+@query("SELECT * FROM (VALUES ('aba', 'aba_validate', 'aba_validate(routing VARCHAR) -> BOOLEAN', 'validator,banking'), ('crypto', 'hash', 'hash() -> VARCHAR', 'hash,digest'), ('sample', 'emit_sequence', 'emit_sequence(limit BIGINT) TABLE(value BIGINT)', NULL)) AS v(module, function, signature, tags)")
+def docs_view(spark, sf_dir):
+    return catalog.docs(small_catalog(spark)).select("module", "function", "signature", "tags")
+
+
+@query("SELECT * FROM (VALUES ('crypto', 'hash', 'Hash of a text.', 18), ('aba', 'aba_validate', 'Check a routing number.', 1)) AS v(module, function, summary, score)".replace("18)", "CAST(18 AS BIGINT))").replace("1)) AS", "CAST(1 AS BIGINT))) AS"))
+def search_ranked(spark, sf_dir):
+    return search.search(catalog.docs(small_catalog(spark)), "HASH digit")
+
+
+@query("SELECT * FROM (VALUES ('distance', 'geo_dist'), ('override_me', 'other'), ('ema', 'ta_ema'), ('sma', 'ta_sma')) AS v(alias, target)")
+def alias_pairs(spark, sf_dir):
+    mapping = spark.createDataFrame([("override_me", "other"), ("distance", "geo_dist")], "alias string, target string")
+    functions = spark.createDataFrame([("ta_sma",), ("ta_ema",), ("other",), ("ta_not-safe",), ("ta_",)], "name string")
+    return catalog.alias_pairs(mapping, functions, "ta_")
+
+
+@query("SELECT * FROM (VALUES ('p@4.0.0', true), ('p@4.2', true), ('p@4.3.0', false), ('p@3.0.0', false), ('p@5.1.0', false), ('p', false)) AS v(contract, ok)")
+def contract_gate(spark, sf_dir):
+    rows = spark.createDataFrame([(c,) for c in ("p@4.0.0", "p@4.2", "p@4.3.0", "p@3.0.0", "p@5.1.0", "p")], "contract string")
+    return rows.select("contract", contract.accepts_column(F.col("contract")).alias("ok"))
+
+
+@query("SELECT CAST(1024 AS BIGINT) AS n, CAST(10 AS BIGINT) AS first, CAST(1033 AS BIGINT) AS last")
+def events_ring(spark, sf_dir):
+    bench = Workbench(spark)
+    for i in range(1034):
+        bench.event("tick", None, str(i))
+    return bench.events().agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+# vectors, indexes, order ----------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: pow(CAST(embedding[i] AS DOUBLE) - (SELECT CAST(q.embedding[i] AS DOUBLE) FROM embeddings q WHERE q.vec_id = 0), 2)))), 5) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 10".replace("(SELECT CAST(q.embedding[i] AS DOUBLE) FROM embeddings q WHERE q.vec_id = 0)", "CAST(qe[i] AS DOUBLE)").replace("FROM embeddings ORDER", "FROM embeddings, (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0) ORDER"))
+def knn_topk(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings")
+    q = e.where("vec_id = 0").head().embedding
+    found = vectors.VectorIndex(e, "vec_id", "embedding", len(q)).build().search(q, 10)
+    return found.select("vec_id", r(F.col("distance"), 5).alias("distance"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 400")
+def range_index_scan(spark, sf_dir):
+    return vectors.range_scan(t(spark, sf_dir, "orders"), "o_orderkey", 100, 400).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def unique_check(spark, sf_dir):
+    return vectors.duplicates(t(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("SELECT c_name, CAST(row_number() OVER (ORDER BY c_custkey) AS INT) AS place FROM customer")
+def collation_sortkey(spark, sf_dir):
+    name = F.concat(F.lit("Customer"), F.col("c_custkey").cast("string"))
+    return t(spark, sf_dir, "customer").select("c_name", F.row_number().over(Window.orderBy(vectors.natural_key(name))).alias("place"))
+
+
+# sources and sinks ----------------------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/loomkit-{uuid.uuid4().hex}/{name}"
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, CAST(25 AS BIGINT) AS written FROM nation")
+def copy_roundtrip(spark, sf_dir):
+    path, df = scratch(spark, "nation.csv"), t(spark, sf_dir, "nation")
+    written = copy.copy_to(df, path, "csv", header=True)
+    return copy.copy_from(spark, path, df.schema, "csv", header=True).withColumn("written", F.lit(written).cast("long"))
+
+
+@query("SELECT n_nationkey, upper(n_name) AS n_name FROM nation")
+def replacement_scan(spark, sf_dir):
+    bench, path = Workbench(spark), scratch(spark, "nation.shout")
+    copy.copy_to(t(spark, sf_dir, "nation"), path)
+    bench.replacement("shout", lambda s, p: s.read.parquet(p).withColumn("n_name", F.upper("n_name")))
+    return bench.read(path).select("n_nationkey", "n_name")
+
+
+# joins and sets -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c.event_id, p.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type <> 'click' GROUP BY 1, 2) p ON c.user_id = p.user_id AND c.ts >= p.ts")
+def join_asof_events(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    found = joins.asof(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type <> 'click'").select("user_id", "ts", "value"), "ts", ["user_id"], "value", "last_value", salt=1)
+    return found.select("event_id", "last_value")
+
+
+@query("SELECT l.l_orderkey, l.l_linenumber, b.low AS band FROM lineitem l JOIN (SELECT CAST(range * 10.0 AS DOUBLE) AS low, CAST(range * 10.0 + 7 AS DOUBLE) AS high FROM range(6)) b ON l.l_quantity >= b.low AND l.l_quantity < b.high")
+def join_ranges(spark, sf_dir):
+    spans = spark.range(6).select((F.col("id") * 10.0).alias("low"), (F.col("id") * 10.0 + 7).alias("high"))
+    found = joins.ranges(t(spark, sf_dir, "lineitem"), spans, "l_quantity", "low", "high", 10.0)
+    return found.select("l_orderkey", "l_linenumber", F.col("low").alias("band"))
+
+
+@query("SELECT c_custkey, 'semi' AS side FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) UNION ALL SELECT c_custkey, 'anti' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def semi_anti(spark, sf_dir):
+    c, o = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
+    match = F.col("c_custkey") == F.col("o_custkey")
+    semi = c.join(o.where("o_totalprice > 300000"), match, "left_semi").select("c_custkey", F.lit("semi").alias("side"))
+    return semi.unionByName(c.join(o, match, "left_anti").select("c_custkey", F.lit("anti").alias("side")))
+
+
+@query("SELECT r_name, n_name, count(c_custkey) AS n FROM region JOIN nation ON r_regionkey = n_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def join_kinds(spark, sf_dir):
+    n = joins.if_small(t(spark, sf_dir, "nation"))
+    reg = joins.if_small(t(spark, sf_dir, "region"))
+    per = t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(reg, F.col("n_regionkey") == F.col("r_regionkey")).join(per, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("r_name", "n_name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT k, kind FROM (SELECT n_nationkey AS k, 'u' AS kind FROM nation UNION SELECT c_nationkey, 'u' FROM customer) UNION ALL (SELECT n_nationkey, 'i' FROM nation INTERSECT SELECT s_nationkey, 'i' FROM supplier) UNION ALL (SELECT n_nationkey, 'e' FROM nation EXCEPT SELECT r_regionkey, 'e' FROM region)")
+def set_ops(spark, sf_dir):
+    k = lambda name, c: t(spark, sf_dir, name).select(F.col(c).alias("k"))
+    n = k("nation", "n_nationkey")
+    parts = [("u", n.union(k("customer", "c_nationkey")).distinct()), ("i", n.intersect(k("supplier", "s_nationkey"))), ("e", n.subtract(k("region", "r_regionkey")))]
+    return reduce(DataFrame.unionByName, (d.withColumn("kind", F.lit(kind)) for kind, d in parts))
+
+
+# streams --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY 1, 2")
+def tumbling_events(spark, sf_dir):
+    d = windows.tumbling(t(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n"), r(F.sum("value"), 4).alias("s")])
+    return d.select(F.col("window_start").cast("timestamp_ntz").alias("h"), "event_type", "n", "s")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def sessionize_events(spark, sf_dir):
+    d = windows.sessions(t(spark, sf_dir, "events"), "ts", "6 hours", ["user_id"], [F.count(F.lit(1)).alias("n")])
+    return d.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY 1")
+def stream_totals(spark, sf_dir):
+    """The events table as a file stream, run to its end; the stream's state is the running totals."""
+    schema = t(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").format("parquet").load(sf_dir)
+    totals = stream.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
+    path = scratch(spark, "totals")
+    write = lambda df, _: df.write.mode("overwrite").parquet(path)
+    run = totals.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+    return spark.read.parquet(path).select("event_type", "n", r(F.col("s"), 4).alias("s"))
+
+
+@query("SELECT label, count(*) AS n FROM embeddings WHERE false GROUP BY 1")
+def empty_table(spark, sf_dir):
+    return t(spark, sf_dir, "embeddings").where("false").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
