@@ -11,7 +11,7 @@ EARTH_KM, MILE_KM = 6371.0, 1.609344
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def haversine_mi(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -75,7 +75,7 @@ def hms_to_deg(h: Column, m: Column, s: Column) -> Column:
 def angular_separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Degrees between two directions given in degrees."""
     half = F.pow(F.sin(F.radians(dec2 - dec1) / 2), 2) + F.cos(F.radians(dec1)) * F.cos(F.radians(dec2)) * F.pow(F.sin(F.radians(ra2 - ra1) / 2), 2)
-    return F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), half))))
+    return F.degrees(2 * F.asin(F.sqrt(F.when(half > 1, 1.0).otherwise(half))))
 
 
 #: The north galactic pole and the longitude of the north celestial pole, J2000 (fixed values).
