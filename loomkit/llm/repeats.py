@@ -105,10 +105,10 @@ def unpacked(column) -> np.ndarray:
 
 
 def shared_fingerprints(docs: DataFrame, groups: int) -> DataFrame:
-    """_id and _prints (packed 64-bit), any number of rows for a document: its fingerprints that two documents have.
+    """_id and _told: of each document its fingerprints that two documents have, packed; none, no row.
 
     A task sends each fingerprint once, with one of its documents, to the group of the fingerprint; one that two of the
-    task's documents share is marked, and its documents are told without asking.
+    task's documents share is marked, and its documents are told without asking. Answers travel packed by documents' parts.
     """
     schema = "_group int, _prints binary, _ids binary, _known binary"
 
@@ -125,8 +125,8 @@ def shared_fingerprints(docs: DataFrame, groups: int) -> DataFrame:
             counts = np.diff(np.append(first, len(p)))
             rows = []
             known = np.repeat(counts > 1, counts)
-            for doc, own in by(d[known], p[known]):
-                rows.append((-1 - doc % groups, packed(own), np.array([doc]).tobytes(), b""))
+            for part, i in by(d[known] % groups, np.flatnonzero(known)):
+                rows.append((-1 - part, packed(p[i]), d[i].tobytes(), b""))
             ask, who, sure = p[first], d[first], counts > 1
             place = ask % groups
             order = np.argsort(place, kind="stable")
@@ -149,10 +149,10 @@ def shared_fingerprints(docs: DataFrame, groups: int) -> DataFrame:
             yield flush()
 
     def answer(table: pa.Table) -> pa.Table:
-        if table.column("_group")[0].as_py() < 0:
-            rows = [(np.frombuffer(i, np.int64)[0], p) for i, p in zip(table.column("_ids").to_pylist(), table.column("_prints").to_pylist())]
+        packs, group = table.column("_prints").to_pylist(), table.column("_group")[0].as_py()
+        if group < 0:
+            rows = [(-1 - group, i, p) for i, p in zip(table.column("_ids").to_pylist(), packs)]
         else:
-            packs = table.column("_prints").to_pylist()
             p, d = unpacked(packs), longs(table.column("_ids").to_pylist())
             sure = np.concatenate([np.unpackbits(np.frombuffer(k, np.uint8))[: len(x) // PRINT] for k, x in zip(table.column("_known").to_pylist(), packs)]).astype(bool)
             order = np.argsort(p, kind="stable")
@@ -161,10 +161,15 @@ def shared_fingerprints(docs: DataFrame, groups: int) -> DataFrame:
             counts = np.diff(np.append(first, len(p)))
             two = (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)) | np.logical_or.reduceat(sure, first)
             tell = np.repeat(two, counts) & ~sure
-            rows = [(doc, packed(own)) for doc, own in by(d[tell], p[tell])]
-        return pa.table({"_id": pa.array([r[0] for r in rows], pa.int64()), "_prints": pa.array([r[1] for r in rows], pa.binary())})
+            d, p = d[tell], p[tell]
+            rows = [(part, d[i].tobytes(), packed(p[i])) for part, i in by(d % groups, np.arange(len(d)))]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["_part", "_ids", "_prints"])
 
-    return docs.select("_id", "_text").mapInArrow(probe, schema).groupBy("_group").applyInArrow(answer, "_id long, _prints binary")
+    def tell(table: pa.Table) -> pa.Table:
+        rows = [(doc, packed(np.unique(own))) for doc, own in by(longs(table.column("_ids").to_pylist()), unpacked(table.column("_prints").to_pylist()))]
+        return pa.table({"_id": pa.array([r[0] for r in rows], pa.int64()), "_told": pa.array([r[1] for r in rows], pa.binary())})
+
+    return docs.select("_id", "_text").mapInArrow(probe, schema).groupBy("_group").applyInArrow(answer, "_part int, _ids binary, _prints binary").groupBy("_part").applyInArrow(tell, "_id long, _told binary")
 
 
 def by(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -190,15 +195,14 @@ def shared_contexts(docs: DataFrame, told: DataFrame, copies: DataFrame) -> Data
             for i, row in enumerate(rows):
                 a, b = cuts[i], cuts[i + 1]
                 if row["_row"] not in (row["_copies"] or ()):
-                    mine[a:b] = np.isin(found[a:b], unpacked(row["_told"]))
+                    mine[a:b] = np.isin(found[a:b], unpacked([row["_told"]]))
             keep = np.flatnonzero(mine)
             own, first, windows = texts[keep], first[keep], windows[keep]
             names = np.fromiter((xxhash.xxh3_64_intdigest(datas[t][f : f + w + LENGTH - 1]) for t, f, w in zip(own.tolist(), first.tolist(), windows.tolist())), np.uint64, len(keep))
             ids, marks = (np.array([r[k] for r in rows], np.int64)[own] for k in ("_id", "_row"))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(found[keep]), pa.array(names.view(np.int64))], names=["_id", "_row", "_first", "_windows", "_print", "_name"])
 
-    lists = told.groupBy("_id").agg(F.collect_list("_prints").alias("_told"))
-    lists = lists.join(copies.groupBy("_id").agg(F.collect_list("_row").alias("_copies")), "_id", "left")
+    lists = told.join(copies.groupBy("_id").agg(F.collect_list("_row").alias("_copies")), "_id", "left")
     return docs.join(lists, "_id").select("_id", "_row", "_text", "_told", "_copies").mapInArrow(run, CONTEXT)
 
 
