@@ -79,3 +79,12 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by cut() that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

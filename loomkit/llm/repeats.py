@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import annotate, cut
+from loomkit.llm.common import annotate, cut, forget
 from loomkit.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 20
@@ -219,8 +219,15 @@ def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return once.select("_id", "_text", "_of").mapInArrow(run, "_print long, _name long, _least long, _bytes binary")
 
 
+def covered(windows: np.ndarray) -> list[int]:
+    """The runs of bytes that windows (first bytes, ascending) cover, as packed spans."""
+    ends = np.flatnonzero(np.diff(windows) > LENGTH)
+    first, last = windows[np.append(0, ends + 1)], windows[np.append(ends, len(windows) - 1)]
+    return ((first << 32) + last - first + LENGTH).tolist()
+
+
 def repeated_windows(names: list[tuple], datas: list[bytes], least: np.ndarray) -> Iterator[tuple[tuple, list[int]]]:
-    """Of a shard's contexts: name, and the windows (from 0) that a context with a smaller least document has too."""
+    """Of a shard's contexts: name, and packed spans of the windows that a context with a smaller least document has too."""
     sizes = np.array([len(d) + 1 for d in datas], np.int64)
     flat = np.frombuffer(b"\0".join(datas) + b"\0" * (LENGTH + 9), np.uint8)
     total = int(sizes.sum())
@@ -236,19 +243,20 @@ def repeated_windows(names: list[tuple], datas: list[bytes], least: np.ndarray)
     smallest = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.append(heads, len(sa))))
     gone = np.sort(sa[smallest < owner])
     for c, places in by(of[gone], gone):
-        yield names[c], (places - starts[c]).tolist()
+        yield names[c], covered(places - starts[c])
 
 
-GONE = "_print long, _name long, _gone array<int>"
+#: Spans travel as one number: first byte in the upper 32 bits, bytes in the lower ones.
+GONE = "_print long, _name long, _gone array<long>"
 
 
 def marks(told: DataFrame, shards: int, crowds: DataFrame | None) -> DataFrame:
-    """_print, _name and _gone (windows that a smaller document has too) of contexts with _print, _name, _least and _bytes."""
+    """_print, _name and _gone (spans that a smaller document has too) of contexts with _print, _name, _least and _bytes."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = list(zip(table.column("_print").to_pylist(), table.column("_name").to_pylist()))
         rows = list(repeated_windows(keys, table.column("_bytes").to_pylist(), table.column("_least").to_numpy()))
-        return pa.table({"_print": pa.array([r[0][0] for r in rows], pa.int64()), "_name": pa.array([r[0][1] for r in rows], pa.int64()), "_gone": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+        return pa.table({"_print": pa.array([r[0][0] for r in rows], pa.int64()), "_name": pa.array([r[0][1] for r in rows], pa.int64()), "_gone": pa.array([r[1] for r in rows], pa.list_(pa.int64()))})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,10 +269,14 @@ def marks(told: DataFrame, shards: int, crowds: DataFrame | None) -> DataFrame:
     few = told.join(crowds, "_print", "left_anti").groupBy(F.pmod("_print", F.lit(shards))).applyInArrow(run, GONE)
     windows = told.join(crowds, "_print", "left_semi").mapInArrow(split, "_print long, _name long, _k int, _window binary, _least long")
     smallest = windows.groupBy("_window").agg(F.min("_least").alias("_min"))
-    many = windows.join(smallest, "_window").where("_min < _least").groupBy("_print", "_name").agg(F.array_sort(F.collect_list("_k")).alias("_gone"))
+    many = windows.join(smallest, "_window").where("_min < _least").groupBy("_print", "_name").agg(F.collect_list(packed_span(F.col("_k"), F.lit(LENGTH))).alias("_gone"))
     return few.unionByName(many)
 
 
+def packed_span(start: Column, size: Column) -> Column:
+    return F.shiftleft(start.cast("long"), 32) + size
+
+
 REMOVED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 
 
@@ -275,7 +287,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts are in df. Null texts are empty; rows with a null id neither lose bytes nor make others lose any; rows of one id
     don't count for each other, equal ones included. An empty df gives no rows; other columns play no part.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_row", F.xxhash64("_text"))
+    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    shared_ids = docs.groupBy("_id").count().where("count > 1 AND _id IS NOT NULL").head(1)
+    docs = docs.withColumn("_row", F.xxhash64("_text") if shared_ids else F.lit(0).cast("long"))  # tells rows of one id apart
     long_ones = docs.where(F.col("_id").isNotNull() & (F.octet_length("_text") >= LENGTH))
     total = long_ones.agg(F.sum(F.octet_length("_text"))).head()[0] or 0
     equal = F.md5("_text").alias("_same")
@@ -291,21 +305,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = distinct.select("_print", "_name", F.col("_where._id").alias("_least")).join(gone, ["_print", "_name"], "left")
     placed = found.join(names, ["_print", "_name"])
     whole = F.col("_id") > F.col("_least")
-    run = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
-    spans = F.when(whole, F.array(run(F.col("_first"), F.col("_first") + F.col("_windows") + (LENGTH - 1)))).otherwise(F.transform("_gone", lambda k: run(F.col("_first") + k, F.col("_first") + k + LENGTH)))
+    first = F.shiftleft(F.col("_first").cast("long"), 32)
+    spans = F.when(whole, F.array(first + F.col("_windows") + (LENGTH - 1))).otherwise(F.transform("_gone", lambda k: first + k))
     spans = placed.where(whole | F.col("_gone").isNotNull()).select("_id", "_row", spans.alias("_spans"))
-    spans = spans.unionByName(copies.select("_id", "_row", F.array(run(F.lit(0), F.col("_size"))).alias("_spans")))
+    spans = spans.unionByName(copies.select("_id", "_row", F.array(F.col("_size").cast("long")).alias("_spans")))
     spans = cut(spans.groupBy("_id", "_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), "spans")
+    forget(copies, found, distinct, counts, gone)
     same = (docs["_id"] == spans["_id"]) & (docs["_row"] == spans["_row"])
     both = docs.join(spans, same, "left").select(docs["_id"].alias(id_col), F.struct("_text", "_spans").alias("_both"))
 
     def cut_out(row: dict) -> tuple:
         data, at, out, removed = row["_text"].encode(), 0, [], []
-        for span in sorted((s["start"], s["end"]) for s in row["_spans"] or ()):
-            if removed and span[0] <= removed[-1]["end"]:
-                removed[-1]["end"] = max(removed[-1]["end"], span[1])
+        for span in sorted(row["_spans"] or ()):
+            start, end = span >> 32, (span >> 32) + (span & 0xFFFFFFFF)
+            if removed and start <= removed[-1]["end"]:
+                removed[-1]["end"] = max(removed[-1]["end"], end)
             else:
-                removed.append({"start": span[0], "end": span[1]})
+                removed.append({"start": start, "end": end})
         for r in removed:
             out.append(data[at : r["start"]])
             at = r["end"]
