@@ -20,7 +20,6 @@ CACHE, LONGEST = 400_000, 48
 #: The pre-tokenizers' patterns (fixed values of the two public tokenizers).
 GPT_PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ODD_SPACE = re.compile(r"\s\s|\s[ \n]|[\x1c-\x1f]|\s\Z")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
 
@@ -106,7 +105,7 @@ class Encoder:
             if SEPARATORS.search(text):
                 return self.whole(text)
             return b"".join(map(self.first.__getitem__, text.split()))
-        if ODD_SPACE.search(text):
+        if text.split() != text.replace("\n", " ").split(" "):  # other white space than single spaces and line feeds between words
             return self.part(text)
         out = []
         for line in text.split("\n"):
