@@ -295,8 +295,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal = F.md5("_text").alias("_same")
     firsts = long_ones.groupBy(equal).agg(F.min("_id").alias("_least"))
     copies = cut(long_ones.select("_id", "_row", F.octet_length("_text").alias("_size"), equal).join(firsts, "_same").where("_id > _least").drop("_same", "_least"), "copies")
-    told = shared_fingerprints(long_ones, max(8, total // 16 // GROUP))
+    told = cut(shared_fingerprints(long_ones, max(8, total // 16 // GROUP)), "told")  # frees the fingerprints' shuffle before texts are dealt out
     found = cut(shared_contexts(long_ones, told, copies), "contexts")
+    forget(told)
     distinct = cut(found.groupBy("_print", "_name").agg(F.min(F.struct("_id", "_row", "_first", "_windows")).alias("_where")), "distinct-contexts")
     counts = cut(distinct.groupBy("_print").count().where("count > 1"), "counts")  # a lone context has nothing to be compared with
     known, most = counts.agg(F.sum("count"), F.max("count")).head()
