@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 #: ASCII upper case to lower case, everything that is not a digit, letter or byte of a non-ASCII character to a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Seconds in which the driver's JVM hears which of its objects Python has let go (a thread of its own tells it).
+RELEASE_S = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +80,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     schema = df.schema
     del df
     gc.collect()
+    time.sleep(RELEASE_S)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
