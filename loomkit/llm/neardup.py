@@ -5,15 +5,20 @@ in the text; a shorter text is one shingle). For each of BANDS orders a sketch i
 order of the text, so that it tells texts apart that have the same shingles in another order. Two texts are similar if
 their edit similarity over words, 1 - distance / words of the longer one, is SIMILARITY or more.
 
-Texts that are equal word for word form one node. Nodes that share a sketch meet in a bucket. Each bucket is a star: its
-members are compared with its least node only. So that a bucket of texts which merely share a frequent passage loses no
-link, every order has sketches of 2, 4 and 8 shingles and all three make stars, so the work grows with the members of a
-bucket, not with their pairs. Links between nodes that alignment confirms give classes by connected components.
+Five-word shingles lose pairs whose edits are spread, so SMALL_BANDS further orders have sketches of two SMALL-word
+shingles, and texts of up to SHORT words get keys that no similar pair can evade (segments, by the pigeonhole principle).
+
+Texts that are equal word for word form one node. Nodes that share a sketch meet in a bucket. Buckets are first stars: their
+members are compared with the least node only (every order has sketches of 2, 4 and 8 shingles and all three make stars).
+Links between nodes that alignment confirms give classes by connected components. Then all pairs of a bucket that are still
+in different classes are compared, so that in the end any two members of a bucket are in one class or were compared; lengths
+and word counts rule out pairs before their texts are fetched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import annotate, cut, words
+from loomkit.llm.common import annotate, cut, forget, words
 
 SHINGLE, BANDS, SIMILARITY = 5, 32, 0.8
 #: Shingles of a sketch.
 DEPTHS = (2, 4, 8)
+#: Words of the second kind of shingles, their orders, and the shingles of their sketches.
+SMALL, SMALL_BANDS, SMALL_DEPTHS = 3, 64, (2,)
+#: Words of the longest texts that are compared with all similar ones for certain.
+SHORT = 30
+#: Counts of words by hash, 255 at most each, that rule out pairs.
+BINS = 64
+#: Members of a bucket that are compared with each other (or with as many others) by one task at once.
+BLOCK = 1000
 #: Hashes that are put in all orders at once (memory of a very long text).
 AT_ONCE = 1 << 22
 #: An odd factor for each order (from a fixed seed, so that all workers agree).
 FACTORS = np.random.default_rng(20240229).integers(1, 1 << 62, BANDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SMALL_FACTORS = np.random.default_rng(20240301).integers(1, 1 << 62, SMALL_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,15 +54,19 @@ def mixed(x: np.ndarray, factor: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_hashes(found: list[bytes]) -> np.ndarray:
-    """Hashes of the shingles with their occurrence numbers, in the order of the text."""
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in found), np.uint64, len(found))
+
+
+def shingle_hashes(found: list[bytes], size: int = SHINGLE, h: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the shingles of `size` words with their occurrence numbers, in the order of the text; h: the words' hashes."""
     if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in found), np.uint64, len(found))
-    if len(found) >= SHINGLE:
-        n = len(found) - SHINGLE + 1
+    h = word_hashes(found) if h is None else h
+    if len(found) >= size:
+        n = len(found) - size + 1
         s = np.zeros(n, np.uint64)
-        for k in range(SHINGLE):
+        for k in range(size):
             s = (s ^ h[k : k + n]) * STEP
             s ^= s >> np.uint64(32)
     else:
@@ -63,18 +81,18 @@ def shingle_hashes(found: list[bytes]) -> np.ndarray:
     return s
 
 
-def sketches(s: np.ndarray) -> np.ndarray:
+def sketches(s: np.ndarray, factors: np.ndarray = FACTORS[:BANDS], depths: tuple = DEPTHS) -> np.ndarray:
     """keys[depth, band]: hashes of the sketches of a text's shingles; equal for equal sketches of one depth and band."""
-    deepest, step = min(DEPTHS[-1], len(s)), max(1, AT_ONCE // len(s))
+    deepest, step = min(depths[-1], len(s)), max(1, AT_ONCE // len(s))
     parts = []
-    for at in range(0, BANDS, step):
-        m = mixed(s[None, :], FACTORS[at : min(at + step, BANDS), None])
+    for at in range(0, len(factors), step):
+        m = mixed(s[None, :], factors[at : at + step, None])
         least = np.argpartition(m, deepest - 1, axis=1)[:, :deepest] if deepest < len(s) else np.tile(np.arange(len(s)), (len(m), 1))
         parts.append(np.take_along_axis(least, np.argsort(np.take_along_axis(m, least, 1), axis=1), 1))
     least, keys = np.concatenate(parts), []
-    for depth in DEPTHS:
+    for depth in depths:
         chosen = s[np.sort(least[:, :depth], axis=1)]
-        key = FACTORS[:BANDS] + np.uint64(depth)
+        key = factors + np.uint64(depth)
         for column in chosen.T:
             key = mixed(key ^ column, STEP)
             key = key * STEP + np.uint64(1)
@@ -82,6 +100,33 @@ def sketches(s: np.ndarray) -> np.ndarray:
     return np.array(keys)
 
 
+def short_keys(h: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """Keys of which a text of up to SHORT words (hashes h) shares one with each similar text of up to SHORT words.
+
+    If a text of `longer` words has at most k edits to another, one of its k + 1 segments stands unchanged in the other one,
+    and of those there is one that has moved by no more than the edits that can lie to its left and to its right.
+    """
+    n, keys = len(h), set()
+    for longer in range(n, SHORT + 1):
+        k = int((1 - similarity) * longer + 1e-9)
+        extra = longer - n
+        for i in range(k + 1) if 0 < k >= extra else ():
+            at, end = longer * i // (k + 1), longer * (i + 1) // (k + 1)
+            for start in range(max(0, at - i, at - extra - (k - i)), min(n - (end - at), at + i, at - extra + (k - i)) + 1):
+                keys.add(xxhash.xxh64_intdigest(h[start : start + end - at].tobytes(), seed=longer << 8 | i))
+    return np.array(sorted(keys), np.uint64).view(np.int64).tolist()
+
+
+def word_bins(h: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, bins: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the texts numbered a and b can be similar: an edit changes the length by 1 and the counts by 2 at most."""
+    most = ((1 - similarity) * np.maximum(n[a], n[b]) + 1e-9).astype(np.int64)
+    return (np.abs(n[a] - n[b]) <= most) & (np.abs(bins[a] - bins[b]).sum(1) <= 2 * most)
+
+
 def within(a: list[bytes], b: list[bytes], most: int) -> bool:
     """Whether the edit distance of a and b is at most `most`: bit-parallel alignment in a band of that many diagonals."""
     if len(a) < len(b):
@@ -144,6 +189,7 @@ def node_of(text: str | None, found: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(found) if found else b"\n" + (text or "").encode())
 
 
+SKETCHED = ["_keys", "_small", "_short", "_n", "_bins"]
 NODE = T.StructType([T.StructField("_node", T.BinaryType())])
 
 
@@ -152,19 +198,26 @@ def with_nodes(df: DataFrame, text_col: str) -> DataFrame:
     return annotate(df, text_col, lambda: lambda texts: [(node_of(t, words(t)),) for t in texts], NODE)
 
 
-def sketch_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_node, id, and the keys of its sketches (8-byte integers by depth and band; empty without words)."""
+def sketch_rows(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """_node, id, and the keys of its sketches (8-byte integers by depth and band; empty without words), keys of small shingles and of segments, number of words, their bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, small, short, sizes, bins = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = words(text)
                 nodes.append(node_of(text, found))
-                keys.append(sketches(shingle_hashes(found)).view(np.int64).ravel() if found else [])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["_node", "_id", "_keys"])
-
-    schema = T.StructType([*NODE.fields, T.StructField("_id", df.schema[id_col].dataType), T.StructField("_keys", T.ArrayType(T.LongType()))])
+                h = word_hashes(found)
+                keys.append(sketches(shingle_hashes(found, SHINGLE, h)).view(np.int64).ravel() if found else [])
+                small.append(sketches(shingle_hashes(found, SMALL, h), SMALL_FACTORS, SMALL_DEPTHS).view(np.int64).ravel() if found else [])
+                short.append(short_keys(h, similarity) if found else [])
+                sizes.append(len(found))
+                bins.append(word_bins(h))
+            longs = (pa.array(x, pa.list_(pa.int64())) for x in (keys, small, short))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column(0), *longs, pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], names=["_node", "_id", *SKETCHED])
+
+    kinds = [*[T.ArrayType(T.LongType())] * 3, T.LongType(), T.BinaryType()]
+    schema = T.StructType([*NODE.fields, T.StructField("_id", df.schema[id_col].dataType), *(T.StructField(c, k) for c, k in zip(SKETCHED, kinds))])
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -186,6 +239,76 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows (_key, _node) whose key several nodes have."""
+    many = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key")
+    return cut(rows.join(many, "_key"), "shared")
+
+
+def rivals(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (_hub, _node) of nodes that share a key, are in different classes and may be similar.
+
+    met has _key, _node, _root, _n and _bins. A bucket of many members is dealt out by pairs of blocks of about BLOCK.
+    """
+    open_ = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), (F.min("_root") < F.max("_root")).alias("_open")).where("_open")
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    rows = met.join(open_, "_key").withColumn("_i", F.pmod(F.xxhash64("_node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    place = ["_key", "_low", "_high"]
+    rows = rows.select("_key", F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "_i", "_node", "_root", "_n", "_bins")
+
+    def pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, low, high, side, n = (group.column(c).to_numpy() for c in (*place, "_i", "_n"))
+        root = group.column("_root").combine_chunks().dictionary_encode().indices.to_numpy()
+        bins = np.frombuffer(b"".join(group.column("_bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        ends = np.flatnonzero(np.append((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True)) + 1
+        for at, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            if low[at] == high[at]:
+                a, b = np.triu_indices(end - at, 1)
+            else:
+                one = side[at:end] == low[at]
+                a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(one), np.flatnonzero(~one)))
+            a, b = a + at, b + at
+            apart = (root[a] != root[b]) & (np.abs(n[a] - n[b]) <= (1 - similarity) * np.maximum(n[a], n[b]) + 1e-9)
+            a, b = a[apart], b[apart]
+            for k in range(0, len(a), 1 << 15):
+                x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+                ok = possible(x, y, n, bins, similarity)
+                yield x[ok], y[ok]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(held)
+            nodes = group.column("_node").combine_chunks()
+            for a, b in pairs(group):
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)  # rows that begin a bucket or a pair of its blocks
+            columns = [batch.column(c).to_numpy() for c in place]
+            new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            if held:
+                new[0] = any(c[0] != held[-1].column(name)[-1].as_py() for c, name in zip(columns, place))
+            starts = np.flatnonzero(new)
+            if len(starts):  # all before the last start is whole
+                first, last = batch.slice(0, starts[-1]), batch.slice(starts[-1])
+                if first.num_rows:
+                    held.append(first)
+                if held:
+                    yield from out()
+                held = [last]
+            else:
+                held.append(batch)
+        if held:
+            yield from out()
+
+    found = rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("_hub"), F.greatest("a", "b").alias("_node")).distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts are similar; texts has _node and _text, once for each node."""
 
@@ -233,19 +356,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Of each distinct text _node, _class (least id of its class) and _keeper (whether it is the node with that id); and _node and _id of all rows."""
-    sketched = cut(sketch_rows(df, id_col, text_col), "sketches")
-    nodes = cut(sketched.groupBy("_node").agg(F.min("_id").alias("_id"), F.first("_keys").alias("_keys")), "nodes")
-    pairs = cut(candidates(nodes.select("_node", "_keys")), "pairs")
-    ends = pairs.select(F.explode(F.array("_hub", "_node")).alias("_node")).distinct().join(nodes.select("_node", "_id"), "_node")
+    sketched = cut(sketch_rows(df, id_col, text_col, similarity), "sketches")
+    nodes = cut(sketched.groupBy("_node").agg(F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in SKETCHED)), "nodes")
+    rows = cut(sketched.select("_node", "_id"), "rows")
+    forget(sketched)
     named = with_nodes(df.select(F.col(id_col).alias("_id2"), F.col(text_col).alias("_text")), "_text").withColumnRenamed("_node", "_node2")
     match = (F.col("_node") == F.col("_node2")) & F.col("_id").eqNullSafe(F.col("_id2"))
-    texts = cut(named.join(ends, match).select("_node", "_text").dropDuplicates(["_node"]), "texts")
-    roots = components(confirmed(pairs, texts, similarity))
-    rooted = nodes.select("_node", "_id").join(roots.withColumnRenamed("node", "_node"), "_node", "left")
-    rooted = cut(rooted.select("_node", "_id", F.coalesce("root", "_node").alias("_root")), "roots")
-    least = rooted.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least"))
-    classes = rooted.join(least, "_root").select("_node", F.col("_least._id").alias("_class"), (F.col("_node") == F.col("_least._node")).alias("_keeper"))
-    return classes, sketched.select("_node", "_id")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("_hub", "_node")).alias("_node")).distinct().join(nodes.select("_node", "_id"), "_node")
+        texts = cut(named.join(ends, match).select("_node", "_text").dropDuplicates(["_node"]), "texts")
+        found = cut(confirmed(pairs, texts, similarity), "links")
+        forget(texts)
+        return found
+
+    def rooted(of: DataFrame, roots: DataFrame, name: str = "_node") -> DataFrame:
+        return of.join(roots.withColumnRenamed("node", name), name, "left").withColumn("_root", F.coalesce("root", name)).drop("root")
+
+    pairs = cut(candidates(nodes.select("_node", "_keys")), "pairs")
+    first = cut(rooted(nodes.select("_node", "_id", "_n", "_bins"), components(links(pairs))), "roots")
+    keys = (F.col("_small"), F.col("_short"))
+    met = reduce(DataFrame.unionByName, [shared(nodes.select(F.explode(k).alias("_key"), "_node")) for k in keys])
+    left = cut(rivals(met.join(first.drop("_id"), "_node"), similarity).join(pairs, ["_hub", "_node"], "left_anti"), "pairs")
+    a, b = (first.select(F.col("_node").alias(c), F.col("_root").alias(f"_root_{c}")) for c in "ab")
+    joined = links(left).join(a, "a").join(b, "b").select(F.col("_root_a").alias("a"), F.col("_root_b").alias("b"))
+    last = rooted(first.select("_node", "_id", F.col("_root").alias("_first")), components(joined), "_first")
+    last = cut(last.select("_node", "_id", "_root"), "roots")
+    least = last.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least"))
+    classes = last.join(least, "_root").select("_node", F.col("_least._id").alias("_class"), (F.col("_node") == F.col("_least._node")).alias("_keeper"))
+    return classes, rows
 
 
 def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
