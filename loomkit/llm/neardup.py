@@ -375,7 +375,7 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
 
     pairs = cut(candidates(nodes.select("_node", "_keys")), "pairs")
     first = cut(rooted(nodes.select("_node", "_id", "_n", "_bins"), components(links(pairs))), "roots")
-    keys = (F.col("_small"), F.col("_short"))
+    keys = (F.slice("_keys", 1, BANDS), F.col("_small"), F.col("_short"))
     met = reduce(DataFrame.unionByName, [shared(nodes.select(F.explode(k).alias("_key"), "_node")) for k in keys])
     left = cut(rivals(met.join(first.drop("_id"), "_node"), similarity).join(pairs, ["_hub", "_node"], "left_anti"), "pairs")
     a, b = (first.select(F.col("_node").alias(c), F.col("_root").alias(f"_root_{c}")) for c in "ab")
