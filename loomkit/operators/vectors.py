@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomkit.errors import InvalidArgument, InvalidState
 
@@ -17,10 +22,28 @@ def cosine(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Vectors of a block of rows and of a block of queries.
+ROWS, QUERIES = 4096, 512
+
+
+def nearest(ids: list, rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[list, np.ndarray]]:
+    """For each query the ids and L2 distances of the k closest rows, ties by id."""
+    near = (rows * rows).sum(1)[None, :] - 2 * queries @ rows.T
+    found = []
+    for q, d in zip(queries, near):
+        size = float(np.abs(d).max()) + float(q @ q)
+        most = np.partition(d, k - 1)[k - 1] if k < len(d) else np.inf
+        some = np.flatnonzero(d <= most + 1e-9 * (1 + size))  # all that rounding may have put behind
+        exact = np.sqrt(((rows[some] - q) ** 2).sum(1))
+        best = sorted(zip(exact.tolist(), (ids[i] for i in some)))[:k]
+        found.append(([i for _, i in best], np.array([x for x, _ in best])))
+    return found
+
+
 class VectorIndex:
     """create, append, build, search, drop over a table of (id, vector); exact, closest first, ties by id.
 
-    search is a scan with a top-k in each task; only k rows of each task meet.
+    search is a scan with a top-k in each task; only k rows of each task meet. search_all takes a table of queries.
     """
 
     def __init__(self, df: DataFrame, id_col: str, vector_col: str, dims: int):
@@ -45,6 +68,46 @@ class VectorIndex:
         return self.df.where(F.col(self.vector_col).isNotNull()).select(self.id_col, d.alias("distance")).orderBy("distance", self.id_col).limit(k)
 
 
+    def search_all(self, queries: DataFrame, query_id: str, k: int) -> DataFrame:
+        """query_id, id_col and distance (L2) of the k closest rows of each row of queries (query_id, vector).
+
+        Blocks of queries meet blocks of rows; each pair of blocks keeps k rows a query, which are merged by query id.
+        Rows and queries without a vector are left out.
+        """
+        if not self.built:
+            raise InvalidState("build() comes first")
+        if queries.where(F.size(self.vector_col) != self.dims).limit(1).count():
+            raise InvalidArgument(f"a query doesn't have {self.dims} numbers")
+        ids, dims = (queries.schema[query_id].dataType, self.df.schema[self.id_col].dataType), self.dims
+
+        def blocks(df: DataFrame, id_col: str, size: int, names: list[str], kind: T.DataType) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for at in range(0, batch.num_rows, size):
+                        part = batch.slice(at, size)
+                        data = np.array(part.column(1).to_pylist(), np.float64).tobytes()
+                        own = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                        yield pa.RecordBatch.from_arrays([own, pa.array([data], pa.binary())], names=names)
+
+            schema = T.StructType([T.StructField(names[0], T.ArrayType(kind)), T.StructField(names[1], T.BinaryType())])
+            return df.where(F.col(self.vector_col).isNotNull()).select(id_col, self.vector_col).mapInArrow(run, schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for qs, qv, rs, rv in zip(*(c.to_pylist() for c in batch.columns)):
+                    q, r = (np.frombuffer(x, np.float64).reshape(-1, dims) for x in (qv, rv))
+                    found = nearest(rs, r, q, k)
+                    own = [i for i, (near, _) in zip(qs, found) for _ in near]
+                    near = [i for f, _ in found for i in f]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, batch.column(0).type.value_type), pa.array(near, batch.column(2).type.value_type), pa.array(np.concatenate([d for _, d in found]), pa.float64())], names=["_query", "_near", "distance"])
+
+        both = blocks(queries, query_id, QUERIES, ["_q", "_qv"], ids[0]).crossJoin(blocks(self.df, self.id_col, ROWS, ["_r", "_rv"], ids[1]))
+        schema = T.StructType([T.StructField("_query", ids[0]), T.StructField("_near", ids[1]), T.StructField("distance", T.DoubleType())])
+        place = F.row_number().over(Window.partitionBy("_query").orderBy("distance", "_near"))
+        merged = both.mapInArrow(run, schema).withColumn("_place", place).where(F.col("_place") <= k)
+        return merged.select(F.col("_query").alias(query_id), F.col("_near").alias(self.id_col), "distance")
+
+
 def range_scan(df: DataFrame, column: str, low, high) -> DataFrame:
     """Rows from low to high, both included: a pushed filter, by which Parquet skips row groups."""
     return df.where(F.col(column).between(low, high))

@@ -483,6 +483,16 @@ def knn_topk(spark, sf_dir):
     return found.select("vec_id", r(F.col("distance"), 5).alias("distance"))
 
 
+@query("""SELECT query_id, vec_id, round(d, 5) AS distance FROM (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS place
+FROM (SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE), 2)))) AS d
+FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE place <= 10""")
+def knn_topk_all(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings")
+    index = vectors.VectorIndex(e, "vec_id", "embedding", len(e.head().embedding)).build()
+    found = index.search_all(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", 10)
+    return found.select("query_id", "vec_id", r(F.col("distance"), 5).alias("distance"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 400")
 def range_index_scan(spark, sf_dir):
     return vectors.range_scan(t(spark, sf_dir, "orders"), "o_orderkey", 100, 400).select("o_orderkey", "o_totalprice")
