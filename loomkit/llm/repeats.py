@@ -1,47 +1,62 @@
 """Removal of long repeats across documents: exact substrings of LENGTH bytes, by suffix arrays of shards.
 
-Which byte strings must meet is found by winnowing: of the 20-byte grams in a window of LENGTH bytes the one with the least
+Which byte strings must meet is found by winnowing: of the GRAM-byte grams in a window of LENGTH bytes the one with the least
 hash is its fingerprint, so equal windows have equal fingerprints wherever they stand, and a fingerprint seen in one
 document only can't lead to a repeat. Consecutive windows with one fingerprint form a context: the bytes that they cover.
 Equal contexts are counted once, with their least document. The contexts of fingerprints that two documents share are
 dealt to shards by fingerprint; each shard's text gets a suffix array by induced sorting and permuted common prefixes, of
 which runs of LENGTH or more are equal windows. A window whose run has a smaller document is removed.
 
-Nothing is gathered without bound: fingerprints are reduced within tasks first, a frequent context is one row, and a
-fingerprint with very many different contexts has its windows compared by a join instead of in one shard.
+Texts are dealt out once, to a bucketed table that all later steps read where it lies. Nothing is gathered without bound:
+a task asks once for each fingerprint that several of its documents have, a frequent context is one row, and the contexts
+of a fingerprint that has very many are halved by where the fingerprint stands in the window, again and again, into keys
+that fit shards. Contexts of one fingerprint are told apart by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import annotate, cut, forget
+from loomkit.llm.common import annotate, cut, dealt_once, forget, named
 from loomkit.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 20
-#: Bytes that are hashed at once; fingerprints that a task reduces at once; fingerprints of a group and contexts of a shard.
-PIECE, FLUSH, GROUP, SHARD = 1 << 20, 1 << 20, 500_000, 30_000
-#: Contexts of a fingerprint from which its windows are joined instead.
-CROWD = 15_000
-#: Bytes of a fingerprint; two that agree by chance only cost a needless comparison.
-PRINT = 6
+#: Places of the fingerprint in a window.
+PLACES = LENGTH - GRAM + 1
+#: Bytes that are hashed at once, fingerprints that a task reduces at once, contexts of a shard.
+PIECE, FLUSH, SHARD = 1 << 20, 1 << 20, 16_000
+#: Contexts of a fingerprint that still go to one shard.
+CROWD = 8_000
+#: Bits of a fingerprint; two that agree by chance only cost a needless comparison.
+PRINT = 48
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def contexts(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts' contexts: fingerprint, text, first byte in it, and number of windows."""
+class Contexts(NamedTuple):
+    prints: np.ndarray
+    texts: np.ndarray  # the number of the text
+    first: np.ndarray  # the first byte in it
+    windows: np.ndarray
+    gram: np.ndarray  # where the fingerprint's gram stands in the first window
+
+
+def contexts(datas: list[bytes]) -> Contexts:
+    """The contexts of texts, in order."""
+    nothing = Contexts(*(np.empty(0, np.int64),) * 5)
     sizes = np.array([len(d) for d in datas], np.int64)
     data = np.frombuffer(b"".join(datas), np.uint8)
     n = len(data) - LENGTH + 1
     if n <= 0:
-        return (np.empty(0, np.int64),) * 4
+        return nothing
     h, power, width = data.astype(np.uint64) + np.uint64(1), FACTOR, 1
     four = None
     while width < 16:  # grams of 16 bytes by doubling, and of 20 from those
@@ -54,169 +69,202 @@ def contexts(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     h ^= h >> np.uint64(32)
     h *= FACTOR
     key = (h & ~np.uint64(63)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(63))
-    span, width = LENGTH - GRAM + 1, 1
-    least = key
-    while width * 2 <= span:
+    width, least = 1, key
+    while width * 2 <= PLACES:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    if width < span:
-        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    if width < PLACES:
+        least = np.minimum(least[: len(least) - (PLACES - width)], least[PLACES - width :])
     ends = np.repeat(np.cumsum(sizes), sizes)
     places = np.flatnonzero(ends[:n] - np.arange(n) >= LENGTH)
     chosen = least[places]
     if not len(places):
-        return (np.empty(0, np.int64),) * 4
+        return nothing
     owner = places + ((chosen & np.uint64(63)).astype(np.int64) - places & 63)
     text_of = np.repeat(np.arange(len(sizes)), sizes)[places]
     first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (places[1:] != places[:-1] + 1) | (text_of[1:] != text_of[:-1])))
     texts = text_of[first]
-    return (chosen[first] >> np.uint64(64 - 8 * PRINT)).astype(np.int64), texts, places[first] - (np.cumsum(sizes) - sizes)[texts], np.diff(np.append(first, len(places)))
+    windows = np.diff(np.append(first, len(places)))
+    return Contexts((chosen[first] >> np.uint64(64 - PRINT)).astype(np.int64), texts, places[first] - (np.cumsum(sizes) - sizes)[texts], windows, (owner - places)[first])
+
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[dict, int, bytes]]]:
+    """Rows of the batches (with _text), and their texts' bytes with the place they begin at, some PIECE bytes at a time.
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[bytes]]]:
-    """Rows of the batches (with _text) and their texts' bytes, some PIECE bytes at a time."""
-    rows, datas, size = [], [], 0
+    A text of more than PIECE bytes comes in parts that share LENGTH - 1 bytes, so each window is in one part.
+    """
+    held, size = [], 0
     for batch in batches:
         for row in batch.to_pylist():
-            data = row.pop("_text")
-            rows.append(row)
-            datas.append(data.encode() if data else b"")
-            size += len(datas[-1])
-            if size >= PIECE:
-                yield rows, datas
-                rows, datas, size = [], [], 0
-    if rows:
-        yield rows, datas
-
-
-def longs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.int64)
+            data = row.pop("_text").encode()
+            for at in range(0, max(1, len(data) - LENGTH + 1), PIECE):
+                held.append((row, at, data[at : at + PIECE + LENGTH - 1]))
+                size += len(held[-1][2])
+                if size >= PIECE:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
 
 
-def packed(prints: np.ndarray) -> bytes:
-    return np.ascontiguousarray(prints.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :PRINT]).tobytes()
+def batch_of(columns: dict[str, object]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], names=list(columns))
 
 
-def unpacked(column) -> np.ndarray:
-    narrow = np.frombuffer(b"".join(column), np.uint8).reshape(-1, PRINT)
-    wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, :PRINT] = narrow
-    return wide.view("<i8").ravel()
+def told_fingerprints(docs: DataFrame) -> DataFrame:
+    """_id, _row and _told: of each document (not null, LENGTH bytes at least) the fingerprints that others have too.
 
-
-def shared_fingerprints(docs: DataFrame, groups: int) -> DataFrame:
-    """_id and _told: of each document its fingerprints that two documents have, packed; none, no row.
-
-    A task sends each fingerprint once, with one of its documents, to the group of the fingerprint; one that two of the
-    task's documents share is marked, and its documents are told without asking. Answers travel packed by documents' parts.
+    A task sorts the fingerprints of its documents, FLUSH at a time. Those of one document there are asked for; for those
+    of several, which know already, one asks so that others learn of it. Questions are dealt by fingerprint and sorted, and
+    a fingerprint that is asked for twice is told, row by row. Of equal texts only the one with the least id asks: the
+    others are removed whole, or told by what other tasks find.
     """
-    schema = "_group int, _prints binary, _ids binary, _known binary"
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, ids, size = [], [], 0
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        prints, owners, size, seen = [], [], 0, {}
 
         def flush() -> pa.RecordBatch:
-            p, d = np.concatenate(prints), np.concatenate(ids)
+            ids, marks = (np.array([r[k] for r in rows], np.int64) for k in ("_id", "_row"))
+            p, d = np.concatenate(prints), np.concatenate(owners)
             order = np.lexsort((d, p))
             p, d = p[order], d[order]
             keep = np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]))
             p, d = p[keep], d[keep]
             first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            counts = np.diff(np.append(first, len(p)))
-            rows = []
-            known = np.repeat(counts > 1, counts)
-            for part, i in by(d[known] % groups, np.flatnonzero(known)):
-                rows.append((-1 - part, packed(p[i]), d[i].tobytes(), b""))
-            ask, who, sure = p[first], d[first], counts > 1
-            place = ask % groups
-            order = np.argsort(place, kind="stable")
-            cuts = np.searchsorted(place[order], np.arange(groups + 1))
-            for g in range(groups):
-                i = order[cuts[g] : cuts[g + 1]]
-                if len(i):
-                    rows.append((g, packed(ask[i]), who[i].tobytes(), np.packbits(sure[i]).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["_group", "_prints", "_ids", "_known"])
-
-        for rows, datas in pieces(batches):
-            found, texts, _, _ = contexts(datas)
-            prints.append(found)
-            ids.append(np.array([r["_id"] for r in rows], np.int64)[texts])
-            size += len(found)
+            several = np.diff(np.append(first, len(p))) > 1
+            known = np.repeat(several, np.diff(np.append(first, len(p))))
+            asks = np.concatenate([np.where(known, -1 - p, p * 2), p[first][several] * 2 + 1])
+            who = np.concatenate([d, d[first][several]])
+            return batch_of({"_ask": asks, "_id": ids[who], "_row": marks[who]})
+
+        for held in pieces(batches):
+            used = []
+            for row, at, data in held:
+                mark = xxhash.xxh3_128_digest(data)
+                if mark in seen and at == 0 and seen[mark] <= row["_id"] and len(data) < PIECE:
+                    continue
+                seen[mark] = min(row["_id"], seen.get(mark, row["_id"]))
+                if not rows or rows[-1] is not row:
+                    rows.append(row)
+                used.append((len(rows) - 1, data))
+            found = contexts([data for _, data in used])
+            prints.append(found.prints)
+            owners.append(np.array([k for k, _ in used], np.int64)[found.texts] if used else found.texts)
+            size += len(found.prints)
             if size >= FLUSH:
                 yield flush()
-                prints, ids, size = [], [], 0
+                rows, prints, owners, size, seen = [], [], [], 0, {}
         if size:
             yield flush()
 
-    def answer(table: pa.Table) -> pa.Table:
-        packs, group = table.column("_prints").to_pylist(), table.column("_group")[0].as_py()
-        if group < 0:
-            rows = [(-1 - group, i, p) for i, p in zip(table.column("_ids").to_pylist(), packs)]
-        else:
-            p, d = unpacked(packs), longs(table.column("_ids").to_pylist())
-            sure = np.concatenate([np.unpackbits(np.frombuffer(k, np.uint8))[: len(x) // PRINT] for k, x in zip(table.column("_known").to_pylist(), packs)]).astype(bool)
-            order = np.argsort(p, kind="stable")
-            p, d, sure = p[order], d[order], sure[order]
-            first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            counts = np.diff(np.append(first, len(p)))
-            two = (np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)) | np.logical_or.reduceat(sure, first)
-            tell = np.repeat(two, counts) & ~sure
-            d, p = d[tell], p[tell]
-            rows = [(part, d[i].tobytes(), packed(p[i])) for part, i in by(d % groups, np.arange(len(d)))]
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["_part", "_ids", "_prints"])
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held = -1, None  # the last fingerprint, and its one question if that was all so far
+        for batch in batches:
+            asks, ids, rows = (batch.column(k).to_numpy() for k in range(3))
+            known = asks < 0
+            out = [(ids[known], rows[known], -1 - asks[known])]
+            p, sure, ids, rows = asks[~known] >> 1, (asks[~known] & 1) == 1, ids[~known], rows[~known]
+            if len(p):
+                first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                sizes = np.diff(np.append(first, len(p)))
+                shared = (sizes > 1) | np.logical_or.reduceat(sure, first)
+                if p[0] == before:
+                    shared[0] = True
+                    if held:
+                        out.append(tuple(np.array([x]) for x in held))
+                last = first[-1]
+                before, held = p[last], None if shared[-1] or sure[last] else (ids[last], rows[last], p[last])
+                told = np.repeat(shared, sizes) & ~sure
+                out.append((ids[told], rows[told], p[told]))
+            ids, rows, prints = (np.concatenate([o[k] for o in out]) for k in range(3))
+            if len(ids):
+                yield batch_of({"_id": ids, "_row": rows, "_print": prints})
+
+    asked = docs.select("_id", "_row", "_text").mapInArrow(ask, "_ask long, _id long, _row long")
+    place = F.when(F.col("_ask") < 0, F.xxhash64("_id")).otherwise(F.shiftright("_ask", 1))
+    told = asked.repartition(place).sortWithinPartitions("_ask").mapInArrow(tell, "_id long, _row long, _print long")
+    return told.groupBy("_id", "_row").agg(F.collect_list("_print").alias("_told"))
+
+
+#: _place: the first byte, the number of windows and where the gram stands in the first one, in 5 bits each of the last two.
+CONTEXT = "_id long, _row long, _print long, _name long, _place long"
 
-    def tell(table: pa.Table) -> pa.Table:
-        rows = [(doc, packed(np.unique(own))) for doc, own in by(longs(table.column("_ids").to_pylist()), unpacked(table.column("_prints").to_pylist()))]
-        return pa.table({"_id": pa.array([r[0] for r in rows], pa.int64()), "_told": pa.array([r[1] for r in rows], pa.binary())})
 
-    return docs.select("_id", "_text").mapInArrow(probe, schema).groupBy("_group").applyInArrow(answer, "_part int, _ids binary, _prints binary").groupBy("_part").applyInArrow(tell, "_id long, _told binary")
+def shared_contexts(docs: DataFrame, told: DataFrame, copies: DataFrame) -> DataFrame:
+    """The contexts with fingerprints that their document was told of; copies of a document have none."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in pieces(batches):
+            found = contexts([data for _, _, data in held])
+            mine = np.zeros(len(found.prints), bool)
+            cuts = np.searchsorted(found.texts, np.arange(len(held) + 1))
+            for i, (row, _, _) in enumerate(held):
+                a, b = cuts[i], cuts[i + 1]
+                mine[a:b] = np.isin(found.prints[a:b], np.array(row["_told"], np.int64))
+            own, first, windows, gram = (x[mine] for x in found[1:])
+            names = np.fromiter((xxhash.xxh3_64_intdigest(held[t][2][f : f + w + LENGTH - 1]) for t, f, w in zip(own.tolist(), first.tolist(), windows.tolist())), np.uint64, len(own))
+            begins, ids, marks = (np.array(x, np.int64)[own] for x in ([at for _, at, _ in held], [r["_id"] for r, _, _ in held], [r["_row"] for r, _, _ in held]))
+            yield batch_of({"_id": ids, "_row": marks, "_print": found.prints[mine], "_name": names.view(np.int64), "_place": begins + first << 10 | windows << 5 | gram})
 
-def by(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The values of each key."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
-    for a, b in zip(starts, [*starts[1:], len(keys)]):
-        yield int(keys[a]), values[a:b]
+    here = docs.join(told, ["_id", "_row"]).join(copies, ["_id", "_row"], "left_anti")
+    return here.select("_id", "_row", "_text", "_told").mapInArrow(run, CONTEXT)
 
 
-CONTEXT = "_id long, _row long, _first int, _windows int, _print long, _name long"
+#: Contexts, or parts of them, that are to be compared: _key is what equal windows have in common, _at the part's first byte
+#: in its context, _low and _high where the fingerprint stands in its windows, at least and at most.
+PART = "_key long, _print long, _name long, _least long, _at int, _low int, _high int, _gram int, _bytes binary"
 
 
-def shared_contexts(docs: DataFrame, told: DataFrame, copies: DataFrame) -> DataFrame:
-    """The contexts of each document with fingerprints that it was told of, by place; copies of a document have none."""
+def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The contexts wanted (_print, _name, _count, and _where one stands) as parts, with _count."""
+    of = wanted.groupBy(F.col("_where._id").alias("_id"), F.col("_where._row").alias("_row")).agg(F.collect_list(F.struct("_print", "_name", "_where._place", "_count")).alias("_of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, datas in pieces(batches):
-            found, texts, first, windows = contexts(datas)
-            mine = np.zeros(len(found), bool)
-            cuts = np.searchsorted(texts, np.arange(len(datas) + 1))
-            for i, row in enumerate(rows):
-                a, b = cuts[i], cuts[i + 1]
-                if row["_row"] not in (row["_copies"] or ()):
-                    mine[a:b] = np.isin(found[a:b], unpacked([row["_told"]]))
-            keep = np.flatnonzero(mine)
-            own, first, windows = texts[keep], first[keep], windows[keep]
-            names = np.fromiter((xxhash.xxh3_64_intdigest(datas[t][f : f + w + LENGTH - 1]) for t, f, w in zip(own.tolist(), first.tolist(), windows.tolist())), np.uint64, len(keep))
-            ids, marks = (np.array([r[k] for r in rows], np.int64)[own] for k in ("_id", "_row"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(found[keep]), pa.array(names.view(np.int64))], names=["_id", "_row", "_first", "_windows", "_print", "_name"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = row["_text"].encode()
+                places = [c["_place"] for c in row["_of"]]
+                n = len(places)
+                column = {k: pa.array([c[k] for c in row["_of"]], pa.int64()) for k in ("_print", "_name", "_count")}
+                same = lambda value, kind=pa.int32(): pa.array([value] * n, kind)
+                cuts = [data[p >> 10 : (p >> 10) + (p >> 5 & 31) + LENGTH - 1] for p in places]
+                yield batch_of({"_key": column["_print"], "_print": column["_print"], "_name": column["_name"], "_least": same(row["_id"], pa.int64()), "_at": same(0), "_low": same(0), "_high": same(PLACES - 1), "_gram": pa.array([p & 31 for p in places], pa.int32()), "_bytes": pa.array(cuts, pa.binary()), "_count": column["_count"]})
 
-    lists = told.join(copies.groupBy("_id").agg(F.collect_list("_row").alias("_copies")), "_id", "left")
-    return docs.join(lists, "_id").select("_id", "_row", "_text", "_told", "_copies").mapInArrow(run, CONTEXT)
+    return docs.join(of, ["_id", "_row"]).select("_id", "_text", "_of").mapInArrow(run, PART + ", _count long")
 
 
-def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The contexts wanted (_print, _name, and _where one stands) with their bytes."""
-    of = wanted.groupBy(F.col("_where._id").alias("_id"), F.col("_where._row").alias("_row")).agg(F.collect_list(F.struct("_print", "_name", "_where._first", "_where._windows")).alias("_of"))
+def halved(part: dict) -> Iterator[tuple]:
+    """A part as parts whose windows have the fingerprint in the left or the right half of the places that it had there.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, datas in pieces(batches):
-            out = [(c["_print"], c["_name"], r["_id"], d[c["_first"] : c["_first"] + c["_windows"] + LENGTH - 1]) for r, d in zip(rows, datas) for c in r["_of"]]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["_print", "_name", "_least", "_bytes"])
+    If it stands at `middle` at least, equal windows have as many bytes before it in common; else, the bytes after it that
+    all such windows hold. Where the gram stands more than once, its first place in the window counts.
+    """
+    data, low, high = part["_bytes"], part["_low"], part["_high"]
+    gram, middle = data[part["_gram"] : part["_gram"] + GRAM], (low + high + 1) // 2
+    runs: list[list] = []  # key, first window, last window, place of the gram
+    for k in range(len(data) - LENGTH + 1):
+        at = data.index(gram, k)
+        right = at - k >= middle
+        key = (at, right)
+        if runs and runs[-1][0] == key:
+            runs[-1][2] = k
+        else:
+            runs.append([key, k, k])
+    for (at, right), first, last in runs:
+        common = data[at - middle : at] if right else data[at + GRAM : at + GRAM + PLACES - middle]
+        key = xxhash.xxh3_64_intdigest(b"%d %d " % (part["_key"], right) + gram + common)
+        bounds = (middle, high) if right else (low, middle - 1)
+        yield (key - (key >> 63 << 64), part["_print"], part["_name"], part["_least"], part["_at"] + first, *bounds, at - first, data[first : last + LENGTH])
 
-    once = docs.join(of, ["_id", "_row"]).dropDuplicates(["_id", "_row"])
-    return once.select("_id", "_text", "_of").mapInArrow(run, "_print long, _name long, _least long, _bytes binary")
+
+def by(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of each key."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
+    for a, b in zip(starts, [*starts[1:], len(keys)]):
+        yield int(keys[a]), values[a:b]
 
 
 def covered(windows: np.ndarray) -> list[int]:
@@ -226,13 +274,13 @@ def covered(windows: np.ndarray) -> list[int]:
     return ((first << 32) + last - first + LENGTH).tolist()
 
 
-def repeated_windows(names: list[tuple], datas: list[bytes], least: np.ndarray) -> Iterator[tuple[tuple, list[int]]]:
-    """Of a shard's contexts: name, and packed spans of the windows that a context with a smaller least document has too."""
+def repeated_windows(datas: list[bytes], least: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """Of a shard's parts: number, and packed spans of the windows that a part with a smaller least document has too."""
     sizes = np.array([len(d) + 1 for d in datas], np.int64)
     flat = np.frombuffer(b"\0".join(datas) + b"\0" * (LENGTH + 9), np.uint8)
     total = int(sizes.sum())
     letters = flat[:total].astype(np.int16) + 1
-    letters[np.cumsum(sizes) - 1] = 0  # between contexts
+    letters[np.cumsum(sizes) - 1] = 0  # between parts
     sa = suffix_array(letters, 257)
     of = np.repeat(np.arange(len(datas)), sizes)
     starts = np.cumsum(sizes) - sizes
@@ -243,38 +291,54 @@ def repeated_windows(names: list[tuple], datas: list[bytes], least: np.ndarray)
     smallest = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.append(heads, len(sa))))
     gone = np.sort(sa[smallest < owner])
     for c, places in by(of[gone], gone):
-        yield names[c], covered(places - starts[c])
+        yield c, covered(places - starts[c])
 
 
 #: Spans travel as one number: first byte in the upper 32 bits, bytes in the lower ones.
 GONE = "_print long, _name long, _gone array<long>"
 
 
-def marks(told: DataFrame, shards: int, crowds: DataFrame | None) -> DataFrame:
-    """_print, _name and _gone (spans that a smaller document has too) of contexts with _print, _name, _least and _bytes."""
-
+def by_shards(parts: DataFrame, shards: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        keys = list(zip(table.column("_print").to_pylist(), table.column("_name").to_pylist()))
-        rows = list(repeated_windows(keys, table.column("_bytes").to_pylist(), table.column("_least").to_numpy()))
-        return pa.table({"_print": pa.array([r[0][0] for r in rows], pa.int64()), "_name": pa.array([r[0][1] for r in rows], pa.int64()), "_gone": pa.array([r[1] for r in rows], pa.list_(pa.int64()))})
+        prints, names, starts = (table.column(c).to_numpy() for c in ("_print", "_name", "_at"))
+        found = list(repeated_windows(table.column("_bytes").to_pylist(), table.column("_least").to_numpy()))
+        at = np.array([c for c, _ in found], np.int64)
+        spans = [[s + (int(starts[c]) << 32) for s in gone] for c, gone in found]
+        return pa.table({"_print": pa.array(prints[at]), "_name": pa.array(names[at]), "_gone": pa.array(spans, pa.list_(pa.int64()))})
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(r["_print"], r["_name"], k, xxhash.xxh3_128_digest(r["_bytes"][k : k + LENGTH]), r["_least"]) for r in batch.to_pylist() for k in range(len(r["_bytes"]) - LENGTH + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["_print", "_name", "_k", "_window", "_least"])
+    return parts.select("_print", "_name", "_at", "_least", "_bytes", "_key").groupBy(F.pmod("_key", F.lit(shards))).applyInArrow(run, GONE)
 
-    if crowds is None:
-        return told.groupBy(F.pmod("_print", F.lit(shards))).applyInArrow(run, GONE)
-    told = cut(told, "context-bytes")
-    few = told.join(crowds, "_print", "left_anti").groupBy(F.pmod("_print", F.lit(shards))).applyInArrow(run, GONE)
-    windows = told.join(crowds, "_print", "left_semi").mapInArrow(split, "_print long, _name long, _k int, _window binary, _least long")
-    smallest = windows.groupBy("_window").agg(F.min("_least").alias("_min"))
-    many = windows.join(smallest, "_window").where("_min < _least").groupBy("_print", "_name").agg(F.collect_list(packed_span(F.col("_k"), F.lit(LENGTH))).alias("_gone"))
-    return few.unionByName(many)
 
+def marks(parts: DataFrame, shards: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """_print, _name and _gone: spans of contexts that a smaller document has too; most: the largest _count of parts.
 
-def packed_span(start: Column, size: Column) -> Column:
-    return F.shiftleft(start.cast("long"), 32) + size
+    And the tables that it reads.
+
+    Keys with few parts are compared in shards. Parts of the others are halved; those whose windows have the fingerprint at
+    one place are equal wherever their keys are, and their least document is a plain minimum.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for part in batch.to_pylist() for x in halved(part)]
+            if rows:
+                kinds = (*(pa.int64(),) * 4, *(pa.int32(),) * 4, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in PART.split(", ")])
+
+    done, used = [], []
+    while most > CROWD:
+        parts = cut(parts, "parts")
+        done.append(by_shards(parts.where(F.col("_count") <= CROWD), shards))
+        narrower = cut(parts.where(F.col("_count") > CROWD).mapInArrow(split, PART), "parts")
+        at_one = narrower.where("_low = _high")
+        least = at_one.groupBy("_key").agg(F.min("_least").alias("_smallest"))
+        span = F.shiftleft(F.col("_at").cast("long"), 32) + F.octet_length("_bytes")
+        done.append(at_one.join(least, "_key").where("_smallest < _least").select("_print", "_name", F.array(span).alias("_gone")))
+        counts = cut(narrower.where("_low < _high").groupBy("_key").agg(F.count(F.lit(1)).alias("_count")).where("_count > 1"), "counts")
+        used += [parts, narrower, counts]
+        parts = narrower.where("_low < _high").join(counts, "_key")
+        most = counts.agg(F.max("_count")).head()[0] or 0
+    return reduce(DataFrame.unionByName, [*done, by_shards(parts, shards)]), used
 
 
 REMOVED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
@@ -283,37 +347,46 @@ REMOVED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("r
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, removed (maximal runs of bytes, end exclusive) and kept (the other bytes), a row per row of df.
 
-    A byte is removed if a LENGTH-byte string that covers it also starts in a row with a smaller id (an integer), as the
-    texts are in df. Null texts are empty; rows with a null id neither lose bytes nor make others lose any; rows of one id
-    don't count for each other, equal ones included. An empty df gives no rows; other columns play no part.
+    A byte is removed if a LENGTH-byte string that covers it also starts in a row with a smaller id (of an integer type,
+    else it's an error), as the texts are in df. Null texts are empty; rows with a null id neither lose bytes nor make
+    others lose any; rows of one id don't count for each other, equal ones included. Very long texts are read in parts. An
+    empty df gives no rows; other columns play no part. The result reads two tables of the shared folder: the texts as
+    dealt out, and their spans.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    shared_ids = docs.groupBy("_id").count().where("count > 1 AND _id IS NOT NULL").head(1)
-    docs = docs.withColumn("_row", F.xxhash64("_text") if shared_ids else F.lit(0).cast("long"))  # tells rows of one id apart
+    id_type = df.schema[id_col].dataType
+    if not isinstance(id_type, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type: documents are compared by it, and it is {id_type.simpleString()}")
+    docs = df.select(named(id_col).cast("long").alias("_id"), F.coalesce(named(text_col), F.lit("")).alias("_text"))
+    total = docs.agg(F.sum(F.octet_length("_text").cast("long"))).head()[0] or 0
+    repeated = bool(docs.groupBy("_id").count().where("count > 1 AND _id IS NOT NULL").head(1))
+    mark = F.xxhash64("_text")  # tells rows of one id apart
+    docs = docs.withColumn("_row", mark if repeated else F.when(F.col("_id").isNull(), mark).otherwise(F.lit(0).cast("long")))
+    if repeated:
+        docs = docs.groupBy("_id", "_row").agg(F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_times"))
+    docs = dealt_once(docs, ["_id", "_row"], total)
     long_ones = docs.where(F.col("_id").isNotNull() & (F.octet_length("_text") >= LENGTH))
-    total = long_ones.agg(F.sum(F.octet_length("_text"))).head()[0] or 0
     equal = F.md5("_text").alias("_same")
     firsts = long_ones.groupBy(equal).agg(F.min("_id").alias("_least"))
     copies = cut(long_ones.select("_id", "_row", F.octet_length("_text").alias("_size"), equal).join(firsts, "_same").where("_id > _least").drop("_same", "_least"), "copies")
-    told = cut(shared_fingerprints(long_ones, max(8, total // 16 // GROUP)), "told")  # frees the fingerprints' shuffle before texts are dealt out
-    found = cut(shared_contexts(long_ones, told, copies), "contexts")
+    told = cut(told_fingerprints(long_ones), "told")
+    found = cut(shared_contexts(long_ones, told, copies.select("_id", "_row")), "contexts")
     forget(told)
-    distinct = cut(found.groupBy("_print", "_name").agg(F.min(F.struct("_id", "_row", "_first", "_windows")).alias("_where")), "distinct-contexts")
-    counts = cut(distinct.groupBy("_print").count().where("count > 1"), "counts")  # a lone context has nothing to be compared with
-    known, most = counts.agg(F.sum("count"), F.max("count")).head()
-    crowds = counts.where(F.col("count") > CROWD).select("_print") if most and most > CROWD else None
-    gone = cut(marks(with_bytes(long_ones, distinct.join(counts, "_print", "left_semi")), max(1, (known or 0) // SHARD), crowds), "gone")
-    names = distinct.select("_print", "_name", F.col("_where._id").alias("_least")).join(gone, ["_print", "_name"], "left")
+    distinct = cut(found.groupBy("_print", "_name").agg(F.min(F.struct("_id", "_row", "_place")).alias("_where")), "distinct-contexts")
+    counts = cut(distinct.groupBy("_print").agg(F.count(F.lit(1)).alias("_count")).where("_count > 1"), "counts")  # a lone context has nothing to be compared with
+    known, most = counts.agg(F.sum("_count"), F.max("_count")).head()
+    gone, used = marks(with_bytes(long_ones, distinct.join(counts, "_print")), max(1, (known or 0) // SHARD), most or 0)
+    gone = cut(gone, "gone")
+    forget(*used)
+    names = cut(distinct.select("_print", "_name", F.col("_where._id").alias("_least")).join(gone, ["_print", "_name"], "left"), "names")  # by itself, so that the next join can split a hot name
     placed = found.join(names, ["_print", "_name"])
-    whole = F.col("_id") > F.col("_least")
-    first = F.shiftleft(F.col("_first").cast("long"), 32)
-    spans = F.when(whole, F.array(first + F.col("_windows") + (LENGTH - 1))).otherwise(F.transform("_gone", lambda k: first + k))
-    spans = placed.where(whole | F.col("_gone").isNotNull()).select("_id", "_row", spans.alias("_spans"))
-    spans = spans.unionByName(copies.select("_id", "_row", F.array(F.col("_size").cast("long")).alias("_spans")))
-    spans = cut(spans.groupBy("_id", "_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), "spans")
-    forget(copies, found, distinct, counts, gone)
-    same = (docs["_id"] == spans["_id"]) & (docs["_row"] == spans["_row"])
-    both = docs.join(spans, same, "left").select(docs["_id"].alias(id_col), F.struct("_text", "_spans").alias("_both"))
+    whole, first, windows = F.col("_id") > F.col("_least"), F.shiftright("_place", 10), F.shiftright("_place", 5).bitwiseAND(31)
+    begin = F.shiftleft(first, 32)
+    spans = F.when(whole, F.array(begin + windows + (LENGTH - 1))).otherwise(F.transform("_gone", lambda k: begin + k))
+    spans = placed.where(whole | F.col("_gone").isNotNull()).select("_id", "_row", F.explode(spans).alias("_span"))
+    spans = spans.unionByName(copies.select("_id", "_row", F.col("_size").cast("long").alias("_span")))
+    spans = cut(spans.groupBy("_id", "_row").agg(F.collect_list("_span").alias("_spans")), "spans")
+    forget(copies, found, distinct, counts, gone, names)
+    both = docs.join(spans, ["_id", "_row"], "left").select(F.col("_id").alias(id_col), *(["_times"] if repeated else []), F.struct("_text", "_spans").alias("_both"))
 
     def cut_out(row: dict) -> tuple:
         data, at, out, removed = row["_text"].encode(), 0, [], []
@@ -329,7 +402,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return len(data), removed, b"".join(out) + data[at:]
 
     done = annotate(both, "_both", lambda: lambda rows: list(map(cut_out, rows)), REMOVED).drop("_both")
-    return done.withColumn(id_col, F.col(id_col).cast(df.schema[id_col].dataType))
+    if repeated:
+        done = done.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
+    return done.withColumn(id_col, named(id_col).cast(id_type))
 
 
 def digest(removed: DataFrame) -> DataFrame:

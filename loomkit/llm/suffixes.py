@@ -1,18 +1,20 @@
-"""Suffix arrays by induced sorting, a bucket at a time, and permuted common prefixes.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are S-type (smaller than the next one) or L-type. Leftmost S-type ones (LMS) begin the LMS substrings; these are
-sorted by inducing, named, and the string of names is sorted recursively; its order induces that of all suffixes. The two
-scans of inducing run over the buckets of first letters: all suffixes of a bucket are known before the next one's, so each
-bucket is handled as an array. A recursion whose alphabet is large would have tiny buckets; there names are doubled
-instead, over as many symbols as DEPTH letters can have, which is as far as the order is needed.
+sorted by inducing, named, and the string of names is sorted recursively; its order induces that of all suffixes. A level
+has at most half the letters of the one before, and each is sorted in linear time.
+
+Inducing scans the buckets of first letters from the least to the greatest and back. Over few letters a bucket is handled as
+one array: all its suffixes are known before the next one's. Over many letters, as names are, buckets are tiny, and the
+scan goes suffix by suffix over counted bucket starts instead. Both give the same order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Letters up to which suffixes are told apart in recursion, and the largest alphabet that is sorted by buckets.
-DEPTH, BUCKETS = 64, 1024
+#: Suffixes a letter on average from which buckets are handled as arrays.
+DENSE = 64
 
 
 def s_types(s: np.ndarray) -> np.ndarray:
@@ -38,8 +40,8 @@ def joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
-def induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """All suffixes, sorted as far as the order of lms (in which those of one letter are taken) decides."""
+def induce_buckets(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """induce(), a bucket at a time."""
     seeds: list[list[np.ndarray]] = [[] for _ in range(sigma)]
     dealt(lms, s[lms], seeds)
     large: list[list[np.ndarray]] = [[] for _ in range(sigma)]
@@ -75,6 +77,43 @@ def induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.n
     return joined([part for c in range(sigma) for part in (joined(large[c]), joined(small[c])[::-1])])
 
 
+def induce_one_by_one(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """induce(), a suffix at a time."""
+    n = len(s)
+    ends = np.cumsum(np.bincount(s, minlength=sigma))
+    starts = ends - np.bincount(s, minlength=sigma)
+    # the letter that a suffix is preceded by, if that one is to be induced in this scan; place -1 stands for none
+    before = np.append(-1, s[:-1])
+    is_s_before = np.append(False, is_s[:-1])
+    to_large = np.append(np.where(is_s_before, -1, before), -1).tolist()
+    to_small = np.append(np.where(is_s_before, before, -1), -1).tolist()
+    found = np.full(n, -1)
+    order = np.argsort(s[lms], kind="stable")
+    letters = s[lms][order]
+    sizes = np.bincount(letters, minlength=sigma)
+    found[(ends - sizes)[letters] + np.arange(len(lms)) - (np.cumsum(sizes) - sizes)[letters]] = lms[order]
+    sa, head, tail = found.tolist(), starts.tolist(), (ends - 1).tolist()
+    last = int(s[-1])
+    sa[head[last]] = n - 1  # led by the empty suffix
+    head[last] += 1
+    for place in sa:  # grows ahead of the scan
+        letter = to_large[place]
+        if letter >= 0:
+            sa[head[letter]] = place - 1
+            head[letter] += 1
+    for place in reversed(sa):
+        letter = to_small[place]
+        if letter >= 0:
+            sa[tail[letter]] = place - 1
+            tail[letter] -= 1
+    return np.array(sa)
+
+
+def induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """All suffixes, sorted as far as the order of lms (in which those of one letter are taken) decides."""
+    return (induce_buckets if len(s) >= DENSE * sigma else induce_one_by_one)(s, is_s, lms, sigma)
+
+
 def named(s: np.ndarray, ranked: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Numbers of the LMS substrings of ranked (starts, in their order), from 0; equal ones have one number."""
     differ = np.ones(len(ranked), bool)
@@ -90,26 +129,8 @@ def named(s: np.ndarray, ranked: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.cumsum(differ) - 1
 
 
-def doubled(names: np.ndarray, symbols: int) -> np.ndarray:
-    """Suffixes of names in order of their first `symbols` symbols at least."""
-    rank, step = names.astype(np.int64) + 1, 1
-    order = np.argsort(rank, kind="stable")
-    while step < symbols:
-        after = np.append(rank[step:], np.zeros(min(step, len(rank)), np.int64))[: len(rank)]
-        key = rank * (int(rank.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        fresh = np.append(True, ranked[1:] != ranked[:-1])
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.cumsum(fresh)
-        if fresh.all():
-            break
-        step *= 2
-    return order
-
-
-def suffix_array(s: np.ndarray, sigma: int, depth: int = DEPTH) -> np.ndarray:
-    """Starts of all suffixes of s (letters under sigma) in order of their first `depth` letters at least."""
+def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
+    """Starts of all suffixes of s (letters under sigma), in order."""
     n = len(s)
     if n < 2:
         return np.arange(n)
@@ -126,12 +147,7 @@ def suffix_array(s: np.ndarray, sigma: int, depth: int = DEPTH) -> np.ndarray:
         number[ranked] = named(s, ranked, size[ranked])
         names = number[lms]
         kinds = int(names.max()) + 1
-        if kinds == len(lms):
-            lms = ranked
-        elif kinds <= BUCKETS:
-            lms = lms[suffix_array(names, kinds, depth)]
-        else:
-            lms = lms[doubled(names, -(-depth // 2))]
+        lms = ranked if kinds == len(lms) else lms[suffix_array(names, kinds)]
     return induce(s, is_s, lms, sigma)
 
 

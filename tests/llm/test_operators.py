@@ -129,6 +129,34 @@ def plain_removal(rows: list[tuple]) -> list[tuple]:
     return sorted(out, key=str)
 
 
+def test_repeats_of_a_crowd(spark, monkeypatch):
+    """More contexts of a fingerprint than one shard takes, at each step of halving."""
+    monkeypatch.setattr(repeats, "CROWD", 3)
+    rnd = random.Random(4)
+    letters = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    middle, heads, tails = letters(40), [letters(30) for _ in range(6)], [letters(30) for _ in range(6)]
+    rows = [(i, rnd.choice(heads)[rnd.choice([0, 0, 3, 20]) :] + middle + rnd.choice(tails)[: rnd.choice([30, 30, 8, 20])] + letters(5)) for i in range(80)]
+    rows += [(i, letters(9) + "za" * 20 + letters(rnd.randint(0, 9)) + "za" * 40) for i in range(80, 100)] + [(i, letters(3) + middle + heads[0] + letters(3)) for i in range(100, 120)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, bytes(r.kept)) for r in got), key=str) == plain_removal(rows)
+
+
+def test_repeats_in_long_texts(spark, monkeypatch):
+    """Texts longer than what is read at once, and tasks that reduce their fingerprints more than once."""
+    monkeypatch.setattr(repeats, "PIECE", 300)
+    monkeypatch.setattr(repeats, "FLUSH", 40)
+    rnd = random.Random(6)
+    passages = ["".join(rnd.choices("abcdefgh é", k=rnd.randint(40, 400))) for _ in range(8)]
+    rows = [(i, "".join(rnd.choice(passages) + "".join(rnd.choices("xyz ", k=rnd.randint(0, 9))) for _ in range(rnd.choice([0, 1, 2, 12])))) for i in range(40)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, bytes(r.kept)) for r in got), key=str) == plain_removal(rows)
+
+
+def test_repeats_need_integer_ids(spark):
+    with pytest.raises(TypeError, match="integer"):
+        repeats.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("again", [False, True])
 def test_repeats(spark, none, again):
     rnd = random.Random(3)

@@ -222,7 +222,7 @@ def test_classifier_on_planted_words():
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60))
 def test_suffix_array(values):
     s = np.array(values)
-    sa = suffixes.suffix_array(s, 4, 200)
+    sa = suffixes.suffix_array(s, 4)
     assert sa.tolist() == sorted(range(len(s)), key=lambda i: values[i:])
     data = np.concatenate([s.astype(np.uint8), np.zeros(60, np.uint8)])
     common = suffixes.permuted_prefixes(data, sa, 40)
@@ -231,14 +231,28 @@ def test_suffix_array(values):
         assert common[b] == n
 
 
+@pytest.mark.parametrize("dense", [0, 64, 1 << 40])
+def test_suffix_array_of_a_large_alphabet(dense, monkeypatch):
+    monkeypatch.setattr(suffixes, "DENSE", dense)
+    r = random.Random(20)
+    phrases = [bytes(r.randrange(97, 123) for _ in range(r.randint(3, 30))) for _ in range(400)]
+    data = b"".join(r.choice(phrases) for _ in range(2500))
+    sigmas, plain = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda s, sigma: sigmas.append(sigma) or plain(s, sigma))
+    sa = suffixes.suffix_array(np.frombuffer(data, np.uint8).astype(np.int64), 256)
+    assert sorted(sa.tolist()) == list(range(len(data))) and all(data[a:] < data[b:] for a, b in zip(sa, sa[1:]))
+    assert max(sigmas[1:]) > 1024 and len(sigmas) > 2  # recursion over more than 1,024 names, and again
+
+
 def test_equal_windows_have_equal_fingerprints():
     r = random.Random(10)
     shared = bytes(r.randrange(97, 101) for _ in range(90))
     texts = [bytes(r.randrange(97, 123) for _ in range(r.randint(0, 80))) + shared + bytes(r.randrange(97, 123) for _ in range(30)) for _ in range(20)] + [b"", b"ab" * 100, b"x" * 49, b"x" * 50]
-    prints, of, first, windows = repeats.contexts(texts)
+    prints, of, first, windows, gram = repeats.contexts(texts)
     by_window = {}
-    for p, t, f, w in zip(prints, of, first, windows):
+    for p, t, f, w, g in zip(prints, of, first, windows, gram):
         for k in range(f, f + w):
             by_window.setdefault(texts[t][k : k + 50], set()).add(int(p))
+            assert k <= f + g <= k + 30
     assert all(len(p) == 1 for p in by_window.values())
     assert sum(windows) == sum(max(0, len(t) - 49) for t in texts)
