@@ -2,12 +2,15 @@
 
 Each line with a word is content or boilerplate. A line's features and the labels of neighbouring lines are weighed by a
 conditional random field; Viterbi decoding gives the likeliest labels. A document is kept if enough of its words lie in
-content lines. The weights are fitted to labelled documents, whose lines all bear the document's label as a (noisy) one.
+content lines. The weights are fitted to labelled documents: the lines of a good one are all content; those of a bad one are
+hidden, except that not all of them are content. So boilerplate is what bad documents have and good ones don't, the plain
+lines of a bad document stay content, and the moves between labels are learned from where they change inside documents.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import annotate
+from loomkit.llm.common import annotate, named
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 MARKS = re.compile(r"""[!?.,;:'"()\[\]{}=_~^\\/@+-]""")
-#: Labelled documents that weights are fitted to, at most.
-SAMPLE = 1500
+#: Labelled documents that weights are fitted to, at most; stretches of a document and lines of a stretch that the fit sees.
+SAMPLE, STRETCHES, STRETCH = 1500, 4, 64
 #: Share of words in content lines from which a document is kept.
 SHARE = 0.5
 FEATURES = ("always", "symbol in 1 of 50", "symbol in 1 of 20", "symbol in 1 of 8", "half upper case", "mostly upper case", "many digits", "a mark for each second word", "a mark for each word", "bang for each second word", "seen before", "under 4 words", "over 25 words", "few different words", "long words", "short words", "ends a sentence", "a bar")
@@ -65,28 +68,37 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     return found[::-1]
 
 
-def repeated_words(found: list[str]) -> int:
-    """Words inside three-word windows that the text has twice or more."""
-    n = len(found) - 2
+def repeated_words(ids: np.ndarray, kinds: int) -> int:
+    """Words inside three-word windows that the text has twice or more; ids: the words as numbers under kinds."""
+    n = len(ids) - 2
     if n < 2:
         return 0
-    numbers: dict[str, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found))
-    if len(numbers) < 1 << 21:
+    if kinds < 1 << 21:
         windows = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
         _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
     else:
         _, inverse, counts = np.unique(np.column_stack([ids[:-2], ids[1:-1], ids[2:]]), axis=0, return_inverse=True, return_counts=True)
     twice = counts[inverse.ravel()] > 1
-    covered = np.zeros(len(found), bool)
+    covered = np.zeros(len(ids), bool)
     for k in range(3):
         covered[k : k + n] |= twice
     return int(covered.sum())
 
 
-def read_lines(text: str | None) -> tuple[list[str], list[int], list[int], int]:
-    """All words; the features and numbers of words of the lines that have any; how many of these equal an earlier line."""
-    found, features, sizes, seen, again = [], [], [], set(), 0
+class Lines(NamedTuple):
+    """What the rules need of a text; of its words only numbers are held, so that a very long one fits."""
+
+    words: np.ndarray  # equal ones have one number
+    kinds: int
+    chars: int  # in words
+    features: list[int]  # of each line with a word
+    sizes: list[int]  # its words
+    again: int  # lines that equal an earlier one
+
+
+def read_lines(text: str | None) -> Lines:
+    numbers: dict[str, int] = {}
+    ids, chars, features, sizes, seen, again = array("q"), 0, [], [], set(), 0
     for line in text.split("\n") if text else ():
         here = WORD.findall(line)
         if here:
@@ -95,98 +107,139 @@ def read_lines(text: str | None) -> tuple[list[str], list[int], list[int], int]:
             again += known
             features.append(line_features(line, here, known))
             sizes.append(len(here))
-            found += here
-    return found, features, sizes, again
+            chars += sum(map(len, here))
+            ids.extend([numbers.setdefault(w, len(numbers)) for w in here])
+    return Lines(np.frombuffer(ids, np.int64) if ids else np.empty(0, np.int64), len(numbers), chars, features, sizes, again)
 
 
-def matrix(features: list[int]) -> np.ndarray:
+def matrix(features: list[int] | np.ndarray) -> np.ndarray:
     return ((np.array(features, np.int64)[:, None] >> np.arange(len(FEATURES))) & 1).astype(float)
 
 
-def fit(docs: list[tuple[list[int], int]], rounds: int = 150, rate: float = 1.0, decay: float = 1e-3) -> Weights:
-    """Weights that make the lines' labels likeliest: gradient ascent on the mean log-likelihood, by forward and backward sums.
-
-    docs: the features of each document's lines and the label of all of them. Without both labels, every line is content.
+def stretches(features: list[int]) -> list[list[int]]:
+    """STRETCHES stretches of STRETCH lines at most, spread evenly over a document; all lines of a shorter one."""
+    n = -(-len(features) // STRETCH)
+    chosen = range(n) if n <= STRETCHES else [n * k // STRETCHES for k in range(STRETCHES)]
+    return [features[k * STRETCH : (k + 1) * STRETCH] for k in chosen]
+
+
+class Chains:
+    """Sequences of lines for forward and backward sums, in steps: first all first lines, then all second ones, and so on."""
+
+    def __init__(self, docs: list[list[int]]):
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        self.sizes = np.array([len(docs[i]) for i in order])
+        self.order, most = np.array(order), int(self.sizes[0])
+        self.live = [int((self.sizes > t).sum()) for t in range(most)]
+        self.at = np.cumsum([0, *self.live])
+        flat = np.array([docs[order[k]][t] for t in range(most) for k in range(self.live[t])], np.int64)
+        #: Lines with the same features are one pattern.
+        self.patterns, self.pattern = np.unique(flat, return_inverse=True)
+        self.pattern, self.doc = self.pattern.ravel(), np.concatenate([np.arange(n) for n in self.live])
+        self.X = matrix(self.patterns)
+
+    def step(self, t: int) -> slice:
+        return slice(self.at[t], self.at[t] + self.live[t])
+
+    def sums(self, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each line the probabilities of its labels; of each line but first ones those of its and the label before; of each
+        sequence the logarithms of the sum over all labellings and of the score of the one that is all content."""
+        S = (self.X @ weights.lines.T)[self.pattern]
+        A, B, moves = S.copy(), np.zeros_like(S), weights.moves
+        for t in range(1, len(self.live)):
+            now, last = self.step(t), slice(self.at[t - 1], self.at[t - 1] + self.live[t])
+            A[now] += np.logaddexp(A[last, :1] + moves[0], A[last, 1:] + moves[1])
+        for t in range(len(self.live) - 2, -1, -1):
+            after, now = self.step(t + 1), slice(self.at[t], self.at[t] + self.live[t + 1])
+            next_ = S[after] + B[after]
+            B[now] = np.logaddexp(moves[:, 0] + next_[:, :1], moves[:, 1] + next_[:, 1:])
+        first = self.step(0)
+        Z = np.logaddexp(*(A[first] + B[first]).T)
+        lines = np.exp(A + B - Z[self.doc][:, None])
+        last = np.concatenate([np.arange(self.at[t - 1], self.at[t - 1] + n) for t, n in enumerate(self.live) if t] or [np.empty(0, np.int64)])
+        now = np.arange(self.live[0], len(S))
+        pairs = np.exp(A[last][:, :, None] + moves + (S[now] + B[now])[:, None, :] - Z[self.doc[now]][:, None, None])
+        return lines, pairs, Z, np.bincount(self.doc, S[:, 1], len(self.sizes)) + (self.sizes - 1) * moves[1, 1]
+
+
+def fit(docs: list[tuple[list[int], int]], rounds: int = 100, rate: float = 1.0, decay: float = 1e-4) -> Weights:
+    """Weights that make what is known of the labels likeliest: gradient ascent on the mean log-likelihood.
+
+    docs: the features of each sequence of lines; 1: all are content, 0: not all are. Without both kinds, every line is
+    content. The gradient is what features and moves count under that condition less what they count without it. As there
+    are many ways to say which lines are hidden boilerplate, the first rounds take each line by itself, with the label of its
+    sequence as a noisy one: what good and bad documents both have comes out as content, and the condition starts from there.
     """
     docs = [(f, y) for f, y in docs if f]
-    lines, moves = np.zeros((2, len(FEATURES))), np.zeros((2, 2))
+    weights = Weights(np.zeros((2, len(FEATURES))), np.zeros((2, 2)))
     if len({y for _, y in docs}) < 2:
-        lines[1, 0] = 1.0
-        return Weights(lines, moves)
-    docs.sort(key=lambda d: -len(d[0]))
-    most, n = len(docs[0][0]), len(docs)
-    live = [sum(1 for f, _ in docs if len(f) > t) for t in range(most)]
-    X = np.zeros((n, most, len(FEATURES)))
-    for i, (f, _) in enumerate(docs):
-        X[i, : len(f)] = matrix(f)
-    y = np.array([y for _, y in docs])
-    mask = np.arange(most) < np.array([len(f) for f, _ in docs])[:, None]
-    weight = 1 / np.maximum(1, mask.sum(1))  # a document counts once, however long
-    truth = np.stack([(y == 0)[:, None] & mask, (y == 1)[:, None] & mask], 2) * weight[:, None, None]
-    seen_lines = np.einsum("ntk,ntf->kf", truth, X)
-    pairs = (mask.sum(1) - 1) * weight
-    seen_moves = np.diag([pairs[y == 0].sum(), pairs[y == 1].sum()])
-    speed_l, speed_m = np.zeros_like(lines), np.zeros_like(moves)
-    for _ in range(rounds):
-        S = X @ lines.T
-        A, B = np.zeros_like(S), np.zeros_like(S)
-        A[:, 0] = S[:, 0]
-        for t in range(1, most):
-            k = live[t]
-            A[:k, t] = np.logaddexp(A[:k, t - 1, :1] + moves[0], A[:k, t - 1, 1:] + moves[1]) + S[:k, t]
-        for t in range(most - 2, -1, -1):
-            k = live[t + 1]
-            after = S[:k, t + 1] + B[:k, t + 1]
-            B[:k, t] = np.logaddexp(moves[:, 0] + after[:, :1], moves[:, 1] + after[:, 1:])
-        Z = np.logaddexp(*(A[:, 0] + B[:, 0]).T)
-        P = np.exp(A + B - Z[:, None, None]) * mask[:, :, None] * weight[:, None, None]
-        got_moves = np.zeros((2, 2))
-        for t in range(1, most):
-            k = live[t]
-            joint = A[:k, t - 1, :, None] + moves + (S[:k, t] + B[:k, t])[:, None, :] - Z[:k, None, None]
-            got_moves += (np.exp(joint) * weight[:k, None, None]).sum(0)
-        speed_l = 0.9 * speed_l + (seen_lines - np.einsum("ntk,ntf->kf", P, X)) / n - decay * lines
-        speed_m = 0.9 * speed_m + (seen_moves - got_moves) / n - decay * moves
-        lines, moves = lines + rate * speed_l, moves + rate * speed_m
-    return Weights(lines, moves)
+        weights.lines[1, 0] = 1.0
+        return weights
+    chains = Chains([f for f, _ in docs])
+    good = np.array([y for _, y in docs])[chains.order] == 1
+    share = 1 / chains.sizes / len(docs)  # a sequence counts once, however long
+    of_line, of_pair = chains.doc, chains.doc[chains.live[0] :]
+    speed = Weights(np.zeros_like(weights.lines), np.zeros_like(weights.moves))
+    content, both = np.array([0.0, 1.0]), np.array([[0.0, 0.0], [0.0, 1.0]])
+    for turn in range(2 * rounds):
+        lines, pairs, Z, score = chains.sums(weights)
+        all_content = np.exp(np.minimum(score - Z, 0))
+        rest = np.maximum(1e-9, 1 - all_content)  # of probability, where not all lines are content
+        p, q = all_content[of_line][:, None], all_content[of_pair][:, None, None]
+        if turn < rounds:
+            known, known_pairs = np.where(good[of_line][:, None], content, 1 - content), pairs
+        else:
+            known = np.where(good[of_line][:, None], content, np.clip((lines - p * content) / rest[of_line][:, None], 0, 1))
+            known_pairs = np.where(good[of_pair][:, None, None], both, np.clip((pairs - q * both) / rest[of_pair][:, None, None], 0, 1))
+        more = (known - lines) * share[of_line][:, None]
+        pull = np.stack([np.bincount(chains.pattern, more[:, k], len(chains.patterns)) for k in (0, 1)]) @ chains.X
+        pull_moves = ((known_pairs - pairs) * share[of_pair][:, None, None]).sum(0)
+        speed = Weights(0.9 * speed.lines + pull - decay * weights.lines, 0.9 * speed.moves + pull_moves - decay * weights.moves)
+        weights = Weights(weights.lines + rate * speed.lines, weights.moves + rate * speed.moves)
+    return weights
 
 
 def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Weights:
-    """Weights from about `sample` labelled documents, drawn by a hash of their ids; only line features reach the driver.
+    """Weights from `sample` labelled documents at most, drawn by a hash of their ids; only line features reach the driver.
 
     labels has id_col and quality (1: content, 0: boilerplate); rows with nulls are left out. The ids drawn are broadcast:
-    sample bounds them.
+    sample bounds them. Of several texts of one id that with the least hash counts, so equal tables give equal weights.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("quality").alias("quality"))
-    drawn = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    known = labels.where(F.col("quality").isNotNull() & named(id_col).isNotNull()).groupBy(named(id_col).alias("_id")).agg(F.max("quality").alias("quality"))
+    drawn = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features = [read_lines(t)[1] for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(features, pa.list_(pa.int32())), batch.column(1)], ["features", "quality"])
+            features = [stretches(read_lines(t).features) for t in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(features, pa.list_(pa.list_(pa.int32()))), *batch.columns[1:]], ["features", "quality", "_id", "_hash"])
 
-    texts = df.select(id_col, text_col).join(F.broadcast(drawn), id_col).select(text_col, F.col("quality").cast("int"))
-    rows = texts.mapInArrow(run, "features array<int>, quality int").limit(2 * sample).collect()
-    return fit([(r.features, r.quality) for r in rows])
+    texts = df.select(named(id_col).alias("_id"), named(text_col).alias("_text")).join(F.broadcast(drawn), "_id")
+    texts = texts.select("_text", F.col("quality").cast("int"), "_id", F.xxhash64("_text").alias("_hash"))
+    id_type = texts.schema["_id"].dataType.simpleString()
+    found = texts.mapInArrow(run, f"features array<array<int>>, quality int, _id {id_type}, _hash long")
+    rows = found.groupBy("_id", "quality").agg(F.min(F.struct("_hash", "features")).alias("least")).select("quality", "least.features", "_id").collect()
+    rows.sort(key=lambda r: r["_id"])
+    return fit([(f, r.quality) for r in rows for f in r.features])
 
 
 def judge(df: DataFrame, weights: Weights, share: float = SHARE, text_col: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share and kept.
 
-    A null or empty text has no words: its base fails and its share is 0. Rows are kept one for one, repeated ones too;
-    columns of df with these names are replaced. One map, no shuffle; the weights are a few hundred numbers.
+    A null or empty text has no words: its base fails and its share is 0. Very long texts are judged whole. Rows are kept one
+    for one, repeated ones too; columns of df with these names, in whatever case, are replaced. One map, no shuffle; the
+    weights are a few dozen numbers.
     """
 
     def one(text: str | None) -> tuple:
-        found, features, sizes, again = read_lines(text)
-        n, chars = len(found), sum(map(len, found))
-        symbols, repeats = len(SYMBOLS.findall(text)) if text else 0, repeated_words(found)
+        found = read_lines(text)
+        n, symbols = len(found.words), len(SYMBOLS.findall(text)) if text else 0
+        repeats = repeated_words(found.words, found.kinds)
         failed = n < 50 or 100 * repeats > 50 * n
         content = 0.0
         if n:
-            labels = viterbi(matrix(features) @ weights.lines.T, weights.moves)
-            content = sum(s for s, label in zip(sizes, labels) if label) / n
-        return n, chars, symbols, again, repeats, failed, content, not failed and content >= share
+            labels = viterbi(matrix(found.features) @ weights.lines.T, weights.moves)
+            content = sum(s for s, label in zip(found.sizes, labels) if label) / n
+        return n, found.chars, symbols, found.again, repeats, failed, content, not failed and content >= share
 
     return annotate(df, text_col, lambda: lambda texts: list(map(one, texts)), BASE)
 
