@@ -111,16 +111,22 @@ def written(spark: SparkSession, write: Callable[[], None]) -> None:
         spark.conf.set(CLEANUP, before)
 
 
-def dealt_once(df: DataFrame, keys: list[str], n_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dealt_once(df: DataFrame, keys: list[str], n_bytes: int, bucket_bytes: int = BUCKET_BYTES, grouped: bool = False) -> DataFrame:
     """df as a table in the shared folder, bucketed by keys, so that joins on them leave it where it is.
 
     The number of buckets grows with n_bytes (of df), so a bucket stays about as large at any size; Spark allows 100,000.
-    The catalog only knows the table while it is made: what reads it needs the files alone.
+    grouped: df is grouped by keys, so that its own last shuffle deals the rows. The catalog only knows the table while it is
+    made: what reads it needs the files alone.
     """
     spark, name = df.sparkSession, f"loomkit_{uuid.uuid4().hex}"
-    buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // bucket_bytes)))
-    table = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("compression", "zstd").option("path", new_path(spark, "dealt"))
-    written(spark, lambda: table.saveAsTable(name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    buckets = min(100_000, max(int(before), -(-n_bytes // bucket_bytes)))
+    table = df if grouped else df.repartition(buckets, *keys)
+    spark.conf.set("spark.sql.shuffle.partitions", str(buckets))
+    try:
+        written(spark, lambda: table.write.bucketBy(buckets, *keys).option("compression", "zstd").option("path", new_path(spark, "dealt")).saveAsTable(name))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return found

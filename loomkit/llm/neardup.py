@@ -1,18 +1,22 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
 Texts are sequences of words. A shingle is five consecutive words with its occurrence number (the how-manieth of its kind
-in the text; a shorter text is one shingle). For each of BANDS orders a sketch is the few smallest shingles, kept in the
+in the text; a shorter text is one shingle). For each of BANDS orders a sketch is the DEPTH smallest shingles, kept in the
 order of the text, so that it tells texts apart that have the same shingles in another order. Two texts are similar if
 their edit similarity over words, 1 - distance / words of the longer one, is SIMILARITY or more.
 
-Five-word shingles lose pairs whose edits are spread, so SMALL_BANDS further orders have sketches of two SMALL-word
-shingles, and texts of up to SHORT words get keys that no similar pair can evade (segments, by the pigeonhole principle).
-
-Texts that are equal word for word form one node. Nodes that share a sketch meet in a bucket. Buckets are first stars: their
-members are compared with the least node only (every order has sketches of 2, 4 and 8 shingles and all three make stars).
-Links between nodes that alignment confirms give classes by connected components. Then all pairs of a bucket that are still
-in different classes are compared, so that in the end any two members of a bucket are in one class or were compared; lengths
-and word counts rule out pairs before their texts are fetched.
+Five-word shingles lose pairs whose edits are spread, so SMALL_BANDS further orders have sketches of SMALL-word shingles, and
+texts of up to SHORT words get keys that no similar pair can evade (segments, by the pigeonhole principle).
+
+Texts that are equal word for word form one node. Nodes that share a key meet in a bucket, and are compared in three turns:
+1. each with the least node of its bucket, the same for all buckets that it is in;
+2. each with a node of its bucket drawn by hash, a different one in each bucket, if their classes still differ: a large group
+   of near copies is one class by now;
+3. all pairs of a bucket that are still in different classes. A bucket of more than CROWD nodes would make too many: its
+   nodes, mostly unlike texts with one passage in common, are dealt anew, by the words that are rarest among them. Similar
+   texts share one of the rarest fifth of their words for certain (a prefix filter), so no pair is lost by that.
+So any two similar texts that share a key end in one class, through whatever turn. Lengths and counts of words rule out
+pairs before their texts are fetched; links that alignment confirms give classes by connected components.
 """
 
 from __future__ import annotations
@@ -27,19 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import annotate, cut, forget, words
+from loomkit.llm.common import annotate, cut, dealt_once, forget, named, whole_row, words
 
 SHINGLE, BANDS, SIMILARITY = 5, 32, 0.8
 #: Shingles of a sketch.
-DEPTHS = (2, 4, 8)
-#: Words of the second kind of shingles, their orders, and the shingles of their sketches.
-SMALL, SMALL_BANDS, SMALL_DEPTHS = 3, 64, (2,)
+DEPTH = 2
+#: Words of the second kind of shingles, and their orders.
+SMALL, SMALL_BANDS = 3, 64
 #: Words of the longest texts that are compared with all similar ones for certain.
 SHORT = 30
 #: Counts of words by hash, 255 at most each, that rule out pairs.
-BINS = 64
-#: Members of a bucket that are compared with each other (or with as many others) by one task at once.
-BLOCK = 1000
+BINS = 256
+#: Nodes of a bucket from which it is dealt anew, and nodes that are compared with each other (or as many others) at once.
+CROWD, BLOCK = 256, 1000
+#: Counters of words by hash that say which ones are rare (their number bounds what is broadcast).
+COUNTERS = 1 << 18
 #: Hashes that are put in all orders at once (memory of a very long text).
 AT_ONCE = 1 << 22
 #: An odd factor for each order (from a fixed seed, so that all workers agree).
@@ -54,8 +60,21 @@ def mixed(x: np.ndarray, factor: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class WordHashes(dict):
+    """Hashes of words, remembered by the worker up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < 200_000 and len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_hashes = WordHashes()
+
+
 def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in found), np.uint64, len(found))
+    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
 
 
 def shingle_hashes(found: list[bytes], size: int = SHINGLE, h: np.ndarray | None = None) -> np.ndarray:
@@ -81,23 +100,22 @@ def shingle_hashes(found: list[bytes], size: int = SHINGLE, h: np.ndarray | None
     return s
 
 
-def sketches(s: np.ndarray, factors: np.ndarray = FACTORS[:BANDS], depths: tuple = DEPTHS) -> np.ndarray:
-    """keys[depth, band]: hashes of the sketches of a text's shingles; equal for equal sketches of one depth and band."""
-    deepest, step = min(depths[-1], len(s)), max(1, AT_ONCE // len(s))
-    parts = []
+def sketches(s: np.ndarray, factors: np.ndarray = FACTORS[:BANDS], depth: int = DEPTH) -> np.ndarray:
+    """By order, the hashes of the sketches of a text's shingles; equal for equal sketches of one order."""
+    step, keys = max(1, AT_ONCE // len(s)), []
+    base = s ^ (s >> np.uint64(31))
     for at in range(0, len(factors), step):
-        m = mixed(s[None, :], factors[at : at + step, None])
-        least = np.argpartition(m, deepest - 1, axis=1)[:, :deepest] if deepest < len(s) else np.tile(np.arange(len(s)), (len(m), 1))
-        parts.append(np.take_along_axis(least, np.argsort(np.take_along_axis(m, least, 1), axis=1), 1))
-    least, keys = np.concatenate(parts), []
-    for depth in depths:
-        chosen = s[np.sort(least[:, :depth], axis=1)]
-        key = factors + np.uint64(depth)
-        for column in chosen.T:
-            key = mixed(key ^ column, STEP)
-            key = key * STEP + np.uint64(1)
+        here = factors[at : at + step]
+        m, rows = base[None, :] * here[:, None], np.arange(len(here))  # an order of the shingles by each factor
+        least = []
+        for _ in range(min(depth, len(s))):
+            least.append(m.argmin(1))
+            m[rows, least[-1]] = ~np.uint64(0)
+        key = here + np.uint64(depth)
+        for column in s[np.sort(least, axis=0)]:
+            key = mixed(key ^ column, STEP) * STEP + np.uint64(1)
         keys.append(key)
-    return np.array(keys)
+    return np.concatenate(keys)
 
 
 def short_keys(h: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
@@ -189,7 +207,6 @@ def node_of(text: str | None, found: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(found) if found else b"\n" + (text or "").encode())
 
 
-SKETCHED = ["_keys", "_small", "_short", "_n", "_bins"]
 NODE = T.StructType([T.StructField("_node", T.BinaryType())])
 
 
@@ -199,44 +216,23 @@ def with_nodes(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def sketch_rows(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """_node, id, and the keys of its sketches (8-byte integers by depth and band; empty without words), keys of small shingles and of segments, number of words, their bins."""
+    """_node, _id, _n (words), _bins, _keys (of sketches and segments; none without words) and _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, small, short, sizes, bins = [], [], [], [], [], []
+            nodes, keys, sizes, bins = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = words(text)
                 nodes.append(node_of(text, found))
                 h = word_hashes(found)
-                keys.append(sketches(shingle_hashes(found, SHINGLE, h)).view(np.int64).ravel() if found else [])
-                small.append(sketches(shingle_hashes(found, SMALL, h), SMALL_FACTORS, SMALL_DEPTHS).view(np.int64).ravel() if found else [])
-                short.append(short_keys(h, similarity) if found else [])
+                own = [sketches(shingle_hashes(found, SHINGLE, h)), sketches(shingle_hashes(found, SMALL, h), SMALL_FACTORS)] if found else []
+                keys.append([*np.concatenate(own).view(np.int64).tolist(), *short_keys(h, similarity)] if found else [])
                 sizes.append(len(found))
                 bins.append(word_bins(h))
-            longs = (pa.array(x, pa.list_(pa.int64())) for x in (keys, small, short))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column(0), *longs, pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], names=["_node", "_id", *SKETCHED])
-
-    kinds = [*[T.ArrayType(T.LongType())] * 3, T.LongType(), T.BinaryType()]
-    schema = T.StructType([*NODE.fields, T.StructField("_id", df.schema[id_col].dataType), *(T.StructField(c, k) for c, k in zip(SKETCHED, kinds))])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
-
-
-def stars(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (_hub, _node) of each bucket's least node and its others, and the buckets' keys and sizes."""
-    buckets = rows.groupBy(key).agg(F.min("_node").alias("_hub"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    return rows.select(key, "_node").join(buckets, key).where("_hub <> _node").select("_hub", "_node"), buckets
-
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), pa.array(keys, pa.list_(pa.int64())), batch.column(1)], names=["_node", "_id", "_n", "_bins", "_keys", "_text"])
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (_hub, _node) that share a bucket, a star for each; nodes has _node and _keys, distinct."""
-    place = lambda d: F.col("_keys")[F.col("_band") + d * BANDS]
-    bands = nodes.where(F.size("_keys") > 0).select("_node", "_keys", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("_band"))
-    rows = bands.select("_node", *(place(d).alias(f"_key{d}") for d in range(len(DEPTHS))))
-    pairs, buckets = stars(rows, "_key0")
-    crowded = cut(rows.join(buckets.where("_size > 2").select("_key0"), "_key0").drop("_key0"), "crowded")
-    for d in range(1, len(DEPTHS)):
-        pairs = pairs.unionByName(stars(crowded, f"_key{d}")[0])
-    return pairs.distinct()
+    kinds = {"_node": T.BinaryType(), "_id": df.schema[id_col].dataType, "_n": T.LongType(), "_bins": T.BinaryType(), "_keys": T.ArrayType(T.LongType()), "_text": T.StringType()}
+    return df.select(named(id_col), named(text_col)).mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -245,6 +241,40 @@ def shared(rows: DataFrame) -> DataFrame:
     return cut(rows.join(many, "_key"), "shared")
 
 
+def still_open(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """met (_key, _node) with _root and _size, without the buckets that are within one class; classes has _node and _root."""
+    rows = met.join(classes, "_node")
+    open_ = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), (F.min("_root") < F.max("_root")).alias("_open")).where("_open")
+    return rows.join(open_.select("_key", "_size"), "_key")
+
+
+def stars(rows: DataFrame, draw: bool) -> DataFrame:
+    """Distinct pairs (_hub, _node) of a node of each bucket and those of other classes; rows has _key, _node and _root.
+
+    The hub is the bucket's least node, or (draw) the one that a hash of bucket and node puts first.
+    """
+    order = F.xxhash64("_key", "_node") if draw else F.lit(0)
+    hubs = rows.groupBy("_key").agg(F.min(F.struct(order.alias("o"), F.col("_node").alias("hub"), F.col("_root").alias("root"))).alias("_first"))
+    met = rows.join(hubs, "_key").where("_root <> _first.root")
+    return met.select(F.least("_first.hub", "_node").alias("_hub"), F.greatest("_first.hub", "_node").alias("_node")).distinct()
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that may be similar by lengths and counts of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if k := batch.num_rows:
+                n = np.concatenate([batch.column(c).to_numpy() for c in (2, 4)])
+                bins = np.frombuffer(b"".join(batch.column(3).to_pylist() + batch.column(5).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+                ok = possible(np.arange(k), np.arange(k, 2 * k), n, bins, similarity)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_hub", "_node"]).filter(pa.array(ok))
+
+    sizes = nodes.select("_node", "_n", "_bins")
+    both = pairs.join(sizes, "_node").join(sizes.toDF("_hub", "_hub_n", "_hub_bins"), "_hub").select("_hub", "_node", "_hub_n", "_hub_bins", "_n", "_bins")
+    return both.mapInArrow(run, "_hub binary, _node binary")
+
+
 def rivals(met: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (_hub, _node) of nodes that share a key, are in different classes and may be similar.
 
@@ -270,8 +300,8 @@ def rivals(met: DataFrame, similarity: float) -> DataFrame:
             a, b = a + at, b + at
             apart = (root[a] != root[b]) & (np.abs(n[a] - n[b]) <= (1 - similarity) * np.maximum(n[a], n[b]) + 1e-9)
             a, b = a[apart], b[apart]
-            for k in range(0, len(a), 1 << 15):
-                x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+            for k in range(0, len(a), 1 << 13):
+                x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
                 ok = possible(x, y, n, bins, similarity)
                 yield x[ok], y[ok]
 
@@ -309,30 +339,70 @@ def rivals(met: DataFrame, similarity: float) -> DataFrame:
     return found.select(F.least("a", "b").alias("_hub"), F.greatest("a", "b").alias("_node")).distinct()
 
 
+def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
+    """_key and _node: each text (_node, _text) under the rarest of its words, as many as any similar text shares one of.
+
+    The words of a text, with their occurrence numbers, are put in one order for all texts, rare ones first. Texts of which
+    the longer one has n words are similar only if they have more than (1 - SIMILARITY) n fewer than n in common, so the
+    first (1 - SIMILARITY) n + 1 of each can't all differ. How rare a word is, COUNTERS counters say: a fixed size.
+    """
+
+    def tokens(text: str) -> np.ndarray:
+        return shingle_hashes(words(text), 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (tokens(text) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["_counter", "_count"])
+
+    spark, counts = texts.sparkSession, np.zeros(COUNTERS, np.int64)
+    for counter, n in texts.select("_text").mapInArrow(count, "_counter long, _count long").groupBy("_counter").sum("_count").collect():  # COUNTERS rows at most
+        counts[counter] = n
+    spread = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, keys = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = tokens(text)
+                rare = np.lexsort((own, spread.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))
+                first = own[rare[: int((1 - similarity) * len(own) + 1e-9) + 1]]
+                keys.append(first.view(np.int64))
+                nodes += [node] * len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(nodes, pa.binary())], names=["_key", "_node"])
+
+    return texts.select("_node", "_text").mapInArrow(run, "_key long, _node binary")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose texts are similar; texts has _node and _text, once for each node."""
+    """The pairs whose texts are similar; texts has _node and _text, once for each node.
+
+    The pairs of a hub come one after the other, so that its words are read once; a hub with very many pairs is split by
+    Spark's skew join, as pairs come from a shuffle by hub and carry the other text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, a = None, []
         for batch in batches:
-            a, b = (words_of(batch.column(i).to_pylist()) for i in (2, 3))
             ok = []
-            for x, y in zip(a, b):
-                longer = max(len(x), len(y))
+            for text, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if text != hub:
+                    hub, a = text, words(text)
+                b = words(other)
+                longer = max(len(a), len(b))
                 most = int((1 - similarity) * longer + 1e-9)
-                ok.append(abs(len(x) - len(y)) <= most and longer - alike_at_most(x, y) <= most and within(x, y, most))
+                ok.append(abs(len(a) - len(b)) <= most and longer - alike_at_most(a, b) <= most and within(a, b, most))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    hubs, others = texts.toDF("_hub", "_hub_text"), texts
-    both = pairs.join(hubs, "_hub").join(others, "_node").select("_hub", "_node", "_hub_text", "_text")
+    both = pairs.join(texts, "_node").join(texts.toDF("_hub", "_hub_text"), "_hub").select("_hub", "_node", "_hub_text", "_text")
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def words_of(texts: list[str]) -> list[list[bytes]]:
-    return [words(t) for t in texts]
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) for all nodes of edges (a, b).
+def components(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """node and root (the least node of its component) for all nodes of edges (a, b), and the tables that it reads.
 
     Large and small stars alternate: every node's neighbours are hung to its least neighbour, first the greater ones, then
     the others, until nothing changes. All steps are joins and minima; each round is cut to the shared folder.
@@ -346,44 +416,53 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(down, "a")
         small = hung.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        now = cut(small.distinct(), "edges")
+        before, now = now, cut(small.distinct(), "edges")
+        forget(before)
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if tuple(found) == mark:
             break
         mark = tuple(found)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), [now]
 
 
 def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Of each distinct text _node, _class (least id of its class) and _keeper (whether it is the node with that id); and _node and _id of all rows."""
-    sketched = cut(sketch_rows(df, id_col, text_col, similarity), "sketches")
-    nodes = cut(sketched.groupBy("_node").agg(F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in SKETCHED)), "nodes")
-    rows = cut(sketched.select("_node", "_id"), "rows")
-    forget(sketched)
-    named = with_nodes(df.select(F.col(id_col).alias("_id2"), F.col(text_col).alias("_text")), "_text").withColumnRenamed("_node", "_node2")
-    match = (F.col("_node") == F.col("_node2")) & F.col("_id").eqNullSafe(F.col("_id2"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("_hub", "_node")).alias("_node")).distinct().join(nodes.select("_node", "_id"), "_node")
-        texts = cut(named.join(ends, match).select("_node", "_text").dropDuplicates(["_node"]), "texts")
-        found = cut(confirmed(pairs, texts, similarity), "links")
-        forget(texts)
+    total = df.agg(F.sum(F.octet_length(named(text_col)).cast("long"))).head()[0] or 0
+    rows = cut(with_nodes(df.select(named(id_col).alias("_id"), named(text_col).alias("_text")), "_text").select("_node", "_id"), "rows")
+    sketched = sketch_rows(df, id_col, text_col, similarity)
+    nodes = dealt_once(sketched.groupBy("_node").agg(F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in ("_n", "_bins", "_keys", "_text"))), ["_node"], total, grouped=True)
+    met = shared(nodes.select(F.explode("_keys").alias("_key"), "_node"))
+    texts = nodes.select("_node", "_text")
+
+    def linked(classes: DataFrame, pairs: DataFrame, checked: bool = False) -> DataFrame:
+        """The classes (_node, _root) after the similar ones of pairs are joined."""
+        likely = cut(pairs if checked else plausible(pairs, nodes, similarity), "pairs")
+        links = cut(confirmed(likely, texts, similarity), "links")
+        a, b = (classes.select(F.col("_node").alias(c), F.col("_root").alias(f"_root_{c}")) for c in "ab")
+        edges = links.join(a, "a").join(b, "b").select(F.col("_root_a").alias("a"), F.col("_root_b").alias("b"))
+        roots, used = components(edges)
+        joined = classes.join(roots.withColumnRenamed("node", "_root"), "_root", "left")
+        found = cut(joined.select("_node", F.coalesce("root", "_root").alias("_root")), "classes")
+        forget(likely, links, *used)
         return found
 
-    def rooted(of: DataFrame, roots: DataFrame, name: str = "_node") -> DataFrame:
-        return of.join(roots.withColumnRenamed("node", name), name, "left").withColumn("_root", F.coalesce("root", name)).drop("root")
-
-    pairs = cut(candidates(nodes.select("_node", "_keys")), "pairs")
-    first = cut(rooted(nodes.select("_node", "_id", "_n", "_bins"), components(links(pairs))), "roots")
-    keys = (F.slice("_keys", 1, BANDS), F.col("_small"), F.col("_short"))
-    met = reduce(DataFrame.unionByName, [shared(nodes.select(F.explode(k).alias("_key"), "_node")) for k in keys])
-    left = cut(rivals(met.join(first.drop("_id"), "_node"), similarity).join(pairs, ["_hub", "_node"], "left_anti"), "pairs")
-    a, b = (first.select(F.col("_node").alias(c), F.col("_root").alias(f"_root_{c}")) for c in "ab")
-    joined = links(left).join(a, "a").join(b, "b").select(F.col("_root_a").alias("a"), F.col("_root_b").alias("b"))
-    last = rooted(first.select("_node", "_id", F.col("_root").alias("_first")), components(joined), "_first")
-    last = cut(last.select("_node", "_id", "_root"), "roots")
-    least = last.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least"))
-    classes = last.join(least, "_root").select("_node", F.col("_least._id").alias("_class"), (F.col("_node") == F.col("_least._node")).alias("_keeper"))
+    alone = nodes.select("_node", F.col("_node").alias("_root"))
+    first = linked(alone, stars(met.withColumn("_root", F.col("_node")), False))
+    second = linked(first, stars(still_open(met, first), True))
+    left = cut(still_open(met, second), "open")
+    crowded = left.where(F.col("_size") > CROWD).select("_node").distinct()
+    dealt = left.where(F.col("_size") <= CROWD).select("_key", "_node", "_root")
+    used = []
+    if crowded.head(1):
+        used.append(cut(texts.join(crowded, "_node"), "crowded"))
+        again = by_rare_words(used[0], similarity)
+        dealt = dealt.unionByName(again.join(second, "_node").select("_key", "_node", "_root"))
+    last = linked(second, rivals(dealt.join(nodes.select("_node", "_n", "_bins"), "_node"), similarity), True)
+    of = nodes.select("_node", "_id").join(last, "_node")
+    least = of.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least"))
+    classes = of.join(least, "_root").select("_node", F.col("_least._id").alias("_class"), (F.col("_node") == F.col("_least._node")).alias("_keeper"))
+    classes = cut(classes, "classes")
+    forget(nodes, met, first, second, left, last, *used)
     return classes, rows
 
 
@@ -391,8 +470,9 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str =
     """id_col and class_id, one row per row of df: the least id of the class of near-duplicates that it belongs to.
 
     A null text is an empty one; texts without words are alike only if they are equal. Ties and repeated rows get the same
-    class. A null id takes part, and a class has a null class_id only if all its ids are null. An empty df gives no rows;
-    other columns of df play no part.
+    class. A null id takes part, and a class has a null class_id only if all its ids are null. Very long texts are compared
+    whole. An empty df gives no rows; other columns of df play no part. The result reads two small tables of the shared
+    folder: ids and classes.
     """
     classes, rows = node_classes(df, similarity, id_col, text_col)
     return rows.join(classes, "_node").select(F.col("_id").alias(id_col), F.col("_class").alias("class_id"))
@@ -400,9 +480,10 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
 def one_of_each(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of df with the least id of each class of near-duplicates (one of them, if rows are repeated), all columns as they are."""
-    classes, _ = node_classes(df, similarity, id_col, text_col)
+    classes, rows = node_classes(df, similarity, id_col, text_col)
+    forget(rows)
     keepers = classes.where("_keeper").select(F.col("_node").alias("_node2"), "_class")
-    held = df.select(F.struct(*df.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))  # whatever df's columns are named
+    held = df.select(whole_row(df).alias("_row"), named(id_col).alias("_id"), named(text_col).alias("_text"))  # whatever df's columns are named
     match = (F.col("_node") == F.col("_node2")) & F.col("_id").eqNullSafe(F.col("_class"))
     kept = with_nodes(held, "_text").drop("_text").join(keepers, match).dropDuplicates(["_node", "_id"])
-    return kept.select(*(F.col("_row")[c].alias(c) for c in df.columns))
+    return kept.select("_row.*")

@@ -17,6 +17,31 @@ def test_families_on_one_passage(spark):
     assert classes(spark, rows) == plain_classes(rows)
 
 
+def test_crowded_buckets(spark, monkeypatch):
+    """Unlike texts with one passage, and families among them: buckets are dealt anew by rare words."""
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    dealt, plain = [], neardup.by_rare_words
+    monkeypatch.setattr(neardup, "by_rare_words", lambda *a: dealt.append(1) or plain(*a))
+    r = random.Random(19)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [passage + [f"c{k}q{i % 30}" for i in range(60)] for k in range(40)]
+    texts += [edited(texts[k % 7], r.randint(10, 22), r) for k in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert classes(spark, rows) == plain_classes(rows) and dealt
+
+
+def test_similar_texts_share_rare_words(spark):
+    r, rows = random.Random(20), []
+    for k in range(80):
+        a = [f"w{r.randrange(80)}" for _ in range(r.randint(5, 120))]
+        rows += [(bytes([k, 0]), " ".join(a)), (bytes([k, 1]), " ".join(edited(a, r.randint(1, max(1, len(a) // 5)), r)))]
+    keys = {}
+    for x in neardup.by_rare_words(spark.createDataFrame(rows, "_node binary, _text string").repartition(3), 0.8).collect():
+        keys.setdefault(bytes(x["_node"]), set()).add(x["_key"])
+    near = [(a, b) for i, (a, s) in enumerate(rows) for b, t in rows[:i] if neardup.similar(neardup.words(s), neardup.words(t))]
+    assert len(near) > 40 and all(keys[a] & keys[b] for a, b in near)
+
+
 def test_pairs_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)
     r = random.Random(18)

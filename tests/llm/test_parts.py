@@ -164,9 +164,16 @@ def test_sketches_keep_the_order_of_the_text():
     w = [f"w{i}".encode() for i in range(40)]
     s = neardup.shingle_hashes(w)
     same, turned = neardup.sketches(s), neardup.sketches(s[::-1].copy())
-    assert (same == neardup.sketches(s.copy())).all() and (same[1] != turned[1]).all()
+    assert (same == neardup.sketches(s.copy())).all() and (same != turned).all()
     assert len(set(neardup.shingle_hashes([b"a"] * 30).tolist())) == 26  # occurrences count
-    assert neardup.sketches(neardup.shingle_hashes([b"one"])).shape == (3, neardup.BANDS)
+    assert neardup.sketches(neardup.shingle_hashes([b"one"])).shape == (neardup.BANDS,)
+
+
+def test_sketches_in_parts(monkeypatch):
+    s = neardup.shingle_hashes([f"w{i % 70}".encode() for i in range(300)])
+    whole = neardup.sketches(s)
+    monkeypatch.setattr(neardup, "AT_ONCE", 1000)
+    assert (whole == neardup.sketches(s)).all()
 
 
 def test_base_counts():
@@ -185,8 +192,9 @@ def test_base_counts():
     for _ in range(200):
         t = "".join(r.choice(["a ", "b ", "c\n", "\n", "#x ", "\x0b", " ", "é "]) for _ in range(r.randint(0, 60)))
         w, dup, hit = plain(t)
-        found, features, sizes, again = quality.read_lines(t)
-        assert found == w and again == dup and quality.repeated_words(found) == hit and sum(sizes) == len(w)
+        found = quality.read_lines(t)
+        assert found.again == dup and quality.repeated_words(found.words, found.kinds) == hit and sum(found.sizes) == len(w)
+        assert found.chars == sum(map(len, w)) and found.kinds == len(set(w)) and [w.index(x) for x in w] == [found.words.tolist().index(i) for i in found.words]
 
 
 def test_viterbi_is_the_best_of_all_labellings():
@@ -198,12 +206,55 @@ def test_viterbi_is_the_best_of_all_labellings():
         assert abs(total(quality.viterbi(scores, moves)) - best) < 1e-9
 
 
-def test_field_learns_and_tolerates_one_label():
-    good, bad = quality.line_features("A plain line of text here.", ["A", "plain", "line"], False), quality.line_features("### *** |", ["###", "***", "|"], False)
-    w = quality.fit([([good] * 5, 1), ([bad] * 5, 0)] * 20)
-    assert quality.viterbi(quality.matrix([good] * 3 + [bad] * 3) @ w.lines.T, w.moves) == [1, 1, 1, 0, 0, 0]
-    one = quality.fit([([good], 1)])
-    assert quality.viterbi(quality.matrix([bad]) @ one.lines.T, one.moves) == [1]
+def test_sums_are_those_of_all_labellings():
+    r = np.random.default_rng(9)
+    docs = [r.integers(0, 1 << len(quality.FEATURES), n).tolist() for n in (4, 1, 3, 4)]
+    weights = quality.Weights(r.normal(size=(2, len(quality.FEATURES))) / 3, r.normal(size=(2, 2)))
+    chains = quality.Chains(docs)
+    lines, pairs, Z, content = chains.sums(weights)
+    for k, i in enumerate(chains.order):
+        scores, n = quality.matrix(docs[i]) @ weights.lines.T, len(docs[i])
+        total = lambda y: sum(scores[t, a] for t, a in enumerate(y)) + sum(weights.moves[a, b] for a, b in zip(y, y[1:]))
+        every = [[(m >> t) & 1 for t in range(n)] for m in range(1 << n)]
+        odds = np.exp([total(y) for y in every])
+        assert np.isclose(Z[k], np.log(odds.sum())) and np.isclose(content[k], total([1] * n))
+        for t in range(n):
+            at = chains.at[t] + k
+            assert np.isclose(lines[at, 1], sum(p for p, y in zip(odds, every) if y[t]) / odds.sum())
+            if t:
+                assert np.isclose(pairs[at - chains.live[0], 0, 1], sum(p for p, y in zip(odds, every) if not y[t - 1] and y[t]) / odds.sum())
+
+
+GOOD, BAD = "The quick brown fox walks over the hill.", "### buy | now *** $$$ | click | here &&&"
+
+
+def labelled(line: str) -> int:
+    return quality.line_features(line, line.split(), False)
+
+
+def test_field_finds_lines_of_either_kind_inside_documents():
+    """Bad documents have plain lines too, and only documents have labels; planted borders are found."""
+    r = random.Random(21)
+    plain = lambda: labelled(" ".join(r.choices(["The", "river", "runs", "Slowly", "under", "bridges"], k=r.randint(4, 20))) + ".")
+    noise = lambda: labelled(" ".join(r.choices(["###", "buy***", "$$$now", "|", "WIN!!", "&&&"], k=r.randint(4, 20))))
+    mixed = lambda: [plain() for _ in range(r.randint(1, 4))] + [noise() for _ in range(r.randint(3, 9))] + [plain() for _ in range(r.randint(0, 3))]
+    w = quality.fit([([plain() for _ in range(r.randint(1, 12))], 1) for _ in range(200)] + [(mixed(), 0) for _ in range(60)])
+    right = total = 0
+    for _ in range(100):
+        kinds = [1] * r.randint(1, 6) + [0] * r.randint(1, 6) + [1] * r.randint(0, 4)
+        found = quality.viterbi(quality.matrix([plain() if k else noise() for k in kinds]) @ w.lines.T, w.moves)
+        right, total = right + sum(a == b for a, b in zip(found, kinds)), total + len(kinds)
+    assert right > 0.97 * total
+
+
+def test_field_tolerates_one_label_and_long_documents():
+    w = quality.fit([([labelled(GOOD)] * 5, 1), ([labelled(BAD)] * 5, 0)] * 20)
+    assert quality.viterbi(quality.matrix([labelled(GOOD)] * 3 + [labelled(BAD)] * 3) @ w.lines.T, w.moves) == [1, 1, 1, 0, 0, 0]
+    one = quality.fit([([labelled(GOOD)], 1)])
+    assert quality.viterbi(quality.matrix([labelled(BAD)]) @ one.lines.T, one.moves) == [1]
+    long = quality.stretches(list(range(100_000)))
+    assert len(long) == quality.STRETCHES and all(len(x) == quality.STRETCH for x in long) and long[-1][0] > 70_000
+    assert quality.stretches([1, 2]) == [[1, 2]] and quality.stretches([]) == []
 
 
 def test_classifier_on_planted_words():
