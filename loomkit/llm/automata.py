@@ -250,48 +250,59 @@ def minimal(classes: np.ndarray, moves: np.ndarray, accepts: np.ndarray) -> Auto
 
 
 class Scanner:
-    """A forward automaton over a buffer of many texts: the buffer is cut into lanes that are stepped together.
+    """A forward automaton over a buffer of many texts: the buffer is cut into equal lanes that are stepped together.
 
-    A lane begins after a byte that leads every state back to the start, so no state has to cross lanes.
+    A lane begins in the start state, as most texts allow after a byte or two. Where the lane before ends in another state, the
+    lane is stepped again from that one, until it comes to a state that it had been in there; the rest holds. States in
+    which lanes really begin are few, so each is tried on all lanes at once, and the lanes' ends are then followed.
     """
 
     def __init__(self, automaton: Automaton):
-        self.automaton, n = automaton, automaton.moves.shape[1]
-        self.table = (automaton.moves * n).ravel().astype(np.int32)  # states are held as the place of their row
-        self.width = n
-        self.reset = (automaton.moves == 0).all(0)[automaton.classes]
-        if not self.reset[10] or automaton.accepts[0]:
+        self.automaton, self.width = automaton, automaton.moves.shape[1]
+        self.table = (automaton.moves * self.width).ravel().astype(np.int32)  # states are held as the place of their row
+        self.accepting = np.repeat(automaton.accepts != 0, self.width)
+        if automaton.moves[:, automaton.classes[10]].any() or automaton.accepts[0]:
             raise ValueError("no rule may match a line feed or nothing at all")
 
     def ends(self, buffer: bytes, lanes: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """For each byte after which rules accept: its place, ascending, and the rules' bits. buffer ends with a line feed."""
-        data = np.frombuffer(buffer, np.uint8)
-        if not len(data):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        resets = np.flatnonzero(self.reset[data])
-        marks = resets[np.searchsorted(resets, np.arange(1, lanes) * (len(data) // lanes + 1)).clip(max=len(resets) - 1)] + 1
-        starts = np.unique(np.concatenate([[0], marks]))
-        sizes = np.diff(np.append(starts, len(data)))
-        order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
-        starts, sizes = starts[sizes > 0], sizes[sizes > 0]
-        classes, state = self.automaton.classes[data].astype(np.int32), np.zeros(len(starts), np.int32)
-        accepting = self.automaton.accepts != 0
-        if not accepting.any():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        flags = np.repeat(accepting, self.width)
-        places, states, live = [], [], len(starts)
-        for i in range(int(sizes[0])):
-            while sizes[live - 1] <= i:
-                live -= 1
-            state = self.table[state[:live] + classes[starts[:live] + i]]
-            hit = flags[state]
-            if hit.any():
-                k = np.flatnonzero(hit)
-                places.append(starts[k] + i)
-                states.append(state[k])
-        if not places:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        place = np.concatenate(places)
-        order = np.argsort(place, kind="stable")
-        return place[order], self.automaton.accepts[np.concatenate(states)[order] // self.width]
+        n = len(buffer)
+        lanes = max(1, min(lanes, n // 64))
+        size = -(-n // lanes)
+        data = np.frombuffer(buffer + b"\n" * (lanes * size - n), np.uint8).reshape(lanes, size)
+        classes = np.ascontiguousarray(self.automaton.classes[data].T).astype(np.int32)  # by step and lane
+        state, states = np.zeros(lanes, np.int32), np.empty_like(classes)
+        for i in range(size):
+            state = self.table[state + classes[i]]
+            states[i] = state
+        starts = self.true_starts(classes, states)
+        self.step_again(classes, states, np.flatnonzero(starts), starts, write=True)
+        step, lane = np.nonzero(self.accepting[states])
+        places = lane * size + step
+        order = np.argsort(places, kind="stable")
+        return places[order], self.automaton.accepts[states[step, lane][order] // self.width]
+
+    def step_again(self, classes: np.ndarray, states: np.ndarray, lanes: np.ndarray, starts: np.ndarray, write: bool = False) -> np.ndarray:
+        """The last states of lanes that begin in starts[lane]; write: their new states are put into states."""
+        last, state = states[-1].copy(), starts[lanes]
+        for i in range(len(classes)):
+            state = self.table[state + classes[i, lanes]]
+            other = state != states[i, lanes]
+            lanes, state = lanes[other], state[other]
+            if not len(lanes):
+                break
+            if write:
+                states[i, lanes] = state
+        last[lanes] = state
+        return last
+
+    def true_starts(self, classes: np.ndarray, states: np.ndarray) -> np.ndarray:
+        lanes = len(classes[0])
+        last = {0: states[-1].tolist()}  # by the state that lanes begin in
+        starts, state = np.zeros(lanes, np.int32), 0
+        for k in range(lanes):
+            if state not in last:
+                last[state] = self.step_again(classes, states, np.arange(k, lanes), np.full(lanes, state, np.int32)).tolist()
+            starts[k] = state
+            state = last[state][k]
+        return starts

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomkit.llm.automata import Scanner, combined, compiled
-from loomkit.llm.common import annotate
+from loomkit.llm.common import annotate, named
 
 
 class Rule(NamedTuple):
@@ -38,6 +38,8 @@ RULES = [
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", r"xox[abprs]-", 10),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("private_key", r"-----BEGIN (RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY( BLOCK)?-----"),
+    Rule("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]+", r"[rs]k_(live|test)_", 16),
+    Rule("npm", r"npm_[A-Za-z0-9]+", r"npm_", 36),
 ]
 BASE = ("assign", "access", "hex")
 #: Bytes of texts that are scanned together.
@@ -114,24 +116,24 @@ def detector(rules: list[Rule]) -> Detector:
 def find_secrets(df: DataFrame, rules: list[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """df with secrets: an array of (kind, start, end) in code points, end exclusive, by start and the rules' order.
 
-    A null or empty text has none. Rows are kept one for one; a column of df named secrets is replaced. One map, no shuffle.
+    A null or empty text has none; very long ones are scanned whole. Rows are kept one for one; a column of df named secrets,
+    in whatever case, is replaced. One map, no shuffle; the automaton is built once and broadcast (its size depends on the
+    rules alone).
     """
+    spread = df.sparkSession.sparkContext.broadcast(detector(list(rules)))
+    fields = [f.name for f in SPANS.elementType]
 
     def make():
-        scan = detector(list(rules)).scan
-        return lambda texts: [(spans,) for spans in scan(texts)]
+        return lambda texts: [([dict(zip(fields, s)) for s in spans],) for spans in spread.value.scan(texts)]
 
-    as_rows = T.StructType([T.StructField("secrets", SPANS)])
-    named = [f.name for f in SPANS.elementType]
-    return annotate(df, text_col, lambda: (lambda fn: lambda texts: [([dict(zip(named, s)) for s in spans],) for (spans,) in fn(texts)])(make()), as_rows)
+    return annotate(df, text_col, make, T.StructType([T.StructField("secrets", SPANS)]))
 
 
 def redact(df: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """df with each maximal run of secret characters replaced by mark; other columns as they are."""
+    """df with each maximal run of secret characters replaced by mark; other columns as they are, nulls and empty texts too."""
+    spread = df.sparkSession.sparkContext.broadcast(detector(list(rules)))
 
     def make():
-        scan = detector(list(rules)).scan
-
         def one(text: str | None, spans: list[Span]) -> tuple:
             if not spans:
                 return (text,)
@@ -142,9 +144,9 @@ def redact(df: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", mar
                 at = max(at, end)
             return ("".join(out) + text[at:],)
 
-        return lambda texts: [one(t, s) for t, s in zip(texts, scan(texts))]
+        return lambda texts: [one(t, s) for t, s in zip(texts, spread.value.scan(texts))]
 
-    return annotate(df, text_col, make, T.StructType([T.StructField(text_col, T.StringType())])).select(*df.columns)
+    return annotate(df, text_col, make, T.StructType([T.StructField(text_col, T.StringType())])).select(*map(named, df.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -87,6 +87,28 @@ def test_scanner_finds_all_ends():
         assert {k for k in got if k < 3000} == set(want) and all(got[k] & want[k] == want[k] for k in want)
 
 
+@pytest.mark.parametrize("lanes", [1, 2, 9, 64])
+def test_scanner_follows_states_over_lanes(lanes):
+    """Matches as long as many lanes, and texts in which no byte leads back to the start."""
+    ps = ["t=[a-z]+", "[0-9a-f]{4,}", "xx"]
+    scan, whole = automata.Scanner(automata.combined(ps)), automata.Scanner(automata.combined(ps))
+    r = random.Random(22)
+    for _ in range(30):
+        t = ("".join(r.choice(["t=", "x", "ab", "1", "z" * 200, "feed" * 30]) for _ in range(r.randint(0, 60))) + "\n").encode()
+        got, want = scan.ends(t, lanes), whole.ends(t, 1)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_two_megabytes_without_a_break_are_scanned_at_once():
+    import time
+
+    r, found = random.Random(23), secrets.detector(secrets.RULES)
+    for t in ("".join(r.choices("ABCDEFGHabcdefgh0123+/", k=2_000_000)), " ".join(r.choices(["word", "token", "secret", "deadbeef", "pass"], k=350_000))):
+        start = time.time()
+        assert found.scan([t]) == [plain_secrets(t)]
+        assert time.time() - start < 20  # a lane alone took longer for the scan
+
+
 def plain_secrets(t: str) -> list:
     """The base rules by Python's regular expressions, and the others likewise."""
     out = []
