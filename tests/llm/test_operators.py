@@ -40,6 +40,14 @@ def test_token_counts(docs, none):
     assert tokens.count_tokens(none, path).count() == 0
 
 
+def test_frequent_pre_tokens(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "FREQUENT", 3)
+    monkeypatch.setattr(tokens, "HELD", 50)
+    r = random.Random(25)
+    texts = [(" ".join(r.choices(["often", "oft", "some", *(f"rare{i}" for i in range(300))], [300, 200, 100] + [1] * 300, k=200)),) for _ in range(40)] + [(None,), ("",), ("  ",), ("x" * 100,) * 1]
+    assert tokens.frequent(spark.createDataFrame(texts, "text string").repartition(3)) == ["often", "oft", "some"]
+
+
 def test_packing(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
