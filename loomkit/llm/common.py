@@ -73,7 +73,7 @@ def annotate(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], l
             made = [pa.array(list(col), f.type) for col, f in zip(zip(*rows), arrow)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in take] + made, names=[f.name for f in kept] + names)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)  # PySpark looks columns up by name there
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import annotate, words
+from loomkit.llm.common import annotate, named, private, words
 
 SIZE = 10
 #: Bytes of benchmark texts that are broadcast at once; a larger benchmark is searched for block by block.
@@ -91,34 +91,51 @@ class Matcher:
         return len(found), merged, sorted(x for x in items if x is not None)
 
 
+_matchers: dict[tuple, Matcher] = {}
+
+
+def matcher(rows, size: int) -> Matcher:
+    """The worker's matcher for a broadcast block: it outlives a task, the latest few are kept."""
+    key = (rows._path or id(rows), size) if hasattr(rows, "_path") else (id(rows), size)
+    if key not in _matchers:
+        while len(_matchers) >= 2:
+            del _matchers[next(iter(_matchers))]
+        _matchers[key] = Matcher(rows.value, size)
+    return _matchers[key]
+
+
 def find_passages(df: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """df with n_words, hits (runs of words, from 0, end exclusive) and items (ids of the items whose windows occur, sorted).
 
     Null and empty texts, of either side, have no words and match nothing; items without id count in hits only. Repeated
-    rows and items change nothing. Columns of df with these names are replaced. The benchmark is broadcast in blocks of
-    about block_bytes, one map over df for each; df is never shuffled.
+    rows and items change nothing, very long texts are searched whole. Columns of df with these names, in whatever case, are
+    replaced. Distinct benchmark texts, with their ids, are broadcast in blocks of about block_bytes (a longer text is a
+    block of its own), one map over df for each; df is never shuffled.
     """
-    spark = df.sparkSession
-    total = benchmark.agg(F.sum(F.octet_length(item_text_col))).head()[0] or 0
+    spark, item_type = df.sparkSession, benchmark.schema[item_col].dataType
+    items = benchmark.where(named(item_text_col).isNotNull()).groupBy(named(item_text_col).alias("text")).agg(F.collect_set(named(item_col)).alias("ids"))
+    total = items.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    item_type = benchmark.schema[item_col].dataType
+    names = [(private(df, f"_hits{b}"), private(df, f"_items{b}")) for b in range(blocks)]
     out = df
     for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64(item_text_col), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        rows = spark.sparkContext.broadcast([tuple(r) for r in part.select(item_col, item_text_col).collect()])
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
+        rows = spark.sparkContext.broadcast([(item, text) for text, ids in part.collect() for item in ids or [None]])
 
         def make(rows=rows):
-            match = Matcher(rows.value, size).match
-            named = lambda spans: [{"start": s, "end": e} for s, e in spans]
-            return lambda texts: [(n, named(spans), items) for n, spans, items in map(match, texts)]
+            match = matcher(rows, size).match
+            spans_of = lambda spans: [{"start": s, "end": e} for s, e in spans]
+            return lambda texts: [(n, spans_of(spans), items) for n, spans, items in map(match, texts)]
 
-        fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(f"_hits{b}", T.ArrayType(SPAN)), T.StructField(f"_items{b}", T.ArrayType(item_type))])
+        hits, found = names[b]
+        fields = T.StructType([T.StructField("n_words", T.LongType()), T.StructField(hits, T.ArrayType(SPAN)), T.StructField(found, T.ArrayType(item_type))])
         out = annotate(out, text_col, make, fields)
-    every = lambda name: [f"_{name}{b}" for b in range(blocks)]
-    hits, items = F.col("_hits0"), F.col("_items0")
+    hits, found = F.col(names[0][0]), F.col(names[0][1])
     if blocks > 1:
-        hits, items = joined_runs(F.array_sort(F.concat(*every("hits")))), F.array_sort(F.array_distinct(F.concat(*every("items"))))
-    return out.withColumns({"hits": hits, "items": items}).drop(*every("hits"), *every("items"))
+        hits, found = joined_runs(F.array_sort(F.concat(*(h for h, _ in names)))), F.array_sort(F.array_distinct(F.concat(*(i for _, i in names))))
+    own = {n for pair in names for n in pair}
+    kept = [named(c) for c in out.columns if c not in own and c.lower() not in ("hits", "items")]
+    return out.select(*kept, hits.alias("hits"), found.alias("items"))
 
 
 def joined_runs(spans):

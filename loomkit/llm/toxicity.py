@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import annotate
+from loomkit.llm.common import annotate, named
 
 ORDERS, BITS = (2, 6), 18
 #: Labelled rows that a model is fitted to, at most, and the texts that a feature must be in.
@@ -122,36 +122,35 @@ def fold(column) -> F.Column:
 
 
 def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from about `sample` labelled documents (toxic 0 or 1) whose fold isn't 0, drawn by a hash of their ids.
+    """A model from `sample` labelled documents at most (toxic 0 or 1) whose fold isn't 0, drawn by a hash of their ids.
 
-    The ids drawn are broadcast and their texts' feature numbers reach the driver: both are bounded by sample. Rows with
+    The ids drawn are broadcast and their texts' feature numbers reach the driver, under 2**BITS for each: both are bounded
+    by sample. Of several texts of one id that with the least hash counts, so equal tables give equal models. Rows with
     nulls in id or label are left out; no labels, or one only, give a model that scores every text alike.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 0))
-    drawn = known.groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"), fold(F.col(id_col)).cast("int").alias("fold"))
-    drawn = drawn.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    known = labels.where(F.col("toxic").isNotNull() & named(id_col).isNotNull() & (fold(named(id_col)) != 0))
+    drawn = known.groupBy(named(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    drawn = drawn.withColumn("fold", fold(F.col("_id")).cast("int")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    texts = df.select(named(id_col).alias("_id"), named(text_col).alias("_text")).join(F.broadcast(drawn), "_id")
+    texts = texts.groupBy("_id", "toxic", "fold").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_text", "toxic", "fold", "_id")
+    id_type = texts.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             rows = [features.of(t).astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], ["features", "toxic", "fold"])
+            yield pa.record_batch([pa.array(rows, pa.binary()), *batch.columns[1:]], ["features", "toxic", "fold", "_id"])
 
-    texts = df.select(id_col, text_col).join(F.broadcast(drawn), id_col).select(text_col, "toxic", "fold")
-    found = texts.mapInArrow(run, "features binary, toxic int, fold int").limit(2 * sample).toLocalIterator()
-    rows, toxic, folds = [], [], []
-    for features, y, f in found:
-        rows.append(np.frombuffer(features, "<i4"))
-        toxic.append(y)
-        folds.append(f)
-    return fit(rows, np.array(toxic, np.int64), np.array(folds, np.int64) == 1)
+    found = texts.mapInArrow(run, f"features binary, toxic int, fold int, _id {id_type}").toLocalIterator()
+    rows = sorted(((r[3], np.frombuffer(r[0], "<i4"), r[1], r[2]) for r in found), key=lambda r: r[0])
+    return fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64) == 1)
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with score (0 to 1) and predicted (1 from 0.5 on).
 
-    A null text is scored as an empty one. Rows are kept one for one; columns of df with these names are replaced. One
-    map, no shuffle; the model has a fixed size.
+    A null text is scored as an empty one, a very long one whole. Rows are kept one for one; columns of df with these names,
+    in whatever case, are replaced. One map, no shuffle; the model has a fixed size.
     """
     spread = df.sparkSession.sparkContext.broadcast(model)
 
@@ -170,4 +169,5 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def digest(scored: DataFrame) -> DataFrame:
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    """doc_id, held_out (its fold is 0; a null id has none and is not held out), score and predicted."""
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

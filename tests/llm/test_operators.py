@@ -99,6 +99,42 @@ def test_toxicity(docs, none, spark):
     model = toxicity.train(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))
     got = toxicity.score(docs, model).collect()
     assert len(got) == len(ROWS) and len({r.score for r in got}) == 1 and toxicity.score(none, model).count() == 0
+    assert [r.held_out for r in toxicity.digest(toxicity.score(docs, model)).collect() if r.doc_id is None] == [False]
+
+
+def test_toxicity_learns_from_its_folds_only(spark):
+    """Labels of fold 0 play no part; the held-out documents are told apart; a repeated id counts once, whatever the order."""
+    r = random.Random(26)
+    text = lambda bad: " ".join(r.choices(["lorem", "ipsum", "dolor", "amet"], k=30) + (["you", "vileword"] if bad else ["you", "friend"]))
+    rows = [(i, text(i % 4 == 0)) for i in range(600)] + [(7, "another text")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = [(i, int(i % 4 == 0)) for i in range(600)]
+    turned = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in truth]  # wrong where they may not be looked at
+    models = [toxicity.train(d, spark.createDataFrame(t, "doc_id long, toxic int")) for d, t in ((docs.repartition(2), truth), (docs.repartition(5), turned))]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].bias == models[1].bias
+    got = toxicity.digest(toxicity.score(docs, models[0])).where("held_out").collect()
+    assert len(got) > 80 and all(x.predicted == int(x.doc_id % 4 == 0) and (x.score >= 0.5) == bool(x.predicted) for x in got)
+
+
+ODD = "doc_id long, text string, `a.b` string, N_Words string, Hits string, KEPT int, `we``ird` string, _hits0 string, _Items0 string, _row string"
+
+
+def test_columns_of_any_name(spark):
+    """Dots, quotes, other cases and the operators' own private names in extra columns."""
+    rows = [(1, A, "x", "n", "h", 1, "w", "p", "q", "r"), (2, A.replace("a", "e"), "y", "n", "h", 1, "w", "p", "q", "r")]
+    odd = spark.createDataFrame(rows, ODD)
+    bench = spark.createDataFrame([(9, " ".join(A.split()[10:25]))], "item_id long, text string")
+    for size in (1 << 20, 20):
+        found = decontaminate.find_passages(odd, bench, block_bytes=size)
+        assert set(found.columns) == {"doc_id", "text", "a.b", "KEPT", "we`ird", "_hits0", "_Items0", "_row", "n_words", "hits", "items"}
+        first = found.where("doc_id = 1").head()
+        assert first["a.b"] == "x" and first["_hits0"] == "p" and first["items"] == [9]
+    judged = quality.judge(odd, quality.train(odd, spark.createDataFrame([(1, 1)], "doc_id long, quality int")))
+    assert "N_Words" not in judged.columns and "KEPT" not in judged.columns and quality.digest(judged).count() == 2
+    assert {r["a.b"] for r in neardup.one_of_each(odd).collect()} == {"x", "y"} and neardup.one_of_each(odd).columns == odd.columns
+    assert secrets.redact(odd).columns == odd.columns and secrets.digest(secrets.find_secrets(odd)).count() == 2
+    assert licenses.digest(licenses.find_licenses(odd)).count() == toxicity.digest(toxicity.score(odd, toxicity.train(odd, spark.createDataFrame([(1, 0)], "doc_id long, toxic int")))).count() == 2
+    assert tokens.count_tokens(odd, public_tokenizers.path("piece_bpe_32k.model")).count() == 2
 
 
 def test_token_store(docs, none):
