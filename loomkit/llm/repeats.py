@@ -26,18 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomkit.llm.common import annotate, cut, dealt_once, forget, named
+from loomkit.llm.common import cut, dealt_once, forget, named
 from loomkit.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 20
-#: Places of the fingerprint in a window.
+#: Places of the fingerprint in a window, and the middle one.
 PLACES = LENGTH - GRAM + 1
+HALF = PLACES // 2 + 1
 #: Bytes that are hashed at once, fingerprints that a task reduces at once, contexts of a shard.
 PIECE, FLUSH, SHARD = 1 << 20, 1 << 20, 16_000
 #: Contexts of a fingerprint that still go to one shard.
 CROWD = 8_000
-#: Bits of a fingerprint; two that agree by chance only cost a needless comparison.
-PRINT = 48
+#: Bits of a fingerprint; two that agree by chance only cost a needless comparison. Bits of a document's number in a task.
+PRINT, DOC_BITS = 46, 17
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,15 +89,22 @@ def contexts(datas: list[bytes]) -> Contexts:
     return Contexts((chosen[first] >> np.uint64(64 - PRINT)).astype(np.int64), texts, places[first] - (np.cumsum(sizes) - sizes)[texts], windows, (owner - places)[first])
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[dict, int, bytes]]]:
-    """Rows of the batches (with _text), and their texts' bytes with the place they begin at, some PIECE bytes at a time.
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """A column of lists of numbers as arrays; null as an empty one."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[tuple, int, bytes]]]:
+    """(_id, _row and what follows _text) of rows, and their texts' bytes with the place they begin at, some PIECE bytes at a time.
 
     A text of more than PIECE bytes comes in parts that share LENGTH - 1 bytes, so each window is in one part.
     """
     held, size = [], 0
     for batch in batches:
-        for row in batch.to_pylist():
-            data = row.pop("_text").encode()
+        others = [lists(c) if pa.types.is_list(c.type) else c.to_pylist() for c in (batch.column(k) for k in range(batch.num_columns) if k != 2)]
+        for text, *row in zip(batch.column(2).to_pylist(), *others):
+            data = text.encode()
             for at in range(0, max(1, len(data) - LENGTH + 1), PIECE):
                 held.append((row, at, data[at : at + PIECE + LENGTH - 1]))
                 size += len(held[-1][2])
@@ -121,20 +129,18 @@ def told_fingerprints(docs: DataFrame) -> DataFrame:
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        prints, owners, size, seen = [], [], 0, {}
+        rows: list[list] = []
+        keys, size, seen = [], 0, {}
 
         def flush() -> pa.RecordBatch:
-            ids, marks = (np.array([r[k] for r in rows], np.int64) for k in ("_id", "_row"))
-            p, d = np.concatenate(prints), np.concatenate(owners)
-            order = np.lexsort((d, p))
-            p, d = p[order], d[order]
-            keep = np.append(True, (p[1:] != p[:-1]) | (d[1:] != d[:-1]))
-            p, d = p[keep], d[keep]
+            ids, marks = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+            found = np.sort(np.concatenate(keys))
+            found = found[np.append(True, found[1:] != found[:-1])]
+            p, d = found >> DOC_BITS, found & (1 << DOC_BITS) - 1
             first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            several = np.diff(np.append(first, len(p))) > 1
-            known = np.repeat(several, np.diff(np.append(first, len(p))))
-            asks = np.concatenate([np.where(known, -1 - p, p * 2), p[first][several] * 2 + 1])
+            sizes = np.diff(np.append(first, len(p)))
+            several = sizes > 1
+            asks = np.concatenate([np.where(np.repeat(several, sizes), -1 - p, p * 2), p[first][several] * 2 + 1])
             who = np.concatenate([d, d[first][several]])
             return batch_of({"_ask": asks, "_id": ids[who], "_row": marks[who]})
 
@@ -142,19 +148,19 @@ def told_fingerprints(docs: DataFrame) -> DataFrame:
             used = []
             for row, at, data in held:
                 mark = xxhash.xxh3_128_digest(data)
-                if mark in seen and at == 0 and seen[mark] <= row["_id"] and len(data) < PIECE:
+                if mark in seen and at == 0 and seen[mark] <= row[0] and len(data) < PIECE:
                     continue
-                seen[mark] = min(row["_id"], seen.get(mark, row["_id"]))
+                seen[mark] = min(row[0], seen.get(mark, row[0]))
                 if not rows or rows[-1] is not row:
                     rows.append(row)
                 used.append((len(rows) - 1, data))
             found = contexts([data for _, data in used])
-            prints.append(found.prints)
-            owners.append(np.array([k for k, _ in used], np.int64)[found.texts] if used else found.texts)
+            keys.append(found.prints << DOC_BITS | np.array([k for k, _ in used] or [0], np.int64)[found.texts])
             size += len(found.prints)
-            if size >= FLUSH:
-                yield flush()
-                rows, prints, owners, size, seen = [], [], [], 0, {}
+            if size >= FLUSH or len(rows) + PIECE // LENGTH >= 1 << DOC_BITS:
+                if size:
+                    yield flush()
+                rows, keys, size, seen = [], [], 0, {}
         if size:
             yield flush()
 
@@ -197,14 +203,11 @@ def shared_contexts(docs: DataFrame, told: DataFrame, copies: DataFrame) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in pieces(batches):
             found = contexts([data for _, _, data in held])
-            mine = np.zeros(len(found.prints), bool)
-            cuts = np.searchsorted(found.texts, np.arange(len(held) + 1))
-            for i, (row, _, _) in enumerate(held):
-                a, b = cuts[i], cuts[i + 1]
-                mine[a:b] = np.isin(found.prints[a:b], np.array(row["_told"], np.int64))
+            told_of = np.concatenate([k << PRINT | row[2] for k, (row, _, _) in enumerate(held)])
+            mine = np.isin(found.texts << PRINT | found.prints, told_of)
             own, first, windows, gram = (x[mine] for x in found[1:])
             names = np.fromiter((xxhash.xxh3_64_intdigest(held[t][2][f : f + w + LENGTH - 1]) for t, f, w in zip(own.tolist(), first.tolist(), windows.tolist())), np.uint64, len(own))
-            begins, ids, marks = (np.array(x, np.int64)[own] for x in ([at for _, at, _ in held], [r["_id"] for r, _, _ in held], [r["_row"] for r, _, _ in held]))
+            begins, ids, marks = (np.array(x, np.int64)[own] for x in ([at for _, at, _ in held], [r[0] for r, _, _ in held], [r[1] for r, _, _ in held]))
             yield batch_of({"_id": ids, "_row": marks, "_print": found.prints[mine], "_name": names.view(np.int64), "_place": begins + first << 10 | windows << 5 | gram})
 
     here = docs.join(told, ["_id", "_row"]).join(copies, ["_id", "_row"], "left_anti")
@@ -217,19 +220,21 @@ PART = "_key long, _print long, _name long, _least long, _at int, _low int, _hig
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The contexts wanted (_print, _name, _count, and _where one stands) as parts, with _count."""
-    of = wanted.groupBy(F.col("_where._id").alias("_id"), F.col("_where._row").alias("_row")).agg(F.collect_list(F.struct("_print", "_name", "_where._place", "_count")).alias("_of"))
+    """The contexts wanted (_print, _name, _count; _id, _row and _place where one stands) as parts, with _count."""
+    of = wanted.groupBy("_id", "_row").agg(F.collect_list(F.struct("_print", "_name", "_place", "_count")).alias("_of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data = row["_text"].encode()
-                places = [c["_place"] for c in row["_of"]]
-                n = len(places)
-                column = {k: pa.array([c[k] for c in row["_of"]], pa.int64()) for k in ("_print", "_name", "_count")}
-                same = lambda value, kind=pa.int32(): pa.array([value] * n, kind)
-                cuts = [data[p >> 10 : (p >> 10) + (p >> 5 & 31) + LENGTH - 1] for p in places]
-                yield batch_of({"_key": column["_print"], "_print": column["_print"], "_name": column["_name"], "_least": same(row["_id"], pa.int64()), "_at": same(0), "_low": same(0), "_high": same(PLACES - 1), "_gram": pa.array([p & 31 for p in places], pa.int32()), "_bytes": pa.array(cuts, pa.binary()), "_count": column["_count"]})
+            column = batch.column(2)
+            ends = column.offsets.to_numpy()
+            prints, names, places, counts = (x.slice(ends[0], ends[-1] - ends[0]) for x in column.values.flatten())
+            at = places.to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            datas = [text.encode() for text in batch.column(1).to_pylist()]
+            begins = at >> 10
+            cuts = [datas[k][x:y] for k, x, y in zip(owner.tolist(), begins.tolist(), (begins + (at >> 5 & 31) + LENGTH - 1).tolist())]
+            n = len(cuts)
+            yield batch_of({"_key": prints, "_print": prints, "_name": names, "_least": batch.column(0).to_numpy()[owner], "_at": np.zeros(n, np.int32), "_low": np.zeros(n, np.int32), "_high": np.full(n, PLACES - 1, np.int32), "_gram": (at & 31).astype(np.int32), "_bytes": pa.array(cuts, pa.binary()), "_count": counts})
 
     return docs.join(of, ["_id", "_row"]).select("_id", "_text", "_of").mapInArrow(run, PART + ", _count long")
 
@@ -258,24 +263,32 @@ def halved(part: dict) -> Iterator[tuple]:
         yield (key - (key >> 63 << 64), part["_print"], part["_name"], part["_least"], part["_at"] + first, *bounds, at - first, data[first : last + LENGTH])
 
 
-def by(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The values of each key."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else []
-    for a, b in zip(starts, [*starts[1:], len(keys)]):
-        yield int(keys[a]), values[a:b]
-
-
-def covered(windows: np.ndarray) -> list[int]:
-    """The runs of bytes that windows (first bytes, ascending) cover, as packed spans."""
-    ends = np.flatnonzero(np.diff(windows) > LENGTH)
-    first, last = windows[np.append(0, ends + 1)], windows[np.append(ends, len(windows) - 1)]
-    return ((first << 32) + last - first + LENGTH).tolist()
-
+def alone(keys: list[int], datas: list[bytes], grams: list[int]) -> np.ndarray:
+    """Of a shard's parts those that can't share a window with another one of their key.
 
-def repeated_windows(datas: list[bytes], least: np.ndarray) -> Iterator[tuple[int, list[int]]]:
-    """Of a shard's parts: number, and packed spans of the windows that a part with a smaller least document has too."""
+    Equal windows in which the gram stands at HALF or later have HALF bytes before it in common, others PLACES - 1 - HALF bytes
+    after it. A part that has the gram more than once may be read in more ways than one, and is not judged.
+    """
+    sides: dict[tuple, int] = {}
+    own = []
+    for key, data, at in zip(keys, datas, grams):
+        gram = data[at : at + GRAM]
+        if data.find(gram) < at or data.find(gram, at + 1) >= 0:
+            own.append(None)
+            continue
+        mine = []
+        if at >= HALF:
+            mine.append((key, gram, data[at - HALF : at], True))
+        if len(data) >= at + GRAM + PLACES - HALF:
+            mine.append((key, gram, data[at + GRAM : at + GRAM + PLACES - HALF], False))
+        for side in mine:
+            sides[side] = sides.get(side, 0) + 1
+        own.append(mine)
+    return np.array([mine is not None and all(sides[side] == 1 for side in mine) for mine in own], bool)
+
+
+def repeated_windows(datas: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of bytes of a shard's parts in windows that a part with a smaller least document has too: part, first byte, length."""
     sizes = np.array([len(d) + 1 for d in datas], np.int64)
     flat = np.frombuffer(b"\0".join(datas) + b"\0" * (LENGTH + 9), np.uint8)
     total = int(sizes.sum())
@@ -290,23 +303,24 @@ def repeated_windows(datas: list[bytes], least: np.ndarray) -> Iterator[tuple[in
     owner = least[of[sa]]
     smallest = np.repeat(np.minimum.reduceat(owner, heads), np.diff(np.append(heads, len(sa))))
     gone = np.sort(sa[smallest < owner])
-    for c, places in by(of[gone], gone):
-        yield c, covered(places - starts[c])
+    begins = np.flatnonzero(np.append(True, (np.diff(gone) > LENGTH) | (np.diff(of[gone]) > 0))) if len(gone) else np.empty(0, np.int64)
+    first, last = gone[begins], gone[np.append(begins[1:], len(gone)) - 1] if len(gone) else gone
+    return of[first], first - starts[of[first]], last - first + LENGTH
 
 
 #: Spans travel as one number: first byte in the upper 32 bits, bytes in the lower ones.
-GONE = "_print long, _name long, _gone array<long>"
+GONE = "_print long, _name long, _gone long"
 
 
 def by_shards(parts: DataFrame, shards: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        prints, names, starts = (table.column(c).to_numpy() for c in ("_print", "_name", "_at"))
-        found = list(repeated_windows(table.column("_bytes").to_pylist(), table.column("_least").to_numpy()))
-        at = np.array([c for c, _ in found], np.int64)
-        spans = [[s + (int(starts[c]) << 32) for s in gone] for c, gone in found]
-        return pa.table({"_print": pa.array(prints[at]), "_name": pa.array(names[at]), "_gone": pa.array(spans, pa.list_(pa.int64()))})
+        datas = table.column("_bytes").to_pylist()
+        met = np.flatnonzero(~alone(table.column("_key").to_pylist(), datas, table.column("_gram").to_pylist()))
+        prints, names, begin, least = (table.column(c).to_numpy()[met] for c in ("_print", "_name", "_at", "_least"))
+        part, first, size = repeated_windows([datas[i] for i in met.tolist()], least) if len(met) else (met, met, met)
+        return pa.table({"_print": pa.array(prints[part]), "_name": pa.array(names[part]), "_gone": pa.array(begin[part] + first << 32 | size)})
 
-    return parts.select("_print", "_name", "_at", "_least", "_bytes", "_key").groupBy(F.pmod("_key", F.lit(shards))).applyInArrow(run, GONE)
+    return parts.select("_print", "_name", "_at", "_least", "_bytes", "_key", "_gram").groupBy(F.pmod("_key", F.lit(shards))).applyInArrow(run, GONE)
 
 
 def marks(parts: DataFrame, shards: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -333,7 +347,7 @@ def marks(parts: DataFrame, shards: int, most: int) -> tuple[DataFrame, list[Dat
         at_one = narrower.where("_low = _high")
         least = at_one.groupBy("_key").agg(F.min("_least").alias("_smallest"))
         span = F.shiftleft(F.col("_at").cast("long"), 32) + F.octet_length("_bytes")
-        done.append(at_one.join(least, "_key").where("_smallest < _least").select("_print", "_name", F.array(span).alias("_gone")))
+        done.append(at_one.join(least, "_key").where("_smallest < _least").select("_print", "_name", span.alias("_gone")))
         counts = cut(narrower.where("_low < _high").groupBy("_key").agg(F.count(F.lit(1)).alias("_count")).where("_count > 1"), "counts")
         used += [parts, narrower, counts]
         parts = narrower.where("_low < _high").join(counts, "_key")
@@ -371,40 +385,47 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = cut(told_fingerprints(long_ones), "told")
     found = cut(shared_contexts(long_ones, told, copies.select("_id", "_row")), "contexts")
     forget(told)
-    distinct = cut(found.groupBy("_print", "_name").agg(F.min(F.struct("_id", "_row", "_place")).alias("_where")), "distinct-contexts")
+    where = F.min_by(F.struct("_row", "_place"), "_id") if repeated else F.struct(F.lit(0).cast("long").alias("_row"), F.min_by("_place", "_id").alias("_place"))
+    distinct = found.groupBy("_print", "_name").agg(F.min("_id").alias("_id"), where.alias("_where"))
+    distinct = cut(distinct.select("_print", "_name", "_id", "_where._row", "_where._place"), "distinct-contexts")
     counts = cut(distinct.groupBy("_print").agg(F.count(F.lit(1)).alias("_count")).where("_count > 1"), "counts")  # a lone context has nothing to be compared with
     known, most = counts.agg(F.sum("_count"), F.max("_count")).head()
     gone, used = marks(with_bytes(long_ones, distinct.join(counts, "_print")), max(1, (known or 0) // SHARD), most or 0)
     gone = cut(gone, "gone")
     forget(*used)
-    names = cut(distinct.select("_print", "_name", F.col("_where._id").alias("_least")).join(gone, ["_print", "_name"], "left"), "names")  # by itself, so that the next join can split a hot name
+    names = cut(distinct.select("_print", "_name", F.col("_id").alias("_least")).join(gone, ["_print", "_name"], "left"), "names")  # by itself, so that the next join can split a hot name
     placed = found.join(names, ["_print", "_name"])
     whole, first, windows = F.col("_id") > F.col("_least"), F.shiftright("_place", 10), F.shiftright("_place", 5).bitwiseAND(31)
-    begin = F.shiftleft(first, 32)
-    spans = F.when(whole, F.array(begin + windows + (LENGTH - 1))).otherwise(F.transform("_gone", lambda k: begin + k))
-    spans = placed.where(whole | F.col("_gone").isNotNull()).select("_id", "_row", F.explode(spans).alias("_span"))
+    span = F.shiftleft(first, 32) + F.when(whole, windows + (LENGTH - 1)).otherwise(F.col("_gone"))
+    spans = placed.where(whole | F.col("_gone").isNotNull()).select("_id", "_row", span.alias("_span"))
     spans = spans.unionByName(copies.select("_id", "_row", F.col("_size").cast("long").alias("_span")))
     spans = cut(spans.groupBy("_id", "_row").agg(F.collect_list("_span").alias("_spans")), "spans")
     forget(copies, found, distinct, counts, gone, names)
-    both = docs.join(spans, ["_id", "_row"], "left").select(F.col("_id").alias(id_col), *(["_times"] if repeated else []), F.struct("_text", "_spans").alias("_both"))
-
-    def cut_out(row: dict) -> tuple:
-        data, at, out, removed = row["_text"].encode(), 0, [], []
-        for span in sorted(row["_spans"] or ()):
-            start, end = span >> 32, (span >> 32) + (span & 0xFFFFFFFF)
-            if removed and start <= removed[-1]["end"]:
-                removed[-1]["end"] = max(removed[-1]["end"], end)
-            else:
-                removed.append({"start": start, "end": end})
-        for r in removed:
-            out.append(data[at : r["start"]])
-            at = r["end"]
-        return len(data), removed, b"".join(out) + data[at:]
-
-    done = annotate(both, "_both", lambda: lambda rows: list(map(cut_out, rows)), REMOVED).drop("_both")
+    both = docs.join(spans, ["_id", "_row"], "left").select("_id", F.col("_times") if repeated else F.lit(1).alias("_times"), "_text", "_spans")
+    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_times", T.LongType()), *REMOVED.fields])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, removed, kept = [], [], []
+            for text, spans in zip(batch.column(2).to_pylist(), lists(batch.column(3))):
+                data = text.encode()
+                sizes.append(len(data))
+                spans = np.sort(spans)
+                first = spans >> 32
+                end = np.maximum.accumulate(first + (spans & 0xFFFFFFFF))
+                heads = np.flatnonzero(np.append(True, first[1:] > end[:-1])) if len(spans) else np.empty(0, np.int64)
+                starts, ends = first[heads].tolist(), end[np.append(heads[1:], len(spans)) - 1].tolist() if len(spans) else []
+                removed.append([{"start": a, "end": b} for a, b in zip(starts, ends)])
+                kept.append(b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *(pa.array(c, arrow.field(n).type) for c, n in ((sizes, "n_bytes"), (removed, "removed"), (kept, "kept")))], schema=arrow)
+
+    done = both.mapInArrow(cut_out, schema)
     if repeated:
-        done = done.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
-    return done.withColumn(id_col, named(id_col).cast(id_type))
+        done = done.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return done.select(F.col("_id").cast(id_type).alias(id_col), *REMOVED.fieldNames())
 
 
 def digest(removed: DataFrame) -> DataFrame:
