@@ -50,3 +50,9 @@ class Aliases:
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}`")
             self.spark.sql(f"CREATE OR REPLACE FUNCTION `{schema}`.`{alias}` AS 'org.example.Placeholder'")
         self.registry.registerFunction(self._name(alias, schema), info, builder.get())
+
+    def drop(self, alias: str, schema: str | None = None) -> None:
+        """Takes an alias back; a schema's placeholder, by which SQL resolves names of two parts, goes too."""
+        self.registry.dropFunction(self._name(alias, schema))
+        if schema:
+            self.spark.sql(f"DROP FUNCTION IF EXISTS `{schema}`.`{alias}`")

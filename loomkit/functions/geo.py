@@ -63,6 +63,23 @@ def hilbert_encode(x: Column, y: Column, bits: int = 16) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda s: s["d"])
 
 
+def hilbert_decode(d: Column, bits: int = 16) -> Column:
+    """x and y, as a struct, of a place on the curve that hilbert_encode gives, bit by bit from the lowest."""
+
+    def step(s: Column, k: Column) -> Column:
+        side = F.pow(F.lit(2.0), k).cast("long")
+        rx = F.shiftright(s["d"], 1).bitwiseAND(F.lit(1).cast("long"))
+        ry = s["d"].bitwiseXOR(rx).bitwiseAND(F.lit(1).cast("long"))
+        turned = (ry == 0) & (rx == 1)
+        fx, fy = F.when(turned, side - 1 - s["x"]).otherwise(s["x"]), F.when(turned, side - 1 - s["y"]).otherwise(s["y"])
+        x, y = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
+        return F.struct((x + side * rx).alias("x"), (y + side * ry).alias("y"), F.shiftright(s["d"], 2).alias("d"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("x"), zero.alias("y"), d.cast("long").alias("d"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), start, step, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+
+
 def dms_to_deg(d: Column, m: Column, s: Column) -> Column:
     """Degrees, minutes and seconds; the degrees' sign is that of the whole."""
     return F.when(d < 0, -1).otherwise(1) * (F.abs(d) + m / 60.0 + s / 3600.0)

@@ -6,10 +6,15 @@ shuffle. Where it isn't, it folds the list of a group's values; a group must the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: States that a task of an incremental aggregate holds before it sends them on.
+STATES = 100_000
 
 
 def over(c: Column, window) -> Column:
@@ -79,36 +84,98 @@ def rsi(x: Column, order: Column, **modifiers) -> Column:
     return fold(x.cast("double"), finish, order=order, **modifiers)
 
 
-#: Bits of a Bloom filter and the hashes of a value.
-BLOOM_BITS, BLOOM_HASHES = 1 << 13, 4
+#: Bits of one bitmap of a Bloom filter, which Spark's bitmap aggregate fixes, and the bitmaps (each with a hash of its own).
+BITMAP, BLOOM_HASHES = 1 << 15, 4
 
 
-def bloom_filter(x: Column, bits: int = BLOOM_BITS, where: Column | None = None) -> Column:
-    """A Bloom filter of a group's values as text: the numbers of its set bits, ascending. At most `bits` numbers, combined before the shuffle."""
-    x = chosen(x.cast("string"), where)
-    nested = F.collect_set(F.when(x.isNotNull(), F.pmod(F.xxhash64(x), F.lit(bits * bits)).cast("long")))
-    places = F.array_distinct(F.flatten(F.transform(nested, lambda h: _spread(h, bits))))
-    return F.concat(F.lit(f"{bits}:"), F.array_join(F.array_sort(places), ","))
+def _places(x: Column, parts: int) -> list[Column]:
+    """For each hash the place of x among the bits of its bitmaps."""
+    return [F.pmod(F.xxhash64(F.lit(k), x), F.lit(parts * BITMAP)).cast("long") for k in range(BLOOM_HASHES)]
+
 
+def bloom_filter(x: Column, parts: int = 1, where: Column | None = None) -> Column:
+    """A Bloom filter of a group's values, as binary: BLOOM_HASHES times `parts` bitmaps of BITMAP bits.
 
-def _spread(h: Column, bits: int) -> Column:
-    """The places of a hash: double hashing with its two halves."""
-    a, b = F.pmod(h, F.lit(bits)), F.floor(h / bits).cast("long") * 2 + 1
-    return F.array(*(F.pmod(a + k * b, F.lit(bits)).cast("int") for k in range(BLOOM_HASHES)))
+    Each is built by Spark's own bitmap aggregate, so partial results are bitmaps too: 4 KB each, whatever the group's
+    size, combined before the shuffle. About 3,000 values a part keep false positives under 0.01 %; 20,000 under 5 %.
+    """
+    x = chosen(x.cast("string"), where)
+    bitmaps = []
+    for place in _places(x, parts):
+        for k in range(parts):
+            bit = F.pmod(place, F.lit(BITMAP))
+            bitmaps.append(F.bitmap_construct_agg(F.when(x.isNotNull() & (F.floor(place / BITMAP) == k), bit)))
+    return F.concat(*bitmaps)
 
 
-def bloom_contains(bloom: Column, x: Column, bits: int = BLOOM_BITS) -> Column:
+def bloom_contains(bloom: Column, x: Column, parts: int = 1) -> Column:
     """False if x was surely not added; null if either is null."""
-    places = F.transform(F.split(F.substring_index(bloom, ":", -1), ","), lambda p: F.try_to_number(p, F.lit("999999999")).cast("int"))
-    mine = _spread(F.pmod(F.xxhash64(x.cast("string")), F.lit(bits * bits)).cast("long"), bits)
-    return F.when(bloom.isNotNull() & x.isNotNull(), F.size(F.array_except(mine, places)) == 0)
+    x, found = x.cast("string"), F.lit(True)
+    for k, place in enumerate(_places(x, parts)):
+        at = place + k * parts * BITMAP
+        byte = F.conv(F.hex(F.substr(bloom, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        found = found & (F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1)
+    return F.when(bloom.isNotNull() & x.isNotNull(), found)
 
 
 def xor_filter(x: Column, where: Column | None = None) -> Column:
-    """A set of 32-bit fingerprints with the contract of a xor filter: no false negatives, few false positives; 8 bytes a distinct value."""
+    """A sorted list of 32-bit fingerprints with the promises of a xor filter: no false negatives, few false positives.
+
+    It takes 4 bytes a distinct value and holds them in one row: for groups that fit there. For others, bloom_filter.
+    """
     x = chosen(x.cast("string"), where)
     return F.array_sort(F.collect_set(F.when(x.isNotNull(), F.hash(x))))
 
 
 def xor_filter_contains(held: Column, x: Column) -> Column:
     return F.when(x.isNotNull(), F.array_contains(held, F.hash(x.cast("string"))))
+
+
+def incremental(df: DataFrame, keys: list[str], columns: list[str], state: str, init: Callable[[], tuple], update: Callable[[tuple, tuple], tuple], combine: Callable[[tuple, tuple], tuple], finish: Callable[[tuple], object], name: str, returns: str) -> DataFrame:
+    """keys and name: an aggregate of a module's own by its four steps, in two stages as Spark's own do.
+
+    Each task makes states from init and update for the keys that it sees, STATES at a time, and sends one row for a key and
+    turn; these are combined and finished by key. state is the DDL of a state's fields. No stage holds a group: the first
+    one holds states, the second one combines them row by row. Rows are tuples of columns, in no order; so combine must not
+    depend on it.
+    """
+    fields = T._parse_datatype_string(state).fields if isinstance(state, str) else state.fields
+    held_schema = T.StructType([*(df.schema[k] for k in keys), *fields])
+    out_schema = T.StructType([*(df.schema[k] for k in keys), T.StructField(name, T._parse_datatype_string(returns))])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    def batch(states: dict, schema) -> pa.RecordBatch:
+        rows = [(*key, *s) for key, s in states.items()]
+        columns_ = list(zip(*rows)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns_, schema)], schema=schema)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states, schema = {}, to_arrow_schema(held_schema)
+        for b in batches:
+            values = [c.to_pylist() for c in b.columns]
+            for row in zip(*values):
+                key = row[: len(keys)]
+                states[key] = update(states[key] if key in states else init(), row[len(keys) :])
+            if len(states) >= STATES:
+                yield batch(states, schema)
+                states = {}
+        yield batch(states, schema)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now, held = to_arrow_schema(out_schema), None, None
+        for b in batches:  # sorted by key
+            done = {}
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                key, own = row[: len(keys)], row[len(keys) :]
+                if held is not None and key == now:
+                    held = combine(held, own)
+                    continue
+                if held is not None:
+                    done[now] = (finish(held),)
+                now, held = key, own
+            yield batch(done, schema)
+        if held is not None:
+            yield batch({now: (finish(held),)}, schema)
+
+    made = df.select(*keys, *columns).mapInArrow(first, held_schema)
+    return made.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(last, out_schema)

@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast.
-SMALL = 50_000
+#: Rows and bytes (as text) of a side that may be broadcast.
+SMALL, SMALL_BYTES = 50_000, 32 << 20
 
 
-def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows; counting stops there."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def if_small(df: DataFrame, most: int = SMALL, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows and most_bytes bytes; measuring stops after that many rows."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")), F.lit(0))
+    n, n_bytes = df.limit(most + 1).agg(F.count(F.lit(1)), size).head()
+    return F.broadcast(df) if n <= most and n_bytes <= most_bytes else df
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str, name: str, salt: int = 0) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str, name: str, slices: bool = False) -> DataFrame:
     """left with the value of the last row of right at or before it (by `on`), within equal `by`.
 
-    Both sides are put into one table and a window carries the last value on: one shuffle and no row pairs. With salt > 0
-    time is cut into so many hashed slices by day and each slice starts from the last value before it, so that a key that
-    holds much of the data is spread over tasks. Of rows of right at one time the greatest value counts.
+    Both sides are put into one table and a window carries the last value on: one shuffle and no row pairs. With slices,
+    time is cut into days and each starts from the last value before it, so that a key that holds much of the data is
+    spread over tasks, for two more shuffles. Of rows of right at one time the greatest value counts.
     """
     none = F.lit(None).cast(right.schema[value].dataType)
     l = left.withColumns({"_v": F.struct(F.lit(False).alias("has"), none.alias("v")), "_side": F.lit(1)})
     r = right.groupBy(*by, on).agg(F.max(value).alias("_m")).select(*by, on, F.struct(F.lit(True).alias("has"), F.col("_m").alias("v")).alias("_v"), F.lit(0).alias("_side"))
     both = l.unionByName(r, allowMissingColumns=True)
     found = lambda w: F.last(F.when(F.col("_v.has"), F.col("_v")), ignorenulls=True).over(w)
-    if not salt:
+    if not slices:
         out = both.withColumn("_found", found(Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)))
     else:
         both = both.withColumn("_slice", F.date_trunc("day", F.col(on)))

@@ -122,3 +122,15 @@ def natural_key(c: Column) -> Column:
     """A sort key by which digits order as numbers and letters without case."""
     padded = F.transform(F.split(F.lower(c), r"(?<=\D)(?=\d)|(?<=\d)(?=\D)"), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, F.lit("0"))).otherwise(p))
     return F.array_join(padded, "")
+
+
+def numbered(df: DataFrame, key: Column, name: str, parts: int = 64) -> DataFrame:
+    """df with each row's place (from 1) in the order of key: ranges of keys are numbered by tasks of their own.
+
+    What precedes a range is a sum over `parts` counts, which are broadcast. Equal keys are one range; their order is open.
+    """
+    cut = df.withColumn("_order", key).repartitionByRange(parts, "_order").withColumn("_part", F.spark_partition_id())
+    counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_order"))
+    return cut.join(F.broadcast(before), "_part").withColumn(name, own + F.col("_before")).drop("_order", "_part", "_before")

@@ -20,8 +20,8 @@ def search(docs: DataFrame, query: str) -> DataFrame:
 
 
 def help_text(docs: DataFrame, name: str) -> str | None:
-    """Markdown for a function, or for all of a module; None if there is neither."""
-    rows = docs.where((F.col("function") == name) | (F.col("module") == name)).orderBy("module", "function").limit(1000).collect()
+    """Markdown for a function, or for all of a module, however many there are; None if there is neither."""
+    rows = docs.where((F.col("function") == name) | (F.col("module") == name)).orderBy("module", "function").toLocalIterator()
     parts = []
     for r in rows:
         body = [f"## {r.signature}", r.summary, r.description, f"### Example\n\n```sql\n{r.example}\n```" if r.example else None]

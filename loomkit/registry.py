@@ -7,12 +7,13 @@
 
 from __future__ import annotations
 
+import importlib.util
 import logging
 import os
 import re
 import time
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, NamedTuple
 
 from pyspark import TaskContext
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from loomkit import __version__
 from loomkit.alias import Aliases, checked
-from loomkit.errors import InvalidArgument, InvalidState, Unsupported
+from loomkit.errors import InvalidArgument, InvalidState, Io, Unsupported
 from loomkit.plans.contract import accepts
+from loomkit.plans.search import WEIGHTS
 from loomkit.types import cast_to, enum_ordinal, spark_type
 
 #: Events that are kept.
@@ -136,11 +138,26 @@ class Workbench:
         return self.spark.createDataFrame([(module.name, module.version, count)], "name string, version string, registered long")
 
     def forget(self, name: str) -> None:
-        """Shuts a module down and drops its records; their handles are not used again."""
+        """Shuts a module down and drops all that it registered, SQL functions included; its handles are not used again."""
         if module := self.modules.pop(name, None):
             module.shutdown()
+        held = {"column": self.columns, "aggregate": self.aggregates, "pragma": self.pragmas, "setting": self.settings, "replacement": self.readers, "log sink": self.sinks}
         for handle in [h for h, r in self.records.items() if r.module == name]:
-            del self.records[handle]
+            r = self.records.pop(handle)
+            if r.kind in ("scalar", "table", "macro", "table macro"):
+                self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {r.name}")
+            elif r.kind == "alias":
+                schema, _, alias = r.name.rpartition(".")
+                self.aliases.drop(alias)
+                if schema:
+                    self.aliases.drop(alias, schema)
+            elif r.kind == "cast":
+                self.casts.pop(tuple(x.strip().lower() for x in r.name.split("->")), None)
+            elif r.kind in ("type", "enum"):
+                self.types.pop(r.name.lower(), None)
+                self.enums.pop(r.name, None)
+            elif r.kind in held:
+                held[r.kind].pop(r.name.lower().lstrip(".") if r.kind == "replacement" else r.name, None)
         self.event("unload", name)
 
     def reconfigure(self, keys: list[str]) -> None:
@@ -340,15 +357,43 @@ class Workbench:
     # live queries and start ------------------------------------------------------------------------------------
 
     def query(self, sql: str) -> list[list[str]]:
-        """Rows as text, null as empty text. Only the driver may ask."""
+        """Rows as text, null as empty text, all at once: for small results; query_rows() takes any."""
+        return list(self.query_rows(sql))
+
+    def query_rows(self, sql: str) -> Iterator[list[str]]:
+        """The same, with a partition at a time on the driver. Only the driver may ask."""
         if TaskContext.get() is not None:
             raise InvalidState("a task can't run queries")
         df = self.spark.sql(sql)
-        return [["" if v is None else v for v in row] for row in df.select(*(F.col(f"`{c}`").cast("string") for c in df.columns)).collect()]
+        rows = df.select(*(F.col(f"`{c}`").cast("string") for c in df.columns)).toLocalIterator()
+        return (["" if v is None else v for v in row] for row in rows)
 
     def version(self) -> str:
         return f"loomkit {__version__}"
 
+    def preload(self, text: str | None = None) -> list[str]:
+        """Loads the modules that preloads() names: Python files whose Module subclasses are loaded in their order."""
+        for name, path in preloads(text):
+            found = importlib.util.spec_from_file_location(f"loomkit_preload_{name}", path)
+            if found is None or not os.path.exists(path):
+                raise Io(f"no module at {path}")
+            code = importlib.util.module_from_spec(found)
+            found.loader.exec_module(code)
+            for kind in [v for v in vars(code).values() if isinstance(v, type) and issubclass(v, Module) and v.__module__ == code.__name__]:
+                self.load(kind())
+        return list(self.modules)
+
+    def sql_functions(self, docs: DataFrame) -> None:
+        """loom_version(), loom_help(name) and loom_search(query) for SQL, over docs (see plans.catalog.docs)."""
+        docs.createOrReplaceTempView("loom_docs")
+        self.scalar("loom_version", f"'{self.version()}'", {}, "VARCHAR")
+        hit = " + ".join(f"{weight} * cast(contains(lower(coalesce({field}, '')), w) AS bigint)" for field, weight in WEIGHTS.items())
+        columns = {"module": "STRING", "function": "STRING", "summary": "STRING", "score": "BIGINT"}
+        score = f"aggregate(filter(split(lower(loom_search.query), ' '), w -> w <> ''), 0L, (a, w) -> a + {hit})"
+        self.table_macro("loom_search", {"query": "STRING"}, columns, f"SELECT * FROM (SELECT module, function, summary, {score} AS score FROM loom_docs) WHERE score > 0")
+        part = lambda c: f"nullif({c}, '')"
+        self.table_macro("loom_help", {"name": "STRING"}, {"help": "STRING"}, f"SELECT concat_ws('\\n\\n', '## ' || signature, {part('summary')}, {part('description')}) FROM loom_docs WHERE function = loom_help.name OR module = loom_help.name")
+
 
 def preloads(text: str | None = None) -> list[tuple[str, str]]:
     """name and path of modules to load at start: `name=path` or `path`, separated by colons."""

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNull, LessThan, LessThanOrEqual, Not
 
 from loomkit.errors import InvalidArgument
 
@@ -19,16 +19,32 @@ class Span(InputPartition):
 
 
 class SequenceReader(DataSourceReader):
-    """Numbers under a limit; comparisons of value narrow the range and are checked again above the scan."""
+    """Numbers under a limit; predicates on value narrow what is made.
+
+    =, <, <=, > and >= narrow the range and <> and IN the numbers in it; IS NULL leaves none and IS NOT NULL all, as no value is
+    null. All are checked again above the scan.
+    """
 
     def __init__(self, options: dict):
         self.low, self.high, self.parts = 0, int(options.get("limit", 0)), int(options.get("partitions", 4))
+        self.only: set[int] | None = None
+        self.never: set[int] = set()
         if self.high < 0:
             raise InvalidArgument("the limit is negative")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if getattr(f, "attribute", None) == ("value",) and isinstance(getattr(f, "value", None), int):
+            if isinstance(f, Not) and isinstance(f.child, EqualTo) and f.child.attribute == ("value",) and isinstance(f.child.value, int):
+                self.never.add(f.child.value)
+            if getattr(f, "attribute", None) != ("value",):
+                pass
+            elif isinstance(f, In):
+                here = {v for v in f.value if isinstance(v, int)}
+                self.only = here if self.only is None else self.only & here
+                self.low, self.high = max(self.low, min(here, default=0)), min(self.high, max(here, default=-1) + 1)
+            elif isinstance(f, IsNull):
+                self.high = self.low
+            elif isinstance(getattr(f, "value", None), int):
                 if isinstance(f, (EqualTo, GreaterThanOrEqual)):
                     self.low = max(self.low, f.value)
                 if isinstance(f, GreaterThan):
@@ -45,7 +61,10 @@ class SequenceReader(DataSourceReader):
 
     def read(self, part: Span) -> Iterator[pa.RecordBatch]:
         for a in range(part.low, part.high, 65536):
-            yield pa.record_batch([pa.array(range(a, min(a + 65536, part.high)), pa.int64())], names=["value"])
+            made = range(a, min(a + 65536, part.high))
+            if self.only is not None:
+                made = sorted(v for v in self.only if v in made)
+            yield pa.record_batch([pa.array([v for v in made if v not in self.never] if self.never else made, pa.int64())], names=["value"])
 
 
 class SequenceSource(DataSource):

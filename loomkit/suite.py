@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomkit.errors import InvalidState
 from loomkit.functions import encoding, geo, hashing, stats, text, validators, web
 from loomkit.operators import aggregates as A
 from loomkit.operators import frames, joins, vectors
@@ -105,13 +106,15 @@ def luhn_orders(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", validators.luhn_validate(key9("o_orderkey")).alias("v"))
 
 
-@query(f"WITH d AS (SELECT p_partkey, '3028' || '29' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS s FROM part) SELECT p_partkey, {LUHN.format(s='s')} AS v FROM d")
+@query(f"""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'us' ELSE 'US' END || CASE WHEN p_partkey % 5 = 0 THEN 'K' ELSE '' END || lpad(CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 5 = 0 THEN 8 ELSE 9 END, '0') || CAST(p_partkey % 10 AS VARCHAR) AS code FROM part),
+d AS (SELECT p_partkey, code, array_to_string(list_transform(string_split(code, ''), lambda x: CASE WHEN x BETWEEN 'A' AND 'Z' THEN CAST(ord(x) - 55 AS VARCHAR) ELSE x END), '') AS s FROM c)
+SELECT p_partkey, CASE WHEN regexp_full_match(code, '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') THEN {LUHN.format(s='s')} ELSE false END AS v FROM (SELECT p_partkey, code, CASE WHEN regexp_full_match(s, '[0-9]+') THEN s ELSE '0' END AS s FROM d)""")
 def isin_parts(spark, sf_dir):
-    code = F.concat(F.lit("US"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
-    swapped = F.concat(F.lit("3028"), F.lit("29"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
-    plain = F.concat(validators.lettered(F.lit("US")), F.lit("29"), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
-    ok = validators.luhn(plain)
-    return t(spark, sf_dir, "part").select("p_partkey", F.when(validators.isin_validate(code).isNotNull() & (plain == swapped), ok).alias("v"))
+    """Codes with right and wrong check digits, with a letter inside, and some in small letters."""
+    k, five = F.col("p_partkey"), F.col("p_partkey") % 5 == 0
+    number = F.when(five, F.concat(F.lit("K"), F.lpad(k.cast("string"), 8, "0"))).otherwise(F.lpad(k.cast("string"), 9, "0"))
+    code = F.concat(F.when(k % 7 == 0, "us").otherwise("US"), number, (k % 10).cast("string"))
+    return t(spark, sf_dir, "part").select("p_partkey", validators.isin_validate(code).alias("v"))
 
 
 @query("""WITH d AS (SELECT c_custkey, 'DE89' || lpad(CAST(c_custkey AS VARCHAR), 18, '0') AS s FROM customer)
@@ -137,12 +140,17 @@ def morton_lineitem(spark, sf_dir):
     return rows.select("*", geo.morton_decode_x(F.col("z")).alias("x"), geo.morton_decode_y(F.col("z")).alias("y"))
 
 
-@query("SELECT 256 AS cells, true AS steps")
+@query("""WITH RECURSIVE h AS (SELECT range % 16 AS x0, range // 16 AS y0, range % 16 AS x, range // 16 AS y, CAST(8 AS BIGINT) AS s, CAST(0 AS BIGINT) AS d FROM range(256)
+UNION ALL SELECT x0, y0, CASE WHEN ry = 0 THEN fy ELSE fx END, CASE WHEN ry = 0 THEN fx ELSE fy END, s // 2, d + s * s * xor(3 * rx, ry)
+FROM (SELECT *, CASE WHEN ry = 0 AND rx = 1 THEN s - 1 - u ELSE u END AS fx, CASE WHEN ry = 0 AND rx = 1 THEN s - 1 - v ELSE v END AS fy
+FROM (SELECT x0, y0, s, d, CAST(x & s > 0 AS BIGINT) AS rx, CAST(y & s > 0 AS BIGINT) AS ry, x & (s - 1) AS u, y & (s - 1) AS v FROM h WHERE s > 0)))
+SELECT x0 AS x, y0 AS y, d, x0 AS back_x, y0 AS back_y FROM h WHERE s = 0""")
 def hilbert_walk(spark, sf_dir):
+    """All cells of a square on the curve, and from there back."""
     cells = spark.range(256).select((F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).alias("y"))
     d = cells.select("x", "y", geo.hilbert_encode(F.col("x"), F.col("y"), 4).alias("d"))
-    step = F.abs(F.col("x") - F.lag("x").over(Window.orderBy("d"))) + F.abs(F.col("y") - F.lag("y").over(Window.orderBy("d")))
-    return d.withColumn("s", step).agg(F.count_distinct("d").cast("int").alias("cells"), F.bool_and(F.col("s") == 1).alias("steps"))
+    back = geo.hilbert_decode(F.col("d"), 4)
+    return d.select("x", "y", "d", back["x"].alias("back_x"), back["y"].alias("back_y"))
 
 
 @query("""SELECT s_suppkey, round(degrees(asin(sin(radians(d)) * sin(radians(27.12825)) + cos(radians(d)) * cos(radians(27.12825)) * cos(radians(a - 192.85948)))), 6) AS b, round(15.0 * (a % 24 + 30 / 60.0 + 15 / 3600.0), 6) AS h
@@ -179,11 +187,15 @@ def distributions(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", r(stats.normal_pdf(x, F.lit(0.0), F.lit(1.0))).alias("pdf"), r(stats.exponential_cdf(F.abs(x), F.lit(0.5))).alias("e"), r(stats.poisson_pmf(k, F.lit(2.5))).alias("p"))
 
 
-@query("""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host FROM pages)
-SELECT page_id, host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h""")
+@query(f"""WITH h AS (SELECT page_id, lower(regexp_extract(CASE WHEN page_id % 3 = 0 THEN replace(replace(url, '.com', '.co.uk'), '.net', '.com.au') ELSE url END, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host FROM pages),
+n AS (SELECT page_id, host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two FROM h),
+k AS (SELECT page_id, host, two, CASE WHEN two IN {web.SUFFIXES} THEN 3 ELSE 2 END AS labels FROM n)
+SELECT page_id, host, CASE WHEN len(string_split(host, '.')) >= labels THEN array_to_string(list_slice(string_split(host, '.'), -labels, -1), '.') END AS domain,
+CASE WHEN labels = 3 THEN two ELSE string_split(host, '.')[-1] END AS suffix FROM k""")
 def url_domain_pages(spark, sf_dir):
-    u = F.col("url")
-    return t(spark, sf_dir, "pages").select("page_id", web.host(u).alias("host"), web.registrable_domain(u, ()).alias("domain"), web.public_suffix(u, ()).alias("suffix"))
+    """Hosts of pages, some moved under suffixes of two labels."""
+    u = F.when(F.col("page_id") % 3 == 0, F.replace(F.replace("url", F.lit(".com"), F.lit(".co.uk")), F.lit(".net"), F.lit(".com.au"))).otherwise(F.col("url"))
+    return t(spark, sf_dir, "pages").select("page_id", web.host(u).alias("host"), web.registrable_domain(u).alias("domain"), web.public_suffix(u).alias("suffix"))
 
 
 @query()
@@ -191,10 +203,13 @@ def html_text_pages(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') IS NOT NULL AS ok FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 10 AND 60 AND CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 <> 0 AS ok FROM events")
 def json_events(spark, sf_dir):
-    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}
-    return t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), web.json_schema_valid(F.col("props"), schema).alias("ok"))
+    """Texts with the number as it is, as text where 3 divides it (a wrong type), and bounds that some break."""
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 60}}}
+    k = F.get_json_object("props", "$.k")
+    held = F.when(k.cast("long") % 3 == 0, F.to_json(F.struct(k.alias("k")))).otherwise(F.col("props"))
+    return t(spark, sf_dir, "events").select("event_id", k.cast("long").alias("k"), web.json_schema_valid(held, schema).alias("ok"))
 
 
 @query("SELECT o_orderkey, ((epoch_ms(o_orderdate) - 1577836800000) << 22) | (o_orderkey & 4194303) AS id FROM orders WHERE o_orderdate >= TIMESTAMP '2020-01-01' UNION ALL SELECT o_orderkey, (epoch_ms(o_orderdate) - 1577836800000) * 4194304 + (o_orderkey & 4194303) FROM orders WHERE o_orderdate < TIMESTAMP '2020-01-01'")
@@ -271,12 +286,38 @@ def hash_agg_nations(spark, sf_dir):
     return t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(hashing.hash_agg(F.col("n_name"), F.col("n_nationkey")).alias("h"))
 
 
-@query("SELECT p_brand, true AS all_in FROM part GROUP BY 1")
+@query("SELECT p_brand, count(*) AS members, count(*) AS in_bloom, count(*) AS in_xor, true AS few_strangers FROM part GROUP BY 1")
 def bloom_membership(spark, sf_dir):
+    """All members are found in their brand's filters, and at most one in 50 names that no part has."""
     parts = t(spark, sf_dir, "part").select("p_brand", "p_name")
-    made = parts.groupBy("p_brand").agg(A.bloom_filter(F.col("p_name"), 1 << 13).alias("bloom"), A.xor_filter(F.col("p_name")).alias("xor"))
-    held = A.bloom_contains(F.col("bloom"), F.col("p_name"), 1 << 13) & A.xor_filter_contains(F.col("xor"), F.col("p_name"))
-    return parts.join(made, "p_brand").groupBy("p_brand").agg(F.bool_and(held).alias("all_in"))
+    made = parts.groupBy("p_brand").agg(A.bloom_filter(F.col("p_name")).alias("bloom"), A.xor_filter(F.col("p_name")).alias("xor"))
+    held = parts.join(made, "p_brand")
+    hit = lambda c: F.count_if(c).alias
+    stranger = F.concat("p_name", F.lit(" of no part"))
+    few = F.count_if(A.bloom_contains(F.col("bloom"), stranger)) * 50 <= F.count(F.lit(1))
+    return held.groupBy("p_brand").agg(F.count(F.lit(1)).alias("members"), hit(A.bloom_contains(F.col("bloom"), F.col("p_name")))("in_bloom"), hit(A.xor_filter_contains(F.col("xor"), F.col("p_name")))("in_xor"), few.alias("few_strangers"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(var_pop(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1 ".replace("count(*) AS n, ", ""))
+def incremental_variance(spark, sf_dir):
+    """A module's own aggregate by init, update, combine and finish: number, mean and squared deviations (Chan's merge)."""
+
+    def combine(a, b):
+        n = a[0] + b[0]
+        step = b[1] - a[1]
+        return n, a[1] + step * b[0] / n, a[2] + b[2] + step * step * a[0] * b[0] / n
+
+    made = A.incremental(t(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_extendedprice"], "n bigint, mean double, m2 double", lambda: (0, 0.0, 0.0), lambda s, row: combine(s, (1, row[0], 0.0)), combine, lambda s: s[2] / s[0], "v", "double")
+    return made.select("l_returnflag", r(F.col("v"), 2).alias("v"))
+
+
+@query("SELECT event_type, true AS distinct_close, true AS median_close FROM events GROUP BY 1")
+def approximate_events(spark, sf_dir):
+    """Approximate aggregates within their stated errors of the exact ones."""
+    e = t(spark, sf_dir, "events")
+    low, high = (F.percentile("value", p) for p in (0.48, 0.52))
+    near = F.abs(F.approx_count_distinct("user_id", 0.02) - F.count_distinct("user_id")) <= 0.1 * F.count_distinct("user_id") + 1
+    return e.groupBy("event_type").agg(near.alias("distinct_close"), F.percentile_approx("value", 0.5, 1000).between(low, high).alias("median_close"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, CAST(grouping(event_type) AS BIGINT) AS g FROM events GROUP BY CUBE (event_type)")
@@ -293,6 +334,33 @@ def frame_exclude_current(spark, sf_dir):
     return d.select("o_orderkey", r(F.col("s"), 2).alias("s"))
 
 
+ODD_NUMBERS = "CASE o_orderkey % 5 WHEN 0 THEN 1e16 WHEN 1 THEN 1.0 WHEN 2 THEN {inf} WHEN 3 THEN 2.0 END"
+
+
+def odd_numbers() -> Column:
+    """Numbers of which a sum can't be taken back: one hides others, one is infinite, some are null."""
+    return F.expr(ODD_NUMBERS.format(inf="double('Infinity')") + " + 0D")
+
+
+@query(f"SELECT o_orderkey, sum({ODD_NUMBERS.format(inf=chr(39) + 'inf' + chr(39) + '::DOUBLE')}) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS s FROM orders")
+def frame_exclude_odd_numbers(spark, sf_dir):
+    d = t(spark, sf_dir, "orders").withColumn("x", odd_numbers())
+    return frames.excluding(d, ["o_custkey"], ["o_orderdate", "o_orderkey"], "x", "current row", -1, 1, "s").select("o_orderkey", "s")
+
+
+@query("SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE NO OTHERS) AS top, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE NO OTHERS), 4) AS mean FROM orders")
+def frame_exclude_no_others(spark, sf_dir):
+    d = frames.fold_excluding(t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey", "o_totalprice", "no others", -1, 1, F.array_max, "top")
+    d = frames.excluding(d, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "no others", -1, 1, "mean", "avg")
+    return d.select("o_orderkey", "top", r(F.col("mean"), 4).alias("mean"))
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY round(value, 1) RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING EXCLUDE GROUP), 3) AS s FROM events")
+def frame_exclude_group_doubles(spark, sf_dir):
+    d = t(spark, sf_dir, "events").withColumn("k", F.round("value", 1))
+    return frames.excluding(d, ["user_id"], ["k"], "value", "group", -0.5, 0.5, "s").select("event_id", r(F.col("s"), 3).alias("s"))
+
+
 RANGED = "OVER (PARTITION BY o_orderstatus ORDER BY CAST(o_custkey AS BIGINT) RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING EXCLUDE {})"
 
 
@@ -366,6 +434,12 @@ def sequence_source(spark, sf_dir):
     return readers.sequence(spark, 1000).where("value >= 990")
 
 
+@query("SELECT range AS value FROM range(1000) WHERE range IN (3, 5, 8, 2000) AND range <> 5 AND range IS NOT NULL UNION ALL SELECT range FROM range(1000) WHERE range IS NULL")
+def sequence_predicates(spark, sf_dir):
+    numbers = lambda: readers.sequence(spark, 1000)
+    return numbers().where("value IN (3, 5, 8, 2000) AND value <> 5 AND value IS NOT NULL").unionByName(numbers().where("value IS NULL"))
+
+
 @query("SELECT range * range AS square FROM range(100)")
 def arrow_producer(spark, sf_dir):
     import pyarrow as pa
@@ -431,12 +505,20 @@ def small_catalog(spark: SparkSession) -> DataFrame:
     return catalog.of_json(spark, json.dumps(CATALOG))
 
 
-@query("SELECT * FROM (VALUES ('aba', 'w4', repeat('c', 64)), ('crypto', NULL, NULL), ('sample', NULL, repeat('e', 64))) AS v(module, provider, digest)")
+#: The same catalog for SQL: modules, and their providers in order.
+MODULES_SQL = "(VALUES ('aba', 'pkg@4.1.0', repeat('a', 64)), ('crypto', 'pkg@3.0.0', repeat('d', 64)), ('sample', 'pkg@4.2.0', repeat('e', 64))) AS m(module, contract, own)"
+PROVIDERS_SQL = "(VALUES ('aba', 0, 'w2', 'wasm', 'pkg@2.0', repeat('b', 64), NULL, NULL, NULL), ('aba', 1, 'w4', 'wasm', 'pkg@4.0', repeat('c', 64), NULL, NULL, NULL), ('aba', 2, 'n', 'native', NULL, NULL, 'linux', 'v1', NULL), ('crypto', 0, 'cn', 'community-native', NULL, NULL, NULL, NULL, 'crypto')) AS p(module, place, id, kind, abi, digest, platform, version, extension)"
+
+
+@query(f"""WITH f AS (SELECT module, arg_min(id, place) AS provider, arg_min(digest, place) AS digest FROM {PROVIDERS_SQL} WHERE kind = 'wasm' AND digest IS NOT NULL AND try_cast(regexp_extract(abi, '@([^.]*)', 1) AS INT) = 4 GROUP BY 1)
+SELECT m.module, f.provider, coalesce(f.digest, CASE WHEN try_cast(regexp_extract(contract, '@([^.]*)', 1) AS INT) = 4 THEN own END) AS digest FROM {MODULES_SQL} LEFT JOIN f USING (module)""")
 def provider_select(spark, sf_dir):
     return catalog.digests(small_catalog(spark), host=4)
 
 
-@query("SELECT * FROM (VALUES ('aba', 'n', 'native'), ('crypto', 'cn', 'community'), ('sample', NULL, NULL)) AS v(module, provider, kind)")
+@query(f"""WITH c AS (SELECT module, arg_min(id, place) AS id FROM {PROVIDERS_SQL} WHERE kind = 'community-native' AND extension IS NOT NULL GROUP BY 1),
+e AS (SELECT module, arg_min(id, place) AS id FROM {PROVIDERS_SQL} WHERE kind = 'native' AND platform = 'linux' AND version = 'v1' GROUP BY 1)
+SELECT m.module, coalesce(c.id, e.id) AS provider, CASE WHEN c.id IS NOT NULL THEN 'community' WHEN e.id IS NOT NULL THEN 'native' END AS kind FROM {MODULES_SQL} LEFT JOIN c USING (module) LEFT JOIN e USING (module)""")
 def native_select(spark, sf_dir):
     return catalog.natives(small_catalog(spark), "linux", "v1")
 
@@ -446,25 +528,30 @@ def docs_view(spark, sf_dir):
     return catalog.docs(small_catalog(spark)).select("module", "function", "signature", "tags")
 
 
-@query("SELECT * FROM (VALUES ('crypto', 'hash', 'Hash of a text.', 18), ('aba', 'aba_validate', 'Check a routing number.', 1)) AS v(module, function, summary, score)".replace("18)", "CAST(18 AS BIGINT))").replace("1)) AS", "CAST(1 AS BIGINT))) AS"))
+@query("""WITH d AS (SELECT * FROM (VALUES ('aba', 'aba_validate', 'Check a routing number.', 'Nine digits with a check digit.', 'validator,banking'), ('crypto', 'hash', 'Hash of a text.', NULL, 'hash,digest'), ('sample', 'emit_sequence', 'Numbers up to a limit.', NULL, NULL)) AS v(module, function, summary, description, tags)),
+w AS (SELECT unnest(string_split(lower('HASH digit'), ' ')) AS word),
+s AS (SELECT module, function, summary, CAST(sum(10 * CAST(contains(lower(function), word) AS INT) + 5 * CAST(contains(lower(coalesce(tags, '')), word) AS INT) + 3 * CAST(contains(lower(coalesce(summary, '')), word) AS INT) + CAST(contains(lower(coalesce(description, '')), word) AS INT)) AS BIGINT) AS score FROM d, w GROUP BY ALL)
+SELECT * FROM s WHERE score > 0""")
 def search_ranked(spark, sf_dir):
     return search.search(catalog.docs(small_catalog(spark)), "HASH digit")
 
 
-@query("SELECT * FROM (VALUES ('distance', 'geo_dist'), ('override_me', 'other'), ('ema', 'ta_ema'), ('sma', 'ta_sma')) AS v(alias, target)")
+@query("""WITH m AS (SELECT * FROM (VALUES ('override_me', 'other'), ('distance', 'geo_dist')) AS v(alias, target)), f AS (SELECT unnest(['ta_sma', 'ta_ema', 'other', 'ta_not-safe', 'ta_']) AS name)
+SELECT alias, target FROM m UNION ALL SELECT substr(name, 4), name FROM f WHERE starts_with(name, 'ta_') AND regexp_full_match(substr(name, 4), '[A-Za-z0-9_]+') AND name NOT IN (SELECT target FROM m)""")
 def alias_pairs(spark, sf_dir):
     mapping = spark.createDataFrame([("override_me", "other"), ("distance", "geo_dist")], "alias string, target string")
     functions = spark.createDataFrame([("ta_sma",), ("ta_ema",), ("other",), ("ta_not-safe",), ("ta_",)], "name string")
     return catalog.alias_pairs(mapping, functions, "ta_")
 
 
-@query("SELECT * FROM (VALUES ('p@4.0.0', true), ('p@4.2', true), ('p@4.3.0', false), ('p@3.0.0', false), ('p@5.1.0', false), ('p', false)) AS v(contract, ok)")
+@query(r"""SELECT contract, coalesce(try_cast(regexp_extract(contract, '@(\d+)\.(\d+)(\.\d+)?$', 1) AS INT) = 4 AND try_cast(regexp_extract(contract, '@(\d+)\.(\d+)(\.\d+)?$', 2) AS INT) <= 2, false) AS ok
+FROM (SELECT unnest(['p@4.0.0', 'p@4.2', 'p@4.3.0', 'p@3.0.0', 'p@5.1.0', 'p']) AS contract)""")
 def contract_gate(spark, sf_dir):
     rows = spark.createDataFrame([(c,) for c in ("p@4.0.0", "p@4.2", "p@4.3.0", "p@3.0.0", "p@5.1.0", "p")], "contract string")
     return rows.select("contract", contract.accepts_column(F.col("contract")).alias("ok"))
 
 
-@query("SELECT CAST(1024 AS BIGINT) AS n, CAST(10 AS BIGINT) AS first, CAST(1033 AS BIGINT) AS last")
+@query("SELECT count(*) AS n, min(range) AS first, max(range) AS last FROM (SELECT range FROM range(1034) ORDER BY range DESC LIMIT 1024)")
 def events_ring(spark, sf_dir):
     bench = Workbench(spark)
     for i in range(1034):
@@ -506,17 +593,22 @@ def unique_check(spark, sf_dir):
 @query("SELECT c_name, CAST(row_number() OVER (ORDER BY c_custkey) AS INT) AS place FROM customer")
 def collation_sortkey(spark, sf_dir):
     name = F.concat(F.lit("Customer"), F.col("c_custkey").cast("string"))
-    return t(spark, sf_dir, "customer").select("c_name", F.row_number().over(Window.orderBy(vectors.natural_key(name))).alias("place"))
+    return vectors.numbered(t(spark, sf_dir, "customer"), vectors.natural_key(name), "place").select("c_name", F.col("place").cast("int"))
 
 
 # sources and sinks ----------------------------------------------------------------------------------------------
 
 
 def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; a folder of this machine only where the session runs on it alone."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidState("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/loomkit-{uuid.uuid4().hex}/{name}"
 
 
@@ -541,7 +633,7 @@ def replacement_scan(spark, sf_dir):
 @query("SELECT c.event_id, p.value AS last_value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type <> 'click' GROUP BY 1, 2) p ON c.user_id = p.user_id AND c.ts >= p.ts")
 def join_asof_events(spark, sf_dir):
     e = t(spark, sf_dir, "events")
-    found = joins.asof(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type <> 'click'").select("user_id", "ts", "value"), "ts", ["user_id"], "value", "last_value", salt=1)
+    found = joins.asof(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type <> 'click'").select("user_id", "ts", "value"), "ts", ["user_id"], "value", "last_value")
     return found.select("event_id", "last_value")
 
 

@@ -172,3 +172,75 @@ def test_joins_and_vectors(spark):
     assert vectors.duplicates(e, "id").count() == 0
     w = Window.orderBy(vectors.natural_key(F.col("n")))
     assert [r.n for r in spark.createDataFrame([("a10",), ("A9",), ("a1b",)], "n string").withColumn("r", F.row_number().over(w)).orderBy("r").collect()] == ["a1b", "A9", "a10"]
+
+
+def test_forget_takes_functions_back(spark):
+    bench = Workbench(spark)
+
+    class Full(Module):
+        name = "full"
+
+        def load(self, bench):
+            bench.scalar("loom_gone", "x + 1", {"x": "BIGINT"}, "BIGINT")
+            bench.python("loom_gone_py", lambda s: s, "BIGINT")
+            bench.macro("loom_gone_macro", {"x": "INT"}, "x * 2")
+            bench.alias("loom_gone_sum", "sum", namespace="loom_gone_ns")
+            bench.column("loom_gone_column", lambda x: x)
+            bench.replacement("gone", lambda s, p: s.range(1))
+
+    bench.load(Full())
+    assert spark.sql("SELECT loom_gone(1L), loom_gone_py(1L), loom_gone_macro(1), loom_gone_sum(1), loom_gone_ns.loom_gone_sum(1) FROM range(1)").count() == 1
+    bench.forget("full")
+    for call in ("loom_gone(1L)", "loom_gone_py(1L)", "loom_gone_macro(1)", "loom_gone_sum(1)", "loom_gone_ns.loom_gone_sum(1)"):
+        with pytest.raises(Exception, match="(?i)routine|function"):
+            spark.sql(f"SELECT {call} FROM range(1)").collect()
+    with pytest.raises(errors.InvalidState):
+        bench.call("loom_gone_column", F.lit(1))
+    with pytest.raises(errors.Unsupported):
+        bench.read("x.gone")
+
+
+def test_preload_loads(spark, tmp_path):
+    path = tmp_path / "extra.py"
+    path.write_text("from loomkit.registry import Module\nclass Extra(Module):\n    name = 'extra'\n    def load(self, bench):\n        bench.scalar('loom_extra', 'x * 10', {'x': 'BIGINT'}, 'BIGINT')\n")
+    bench = Workbench(spark)
+    assert bench.preload(f"extra={path}") == ["extra"]
+    assert spark.sql("SELECT loom_extra(4L) AS v").head().v == 40
+    with pytest.raises(errors.Io):
+        bench.preload(str(tmp_path / "none.py"))
+
+
+def test_help_search_and_version_in_sql(spark):
+    bench, docs = Workbench(spark), catalog.docs(small_catalog(spark))
+    bench.sql_functions(docs)
+    assert spark.sql("SELECT loom_version() AS v").head().v == bench.version()
+    got = spark.sql("SELECT module, function, score FROM loom_search('HASH digit') ORDER BY score DESC").collect()
+    assert [tuple(r) for r in got] == [(r.module, r.function, r.score) for r in search.search(docs, "HASH digit").collect()]
+    assert "aba_validate(routing VARCHAR) -> BOOLEAN" in spark.sql("SELECT help FROM loom_help('aba')").head().help
+
+
+def test_incremental_aggregate(spark):
+    """The longest text of a key, whatever the partitions, and keys of which a task sees more than it holds."""
+    rows = [(k % 40 if k % 7 else None, f"{'x' * (k % 13)}{k}") for k in range(1000)]
+    longest = lambda a, b: max(a, b, key=lambda s: (s[0], s[1]))
+    run = lambda df: A.incremental(df, ["k"], ["t"], "n bigint, t string", lambda: (-1, ""), lambda s, r: longest(s, (len(r[0]), r[0])), longest, lambda s: s[1], "longest", "string")
+    df, held = spark.createDataFrame(rows, "k long, t string"), A.STATES
+    want = {k: max((t for j, t in rows if j == k), key=lambda t: (len(t), t)) for k in {k for k, _ in rows}}
+    try:
+        for states in (3, held):
+            A.STATES = states
+            assert {r.k: r.longest for r in run(df.repartition(3)).collect()} == want
+    finally:
+        A.STATES = held
+    assert run(df.where("false")).count() == 0
+
+
+def test_bloom_of_many_values(spark):
+    made = spark.range(200_000).agg(A.bloom_filter(F.col("id"), 32).alias("b"))
+    both = spark.range(199_000, 201_000).crossJoin(made).select("id", A.bloom_contains(F.col("b"), F.col("id"), 32).alias("has"))
+    assert both.where("id < 200000 AND NOT has").count() == 0 and both.where("id >= 200000 AND has").count() < 20
+
+
+def test_numbered_is_one_order(spark):
+    got = vectors.numbered(spark.range(1000).withColumn("x", F.xxhash64("id")), F.col("x"), "place", 7).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 1001)) and [r.x for r in got] == sorted(r.x for r in got)
