@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table documents; dealt to all cores if the scan has fewer parts than that (files of one row group)."""
+    found, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return found if found.rdd.getNumPartitions() >= cores else found.repartition(cores)
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased words: runs of ASCII digits, ASCII letters and non-ASCII characters, as UTF-8."""
     return text.encode().translate(WORD_BYTES).split() if text else []

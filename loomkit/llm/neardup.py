@@ -10,8 +10,8 @@ texts of up to SHORT words get keys that no similar pair can evade (segments, by
 
 Texts that are equal word for word form one node. Nodes that share a key meet in a bucket, and are compared in three turns:
 1. each with the least node of its bucket, the same for all buckets that it is in;
-2. each with a node of its bucket drawn by hash, a different one in each bucket, if their classes still differ: a large group
-   of near copies is one class by now;
+2. each with nodes that come first in DRAWS other orders, of which each bucket uses one, if their classes still differ: a
+   large group of near copies is one class by now;
 3. all pairs of a bucket that are still in different classes. A bucket of more than CROWD nodes would make too many: its
    nodes, mostly unlike texts with one passage in common, are dealt anew, by the words that are rarest among them. Similar
    texts share one of the rarest fifth of their words for certain (a prefix filter), so no pair is lost by that.
@@ -44,6 +44,8 @@ SHORT = 30
 BINS = 256
 #: Nodes of a bucket from which it is dealt anew, and nodes that are compared with each other (or as many others) at once.
 CROWD, BLOCK = 256, 1000
+#: Orders of nodes by hash for the second turn; pairs of a hub that one task compares.
+DRAWS, STAR = 4, 1000
 #: Counters of words by hash that say which ones are rare (their number bounds what is broadcast).
 COUNTERS = 1 << 18
 #: Hashes that are put in all orders at once (memory of a very long text).
@@ -237,26 +239,38 @@ def sketch_rows(df: DataFrame, id_col: str, text_col: str, similarity: float = S
 
 def shared(rows: DataFrame) -> DataFrame:
     """The rows (_key, _node) whose key several nodes have."""
-    many = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key")
-    return cut(rows.join(many, "_key"), "shared")
+    many = cut(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key"), "many")
+    found = cut(rows.join(many, "_key"), "shared")
+    forget(many)
+    return found
 
 
 def still_open(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """met (_key, _node) with _root and _size, without the buckets that are within one class; classes has _node and _root."""
+    """met (_key, _node) with _root and _size, without the buckets that are within one class; classes has _node and _root.
+
+    What is found of a bucket is cut before it is joined to its rows, here and in stars(): a join of two plain shuffles is one
+    that Spark splits if a key is hot.
+    """
     rows = met.join(classes, "_node")
     open_ = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), (F.min("_root") < F.max("_root")).alias("_open")).where("_open")
-    return rows.join(open_.select("_key", "_size"), "_key")
+    open_ = cut(open_.select("_key", "_size"), "open-keys")
+    found = cut(rows.join(open_, "_key"), "open")
+    forget(open_)
+    return found
 
 
 def stars(rows: DataFrame, draw: bool) -> DataFrame:
     """Distinct pairs (_hub, _node) of a node of each bucket and those of other classes; rows has _key, _node and _root.
 
-    The hub is the bucket's least node, or (draw) the one that a hash of bucket and node puts first.
+    The hub is the bucket's least node, or (draw) the first one in the order that the bucket uses.
     """
-    order = F.xxhash64("_key", "_node") if draw else F.lit(0)
+    order = F.xxhash64(F.pmod("_key", F.lit(DRAWS)), "_node") if draw else F.lit(0)
     hubs = rows.groupBy("_key").agg(F.min(F.struct(order.alias("o"), F.col("_node").alias("hub"), F.col("_root").alias("root"))).alias("_first"))
-    met = rows.join(hubs, "_key").where("_root <> _first.root")
-    return met.select(F.least("_first.hub", "_node").alias("_hub"), F.greatest("_first.hub", "_node").alias("_node")).distinct()
+    hubs = cut(hubs.select("_key", F.col("_first.hub").alias("_a"), F.col("_first.root").alias("_a_root")), "hubs")
+    met = rows.join(hubs, "_key").where("_root <> _a_root")
+    found = cut(met.select(F.least("_a", "_node").alias("_hub"), F.greatest("_a", "_node").alias("_node")).distinct(), "stars")
+    forget(hubs)
+    return found
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -380,8 +394,8 @@ def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose texts are similar; texts has _node and _text, once for each node.
 
-    The pairs of a hub come one after the other, so that its words are read once; a hub with very many pairs is split by
-    Spark's skew join, as pairs come from a shuffle by hub and carry the other text.
+    The pairs of a hub come one after the other, so that its words are read once. A hub of more than STAR pairs has them
+    dealt to parts, and its text goes to each part once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,8 +411,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 ok.append(abs(len(a) - len(b)) <= most and longer - alike_at_most(a, b) <= most and within(a, b, most))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(texts, "_node").join(texts.toDF("_hub", "_hub_text"), "_hub").select("_hub", "_node", "_hub_text", "_text")
-    return both.mapInArrow(run, "a binary, b binary")
+    hubs = cut(pairs.groupBy("_hub").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_parts")), "hubs")
+    dealt = cut(pairs.join(hubs, "_hub").withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int")).drop("_parts"), "dealt")
+    hub_texts = hubs.join(texts.toDF("_hub", "_hub_text"), "_hub").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    both = dealt.join(texts, "_node").join(hub_texts, ["_hub", "_part"]).select("_hub", "_node", "_hub_text", "_text")
+    found = cut(both.mapInArrow(run, "a binary, b binary"), "links")
+    forget(hubs, dealt)
+    return found
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -437,7 +456,7 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
     def linked(classes: DataFrame, pairs: DataFrame, checked: bool = False) -> DataFrame:
         """The classes (_node, _root) after the similar ones of pairs are joined."""
         likely = cut(pairs if checked else plausible(pairs, nodes, similarity), "pairs")
-        links = cut(confirmed(likely, texts, similarity), "links")
+        links = confirmed(likely, texts, similarity)
         a, b = (classes.select(F.col("_node").alias(c), F.col("_root").alias(f"_root_{c}")) for c in "ab")
         edges = links.join(a, "a").join(b, "b").select(F.col("_root_a").alias("a"), F.col("_root_b").alias("b"))
         roots, used = components(edges)
@@ -447,9 +466,13 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
         return found
 
     alone = nodes.select("_node", F.col("_node").alias("_root"))
-    first = linked(alone, stars(met.withColumn("_root", F.col("_node")), False))
-    second = linked(first, stars(still_open(met, first), True))
-    left = cut(still_open(met, second), "open")
+    near = stars(met.withColumn("_root", F.col("_node")), False)
+    first = linked(alone, near)
+    left = still_open(met, first)
+    drawn = stars(left, True)
+    second = linked(first, drawn)
+    forget(near, left, drawn)
+    left = still_open(met, second)
     crowded = left.where(F.col("_size") > CROWD).select("_node").distinct()
     dealt = left.where(F.col("_size") <= CROWD).select("_key", "_node", "_root")
     used = []
@@ -459,10 +482,10 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
         dealt = dealt.unionByName(again.join(second, "_node").select("_key", "_node", "_root"))
     last = linked(second, rivals(dealt.join(nodes.select("_node", "_n", "_bins"), "_node"), similarity), True)
     of = nodes.select("_node", "_id").join(last, "_node")
-    least = of.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least"))
+    least = cut(of.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least")), "least")
     classes = of.join(least, "_root").select("_node", F.col("_least._id").alias("_class"), (F.col("_node") == F.col("_least._node")).alias("_keeper"))
     classes = cut(classes, "classes")
-    forget(nodes, met, first, second, left, last, *used)
+    forget(nodes, met, first, second, left, last, least, *used)
     return classes, rows
 
 
