@@ -7,8 +7,10 @@
 
 from __future__ import annotations
 
+import functools
 import importlib.util
 import logging
+import operator
 import os
 import re
 import time
@@ -198,7 +200,9 @@ class Workbench:
         if nulls == "default":
 
             def kept(*series: pd.Series) -> pd.Series:
-                there = pd.concat([s.notna() for s in series], axis=1).all(axis=1)
+                there = ~functools.reduce(operator.or_, (s.isna().to_numpy() for s in series))
+                if there.all():  # as most batches are
+                    return pd.Series(fn(*series))
                 out = pd.Series([None] * len(there), dtype=object)
                 if there.any():
                     out[there] = list(fn(*(s[there] for s in series)))
