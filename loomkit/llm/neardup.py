@@ -456,7 +456,13 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
     def linked(classes: DataFrame, pairs: DataFrame, checked: bool = False) -> DataFrame:
         """The classes (_node, _root) after the similar ones of pairs are joined."""
         likely = cut(pairs if checked else plausible(pairs, nodes, similarity), "pairs")
+        if likely.isEmpty():
+            forget(likely)
+            return classes
         links = confirmed(likely, texts, similarity)
+        if links.isEmpty():
+            forget(likely, links)
+            return classes
         a, b = (classes.select(F.col("_node").alias(c), F.col("_root").alias(f"_root_{c}")) for c in "ab")
         edges = links.join(a, "a").join(b, "b").select(F.col("_root_a").alias("a"), F.col("_root_b").alias("b"))
         roots, used = components(edges)
@@ -469,23 +475,24 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
     near = stars(met.withColumn("_root", F.col("_node")), False)
     first = linked(alone, near)
     left = still_open(met, first)
-    drawn = stars(left, True)
-    second = linked(first, drawn)
-    forget(near, left, drawn)
-    left = still_open(met, second)
+    second, used = first, []
+    if not left.isEmpty():
+        drawn = stars(left, True)
+        second = linked(first, drawn)
+        used += [left, drawn]
+        left = still_open(met, second)
     crowded = left.where(F.col("_size") > CROWD).select("_node").distinct()
     dealt = left.where(F.col("_size") <= CROWD).select("_key", "_node", "_root")
-    used = []
-    if crowded.head(1):
+    if not crowded.isEmpty():
         used.append(cut(texts.join(crowded, "_node"), "crowded"))
-        again = by_rare_words(used[0], similarity)
+        again = by_rare_words(used[-1], similarity)
         dealt = dealt.unionByName(again.join(second, "_node").select("_key", "_node", "_root"))
-    last = linked(second, rivals(dealt.join(nodes.select("_node", "_n", "_bins"), "_node"), similarity), True)
+    last = second if left.isEmpty() else linked(second, rivals(dealt.join(nodes.select("_node", "_n", "_bins"), "_node"), similarity), True)
     of = nodes.select("_node", "_id").join(last, "_node")
     least = cut(of.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least")), "least")
     classes = of.join(least, "_root").select("_node", F.col("_least._id").alias("_class"), (F.col("_node") == F.col("_least._node")).alias("_keeper"))
     classes = cut(classes, "classes")
-    forget(nodes, met, first, second, left, last, least, *used)
+    forget(nodes, met, near, left, least, *used, *(c for c in (first, second, last) if c is not alone))
     return classes, rows
 
 
