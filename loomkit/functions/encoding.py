@@ -124,5 +124,12 @@ def magic_extension(c: Column) -> Column:
     return _signature(c, 2)
 
 
+def magic_matcher_type(c: Column) -> Column:
+    """The kind of thing that the signature stands for: image, archive, document, application."""
+    mime = magic_mime(c)
+    archive, document = mime.isin("application/zip", "application/gzip"), mime == "application/pdf"
+    return F.when(archive, "archive").when(document, "document").otherwise(F.substring_index(mime, "/", 1))
+
+
 def is_image(c: Column) -> Column:
     return F.coalesce(F.startswith(magic_mime(c), F.lit("image/")), F.when(c.isNotNull(), F.lit(False)))

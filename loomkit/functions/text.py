@@ -127,6 +127,39 @@ def template_render(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*(F.lit(p) if i % 2 == 0 else values[p].cast("string") for i, p in enumerate(parts)))
 
 
+def template_valid(c: Column) -> Column:
+    """Whether a text is a template of the form that template_render takes: every brace pair holds a name."""
+    return ~F.regexp_replace(c, r"\{\{\s*\w+\s*\}\}", "").rlike(r"\{\{|\}\}|\{%|%\}")
+
+
+def md_to_text(c: Column) -> Column:
+    """Markdown without its marks: headings, emphasis, code, links (their text stays), quotes and list signs."""
+    for pattern, to in ((r"(?m)^\s{0,3}(#{1,6}|>|[-*+]|\d+\.)\s+", ""), (r"!?\[([^\]]*)\]\([^)\s]*\)", "$1"), (r"```\w*\n?|`", ""), (r"(\*\*|__)(.+?)\1", "$2"), (r"(?<!\w)([*_])(.+?)\1(?!\w)", "$2")):
+        c = F.regexp_replace(c, pattern, to)
+    return F.trim(c)
+
+
+def wordwrap(c: Column, width: int) -> Column:
+    """The words of a text in lines of at most `width` letters, as many to a line as go in; a longer word has its own line."""
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+    def add(done: Column, word: Column) -> Column:
+        fits = F.length(done["line"]) + 1 + F.length(word) <= width
+        line = F.when(done["line"] == "", word).when(fits, F.concat_ws(" ", done["line"], word)).otherwise(word)
+        full = F.when((done["line"] == "") | fits, done["lines"]).otherwise(F.concat(done["lines"], F.array(done["line"])))
+        return F.struct(full.alias("lines"), line.alias("line"))
+
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+    return F.aggregate(words, start, add, lambda d: F.array_join(F.concat(d["lines"], F.array(d["line"])), "\n"))
+
+
+def bars(c: Column, width: int = 20) -> Column:
+    """An array of numbers as lines of blocks, the greatest one `width` long; negative ones and nulls have none."""
+    top = F.greatest(F.array_max(c).cast("double"), F.lit(0.0))
+    size = lambda x: F.when((top > 0) & (x > 0), F.round(x / top * width).cast("int")).otherwise(0)
+    return F.array_join(F.transform(c, lambda x: F.repeat(F.lit("█"), F.coalesce(size(x), F.lit(0)))), "\n", "")
+
+
 def sparkline(c: Column) -> Column:
     """An array of numbers as eight heights of bars; equal numbers are the lowest."""
     low, high = F.array_min(c), F.array_max(c)

@@ -41,11 +41,15 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str,
 
 
 def ranges(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """points and the spans [low, high) that hold them: an equality of buckets of `width`, then the exact test.
+    """points and the spans [low, high) that hold them: an equality of buckets, then the exact test.
 
-    A span stands in each bucket that it touches, so width should be near the usual span.
+    Buckets are of `width`, twice that, four times that, and so on; a span stands in those of the first width that is as long
+    as it, three at most, however long it is. A point looks in one bucket of each width that any span uses (they are counted
+    first: one for each doubling of the length). width should be near the shortest usual span.
     """
-    bucket = lambda c: F.floor(c / width)
-    p = points.withColumn("_b", bucket(F.col(at)))
-    s = spans.where(F.col(low) < F.col(high)).withColumn("_b", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    return p.join(s, "_b").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_b")
+    held = spans.where(F.col(low) < F.col(high)).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2((F.col(high) - F.col(low)) / width))).cast("int"))
+    levels = [r[0] for r in held.select("_level").distinct().collect()]  # under 2,100 even for doubles
+    bucket = lambda c: F.floor(c / (width * F.pow(F.lit(2.0), F.col("_level"))))
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_b", bucket(F.col(at)))
+    s = held.withColumn("_b", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
+    return p.join(s, ["_level", "_b"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_level", "_b")

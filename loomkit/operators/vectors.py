@@ -41,7 +41,7 @@ def nearest(ids: list, rows: np.ndarray, queries: np.ndarray, k: int) -> list[tu
 
 
 class VectorIndex:
-    """create, append, build, search, drop over a table of (id, vector); exact, closest first, ties by id.
+    """create, append, delete, build, search, drop over a table of (id, vector); exact, closest first, ties by id.
 
     search is a scan with a top-k in each task; only k rows of each task meet. search_all takes a table of queries.
     """
@@ -52,6 +52,14 @@ class VectorIndex:
     def append(self, df: DataFrame) -> None:
         self.df, self.built = self.df.unionByName(df.select(self.id_col, self.vector_col)), False
 
+    def delete(self, ids: DataFrame) -> None:
+        """Leaves out the rows whose id is in ids (a column of the id's name)."""
+        self.df = self.df.join(ids.select(self.id_col).distinct(), self.id_col, "left_anti")
+
+    def drop(self) -> None:
+        """Empties the index; build() is needed before it is searched again."""
+        self.df, self.built = self.df.limit(0), False
+
     def build(self) -> VectorIndex:
         if self.df.where(F.size(self.vector_col) != self.dims).limit(1).count():
             raise InvalidArgument(f"a vector doesn't have {self.dims} numbers")
@@ -134,3 +142,13 @@ def numbered(df: DataFrame, key: Column, name: str, parts: int = 64) -> DataFram
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy("_order"))
     return cut.join(F.broadcast(before), "_part").withColumn(name, own + F.col("_before")).drop("_order", "_part", "_before")
+
+
+def kmeans(df: DataFrame, id_col: str, vector_col: str, k: int, seed: int = 1, rounds: int = 20) -> DataFrame:
+    """id_col and cluster (from 0), by Spark's own k-means; rows without a vector have none and are left out."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.where(F.col(vector_col).isNotNull()).select(id_col, array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
+    model = KMeans(k=k, seed=seed, maxIter=rounds).fit(rows)
+    return model.transform(rows).select(id_col, F.col("prediction").alias("cluster"))

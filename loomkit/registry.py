@@ -231,6 +231,10 @@ class Workbench:
         return self.aggregates[name](*args, **modifiers)
 
     def alias(self, alias: str, target: str, namespace: str | None = None) -> int:
+        """alias for a function of the session, and namespace.alias too; that one may stand for one target only."""
+        name = f"{namespace}.{alias}"
+        if namespace and any(r.kind == "alias" and r.name == name and r.arguments != (target,) for r in self.records.values()):
+            raise InvalidState(f"{name} already stands for another function")
         self.aliases.add(alias, target)
         if namespace:
             self.aliases.add(alias, target, namespace)

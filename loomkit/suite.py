@@ -13,7 +13,7 @@ from loomkit.errors import InvalidState
 from loomkit.functions import encoding, geo, hashing, stats, text, validators, web
 from loomkit.operators import aggregates as A
 from loomkit.operators import frames, joins, vectors
-from loomkit.plans import catalog, contract, search
+from loomkit.plans import catalog, chart, contract, search
 from loomkit.registry import Workbench
 from loomkit.sources import copy, readers
 from loomkit.streaming import windows
@@ -218,6 +218,24 @@ def tsid_orders(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", encoding.tsid_decode(encoding.tsid_encode(made)).alias("id"))
 
 
+@query("SELECT user_id, array_to_string(list_transform(v, lambda x: CASE WHEN list_max(v) > 0 AND x > 0 THEN repeat('█', CAST(round(x / list_max(v) * 10) AS INT)) ELSE '' END), chr(10)) AS bars FROM (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1)")
+def bars_events(spark, sf_dir):
+    values = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
+    return t(spark, sf_dir, "events").groupBy("user_id").agg(text.bars(values, 10).alias("bars"))
+
+
+@query("SELECT n_regionkey, replace(replace(to_json({'$schema': 'https://vega.github.io/schema/vega-lite/v5.json', 'mark': 'bar', 'encoding': {'x': {'field': 'n_name', 'type': 'nominal'}, 'y': {'field': 'n_nationkey', 'type': 'quantitative'}}, 'data': {'values': list({'n_name': n_name, 'n_nationkey': n_nationkey} ORDER BY n_name)}}), ' ', ''), chr(9), '') AS spec FROM nation GROUP BY 1")
+def vegalite_nations(spark, sf_dir):
+    grid = chart.vegalite_grid(t(spark, sf_dir, "nation"), "n_regionkey", "bar", x="n_name", y="n_nationkey")
+    return grid.select("n_regionkey", F.replace("spec", F.lit(" "), F.lit("")).alias("spec"))
+
+
+@query("SELECT count(*) AS rows, CAST(4 AS BIGINT) AS clusters FROM embeddings WHERE embedding IS NOT NULL")
+def kmeans_embeddings(spark, sf_dir):
+    found = vectors.kmeans(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4)
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("cluster").alias("clusters"))
+
+
 # aggregates ------------------------------------------------------------------------------------------------------
 
 

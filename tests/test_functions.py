@@ -94,3 +94,19 @@ def test_tsid_round_trip(spark):
     made = encoding.tsid_from_timestamp(F.lit("2024-05-06 07:08:09.123").cast("timestamp"), F.lit(77))
     row = spark.range(1).select(made.alias("id")).select("id", encoding.tsid_decode(encoding.tsid_encode(F.col("id"))).alias("back"), F.unix_millis(encoding.tsid_timestamp(F.col("id"))).alias("ms")).head()
     assert row.id == row.back and row.ms == 1714979289123
+
+
+def test_marks_wrapping_and_bars(spark):
+    from loomkit.functions import encoding, text
+
+    row = spark.range(1).select(
+        text.md_to_text(F.lit("# Head\n\nSome **bold** and *soft* [link](http://x.y) with `code`.\n- one\n2. two")).alias("md"),
+        text.wordwrap(F.lit("the quick brown fox jumps over extraordinarily lazy dogs"), 10).alias("wrapped"), text.wordwrap(F.lit(""), 10).alias("none"),
+        text.bars(F.array(F.lit(1.0), F.lit(4.0), F.lit(-2.0), F.lit(None))).alias("bars"),
+        text.template_valid(F.lit("Dear {{ name }}, {{x}}")).alias("good"), text.template_valid(F.lit("Dear {{ name }")).alias("bad"),
+        encoding.magic_matcher_type(F.unhex(F.lit("89504E470D0A1A0A"))).alias("png"), encoding.magic_matcher_type(F.unhex(F.lit("504B0304"))).alias("zip"),
+    ).head()
+    assert row.md == "Head\n\nSome bold and soft link with code.\none\ntwo"
+    assert row.wrapped == "the quick\nbrown fox\njumps over\nextraordinarily\nlazy dogs" and row.none == ""
+    assert row.bars == "█" * 5 + "\n" + "█" * 20 + "\n\n"
+    assert (row.good, row.bad, row.png, row.zip) == (True, False, "image", "archive")

@@ -244,3 +244,39 @@ def test_bloom_of_many_values(spark):
 def test_numbered_is_one_order(spark):
     got = vectors.numbered(spark.range(1000).withColumn("x", F.xxhash64("id")), F.col("x"), "place", 7).orderBy("place").collect()
     assert [r.place for r in got] == list(range(1, 1001)) and [r.x for r in got] == sorted(r.x for r in got)
+
+
+def test_namespaces_that_overlap(spark):
+    bench = Workbench(spark)
+    bench.alias("loom_both", "sum", namespace="loom_overlap")
+    bench.alias("loom_both", "sum", namespace="loom_overlap")
+    with pytest.raises(errors.InvalidState):
+        bench.alias("loom_both", "max", namespace="loom_overlap")
+
+
+def test_ranges_of_very_different_lengths(spark):
+    points = spark.createDataFrame([(float(x),) for x in (-5, 0, 1, 9, 10, 11, 99_999, 100_000)], "x double")
+    spans = spark.createDataFrame([(0.0, 10.0), (-1e6, 1e6), (10.0, 10.5), (5.0, 5.0), (99_999.0, 100_000.0), (0.0, 70_000.0)], "low double, high double")
+    got = sorted((r.x, r.low, r.high) for r in joins.ranges(points, spans, "x", "low", "high", 1.0).collect())
+    assert got == sorted((p.x, s.low, s.high) for p in points.collect() for s in spans.collect() if s.low <= p.x < s.high)
+
+
+def test_index_deletes_and_drops(spark):
+    rows = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)], "id long, v array<double>")
+    index = vectors.VectorIndex(rows, "id", "v", 2).build()
+    index.delete(spark.createDataFrame([(0,), (1,)], "id long"))
+    assert [r.id for r in index.search([0.0, 0.0], 2).collect()] == [2, 3]
+    index.drop()
+    with pytest.raises(errors.InvalidState):
+        index.search([0.0, 0.0], 1)
+    assert index.build().search([0.0, 0.0], 1).count() == 0
+
+
+def test_charts_of_unknown_fields(spark):
+    from loomkit.plans import chart
+
+    with pytest.raises(errors.InvalidArgument):
+        chart.vegalite(spark.range(3), "bar", x="nothing")
+    with pytest.raises(errors.InvalidArgument):
+        chart.vegalite(spark.range(3), "cake", x="id")
+    assert '"values": [{"id":0},{"id":1},{"id":2}]' in chart.vegalite(spark.range(3), "bar", x="id").head().spec
