@@ -66,7 +66,7 @@ def train(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, width:
 def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, width: int = 2, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the ids of all documents of df, end_id after each, to a store at path (which must not exist); returns path.
 
-    A null text is empty (its document is end_id alone). Documents are range-partitioned and sorted by id, nulls first,
+    A null text is empty (its document is end_id alone), a very long one is encoded whole. Documents are range-partitioned and sorted by id, nulls first,
     ties by their text, so repeated ids and rows are kept as documents that follow each other. Other columns play no
     part. width 2 needs ids under 65,536. An empty df gives a store without packs.
     """

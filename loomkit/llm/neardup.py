@@ -509,7 +509,11 @@ def near_duplicates(df: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
 
 def one_of_each(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of df with the least id of each class of near-duplicates (one of them, if rows are repeated), all columns as they are."""
+    """The row of df with the least id of each class of near-duplicates (one of them, if rows are repeated), all columns as they are.
+
+    Nulls, empty and very long texts count as in near_duplicates(); a class of null ids alone keeps one row. The result reads a
+    small table of the shared folder.
+    """
     classes, rows = node_classes(df, similarity, id_col, text_col)
     forget(rows)
     keepers = classes.where("_keeper").select(F.col("_node").alias("_node2"), "_class")

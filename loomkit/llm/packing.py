@@ -102,7 +102,8 @@ def pack(df: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1
     """One row per piece: id_col, start, length, doc_tokens, ids (little-endian 32-bit), sequence_id, offset.
 
     Every document is its ids and end_id; each id lies in exactly one piece, and a sequence's pieces follow each other
-    without gaps. A null text is empty: its document is end_id alone. Rows are packed one by one, whatever their ids, so
+    without gaps. A null text is empty: its document is end_id alone; a very long one
+    fills many sequences. Rows are packed one by one, whatever their ids, so
     repeated rows are documents of their own and a null id stays null. Other columns of df play no part. An empty df
     gives no rows. The pieces are written once to the shared folder, from where the leftovers are merged.
     """

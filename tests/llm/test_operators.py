@@ -131,7 +131,8 @@ def test_columns_of_any_name(spark):
         assert first["a.b"] == "x" and first["_hits0"] == "p" and first["items"] == [9]
     judged = quality.judge(odd, quality.train(odd, spark.createDataFrame([(1, 1)], "doc_id long, quality int")))
     assert "N_Words" not in judged.columns and "KEPT" not in judged.columns and quality.digest(judged).count() == 2
-    assert {r["a.b"] for r in neardup.one_of_each(odd).collect()} == {"x", "y"} and neardup.one_of_each(odd).columns == odd.columns
+    kept = neardup.one_of_each(odd)
+    assert {r["a.b"] for r in kept.collect()} == {"x", "y"} and kept.columns == odd.columns
     assert secrets.redact(odd).columns == odd.columns and secrets.digest(secrets.find_secrets(odd)).count() == 2
     assert licenses.digest(licenses.find_licenses(odd)).count() == toxicity.digest(toxicity.score(odd, toxicity.train(odd, spark.createDataFrame([(1, 0)], "doc_id long, toxic int")))).count() == 2
     assert tokens.count_tokens(odd, public_tokenizers.path("piece_bpe_32k.model")).count() == 2
