@@ -238,7 +238,7 @@ def sketch_rows(df: DataFrame, id_col: str, text_col: str, similarity: float = S
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The rows (_key, _node) whose key several nodes have."""
+    """The rows (_key, _node, _n) whose key several nodes have."""
     many = cut(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key"), "many")
     found = cut(rows.join(many, "_key"), "shared")
     forget(many)
@@ -246,7 +246,7 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def still_open(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """met (_key, _node) with _root and _size, without the buckets that are within one class; classes has _node and _root.
+    """met (_key, _node, _n) with _root and _size, without the buckets that are within one class; classes has _node and _root.
 
     What is found of a bucket is cut before it is joined to its rows, here and in stars(): a join of two plain shuffles is one
     that Spark splits if a key is hot.
@@ -259,15 +259,17 @@ def still_open(met: DataFrame, classes: DataFrame) -> DataFrame:
     return found
 
 
-def stars(rows: DataFrame, draw: bool) -> DataFrame:
-    """Distinct pairs (_hub, _node) of a node of each bucket and those of other classes; rows has _key, _node and _root.
+def stars(rows: DataFrame, draw: bool, similarity: float) -> DataFrame:
+    """Distinct pairs (_hub, _node) of a node of each bucket and those of other classes and a possible length.
 
-    The hub is the bucket's least node, or (draw) the first one in the order that the bucket uses.
+    rows has _key, _node, _root and _n. The hub is the bucket's least node, or (draw) the first one in the order that the bucket
+    uses.
     """
     order = F.xxhash64(F.pmod("_key", F.lit(DRAWS)), "_node") if draw else F.lit(0)
-    hubs = rows.groupBy("_key").agg(F.min(F.struct(order.alias("o"), F.col("_node").alias("hub"), F.col("_root").alias("root"))).alias("_first"))
-    hubs = cut(hubs.select("_key", F.col("_first.hub").alias("_a"), F.col("_first.root").alias("_a_root")), "hubs")
-    met = rows.join(hubs, "_key").where("_root <> _a_root")
+    hubs = rows.groupBy("_key").agg(F.min(F.struct(order.alias("o"), F.col("_node").alias("hub"), F.col("_root").alias("root"), "_n")).alias("_first"))
+    hubs = cut(hubs.select("_key", F.col("_first.hub").alias("_a"), F.col("_first.root").alias("_a_root"), F.col("_first._n").alias("_a_n")), "hubs")
+    alike = F.abs(F.col("_n") - F.col("_a_n")) <= F.floor((1 - similarity) * F.greatest("_n", "_a_n") + 1e-9)
+    met = rows.join(hubs, "_key").where((F.col("_root") != F.col("_a_root")) & alike)
     found = cut(met.select(F.least("_a", "_node").alias("_hub"), F.greatest("_a", "_node").alias("_node")).distinct(), "stars")
     forget(hubs)
     return found
@@ -411,12 +413,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 ok.append(abs(len(a) - len(b)) <= most and longer - alike_at_most(a, b) <= most and within(a, b, most))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    hubs = cut(pairs.groupBy("_hub").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_parts")), "hubs")
-    dealt = cut(pairs.join(hubs, "_hub").withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int")).drop("_parts"), "dealt")
-    hub_texts = hubs.join(texts.toDF("_hub", "_hub_text"), "_hub").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    both = dealt.join(texts, "_node").join(hub_texts, ["_hub", "_part"]).select("_hub", "_node", "_hub_text", "_text")
-    found = cut(both.mapInArrow(run, "a binary, b binary"), "links")
-    forget(hubs, dealt)
+    large = cut(pairs.groupBy("_hub").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_parts")).where("_parts > 1"), "large-hubs")
+    others = pairs.join(texts, "_node")
+    if large.isEmpty():
+        both = others.join(texts.toDF("_hub", "_hub_text"), "_hub")
+    else:
+        parts = pairs.select("_hub").distinct().join(large, "_hub", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+        hub_texts = parts.select("_hub", "_part").join(texts.toDF("_hub", "_hub_text"), "_hub")
+        dealt = pairs.join(large, "_hub", "left").select("_hub", "_node", F.coalesce(F.pmod(F.xxhash64("_node"), F.col("_parts")), F.lit(0)).cast("int").alias("_part"))
+        both = dealt.join(texts, "_node").join(hub_texts, ["_hub", "_part"])
+    found = cut(both.select("_hub", "_node", "_hub_text", "_text").mapInArrow(run, "a binary, b binary"), "links")
+    forget(large)
     return found
 
 
@@ -450,7 +457,7 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
     rows = cut(with_nodes(df.select(named(id_col).alias("_id"), named(text_col).alias("_text")), "_text").select("_node", "_id"), "rows")
     sketched = sketch_rows(df, id_col, text_col, similarity)
     nodes = dealt_once(sketched.groupBy("_node").agg(F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in ("_n", "_bins", "_keys", "_text"))), ["_node"], total, grouped=True)
-    met = shared(nodes.select(F.explode("_keys").alias("_key"), "_node"))
+    met = shared(nodes.select(F.explode("_keys").alias("_key"), "_node", "_n"))
     texts = nodes.select("_node", "_text")
 
     def linked(classes: DataFrame, pairs: DataFrame, checked: bool = False) -> DataFrame:
@@ -472,12 +479,12 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
         return found
 
     alone = nodes.select("_node", F.col("_node").alias("_root"))
-    near = stars(met.withColumn("_root", F.col("_node")), False)
+    near = stars(met.withColumn("_root", F.col("_node")), False, similarity)
     first = linked(alone, near)
     left = still_open(met, first)
     second, used = first, []
     if not left.isEmpty():
-        drawn = stars(left, True)
+        drawn = stars(left, True, similarity)
         second = linked(first, drawn)
         used += [left, drawn]
         left = still_open(met, second)

@@ -18,8 +18,9 @@ def test_families_on_one_passage(spark):
 
 
 def test_crowded_buckets(spark, monkeypatch):
-    """Unlike texts with one passage, and families among them: buckets are dealt anew by rare words."""
+    """Unlike texts with one passage, and families among them: buckets are dealt anew by rare words, hubs split."""
     monkeypatch.setattr(neardup, "CROWD", 4)
+    monkeypatch.setattr(neardup, "STAR", 2)
     dealt, plain = [], neardup.by_rare_words
     monkeypatch.setattr(neardup, "by_rare_words", lambda *a: dealt.append(1) or plain(*a))
     r = random.Random(19)
