@@ -8,7 +8,9 @@ from __future__ import annotations
 import hashlib
 import os
 import shutil
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,14 +113,23 @@ def bench_capabilities() -> tuple:
 
 
 class Prefixes:
-    """Short names of namespaces, kept in a Parquet folder and declared again after a restart. Declaring twice changes nothing."""
+    """Short names of namespaces, kept in a Parquet folder of any file system and declared again after a restart.
+
+    A declaration is appended with its time and the latest one of an alias counts, so none is ever half written. Declaring
+    twice changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def table(self) -> DataFrame:
-        schema = "alias string, namespace string"
-        return self.spark.read.schema(schema).parquet(self.path) if os.path.isdir(self.path) else self.spark.createDataFrame([], schema)
+        try:
+            rows = self.spark.read.schema("alias string, namespace string, at long").parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], "alias string, namespace string")
+        return rows.groupBy("alias").agg(F.max_by("namespace", "at").alias("namespace"))
 
     def declare(self, bench, alias: str, namespace: str, functions: dict[str, str]) -> DataFrame:
         """alias.f for each function f of a namespace (name: target); returns alias, namespace and how many there are."""
@@ -127,11 +138,9 @@ class Prefixes:
         checked(alias, namespace)
         for name, target in functions.items():
             bench.aliases.add(name, target, alias)
-        rows = {r.alias: r.namespace for r in self.table().collect()} | {alias: namespace}
-        fresh = f"{self.path}.new"
-        self.spark.createDataFrame(sorted(rows.items()), "alias string, namespace string").coalesce(1).write.mode("overwrite").parquet(fresh)
-        shutil.rmtree(self.path, ignore_errors=True)
-        os.replace(fresh, self.path)
+        if self.table().where((F.col("alias") == alias) & (F.col("namespace") == namespace)).isEmpty():
+            row = self.spark.createDataFrame([(alias, namespace, time.time_ns())], "alias string, namespace string, at long")
+            row.coalesce(1).write.mode("append").parquet(self.path)
         bench.event("prefix", None, f"{alias} = {namespace}")
         return self.spark.createDataFrame([(alias, namespace, len(functions))], "alias string, namespace string, macros long")
 
