@@ -13,8 +13,9 @@ Texts that are equal word for word form one node. Nodes that share a key meet in
 2. each with nodes that come first in DRAWS other orders, of which each bucket uses one, if their classes still differ: a
    large group of near copies is one class by now;
 3. all pairs of a bucket that are still in different classes. A bucket of more than CROWD nodes would make too many: its
-   nodes, mostly unlike texts with one passage in common, are dealt anew, by the words that are rarest among them. Similar
-   texts share one of the rarest fifth of their words for certain (a prefix filter), so no pair is lost by that.
+   nodes, mostly unlike texts with one passage in common, are dealt anew, by the pairs of neighbouring words that are rarest
+   among them. Similar texts share one of the rarest two fifths of these for certain (a prefix filter), so no pair is lost
+   by that.
 So any two similar texts that share a key end in one class, through whatever turn. Lengths and counts of words rule out
 pairs before their texts are fetched; links that alignment confirms give classes by connected components.
 """
@@ -46,13 +47,14 @@ BINS = 256
 CROWD, BLOCK = 256, 1000
 #: Orders of nodes by hash for the second turn; pairs of a hub that one task compares.
 DRAWS, STAR = 4, 1000
-#: Counters of words by hash that say which ones are rare (their number bounds what is broadcast).
+#: Counters of pairs of words by hash that say which ones are rare (their number bounds what is broadcast).
 COUNTERS = 1 << 18
 #: Hashes that are put in all orders at once (memory of a very long text).
 AT_ONCE = 1 << 22
 #: An odd factor for each order (from a fixed seed, so that all workers agree).
 FACTORS = np.random.default_rng(20240229).integers(1, 1 << 62, BANDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SMALL_FACTORS = np.random.default_rng(20240301).integers(1, 1 << 62, SMALL_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LETTERS = np.random.default_rng(20240302).integers(1, 1 << 62, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,21 +64,16 @@ def mixed(x: np.ndarray, factor: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class WordHashes(dict):
-    """Hashes of words, remembered by the worker up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < 200_000 and len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = WordHashes()
-
-
 def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    """Hashes of words: sums of their bytes, each times a factor of its place."""
+    if not found:
+        return np.empty(0, np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(found), np.uint8).astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    h = np.add.reduceat(data * LETTERS[place & (len(LETTERS) - 1)], starts)
+    return mixed(h ^ sizes.astype(np.uint64), STEP)
 
 
 def shingle_hashes(found: list[bytes], size: int = SHINGLE, h: np.ndarray | None = None) -> np.ndarray:
@@ -92,8 +89,10 @@ def shingle_hashes(found: list[bytes], size: int = SHINGLE, h: np.ndarray | None
             s ^= s >> np.uint64(32)
     else:
         s = np.array([xxhash.xxh64_intdigest(b" ".join(found))], np.uint64)
+    ranked = np.sort(s)
+    if (ranked[1:] != ranked[:-1]).all():
+        return s
     order = np.argsort(s, kind="stable")
-    ranked = s[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     if len(first) < len(s):
         number = np.empty(len(s), np.uint64)
@@ -356,15 +355,16 @@ def rivals(met: DataFrame, similarity: float) -> DataFrame:
 
 
 def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
-    """_key and _node: each text (_node, _text) under the rarest of its words, as many as any similar text shares one of.
+    """_key and _node: each text (_node, _text) under the rarest pairs of words, as many as any similar text shares one of.
 
-    The words of a text, with their occurrence numbers, are put in one order for all texts, rare ones first. Texts of which
-    the longer one has n words are similar only if they have more than (1 - SIMILARITY) n fewer than n in common, so the
-    first (1 - SIMILARITY) n + 1 of each can't all differ. How rare a word is, COUNTERS counters say: a fixed size.
+    The pairs of neighbouring words of a text, with their occurrence numbers, are put in one order for all texts, rare ones
+    first. An edit changes two pairs at most, so similar texts of which the longer one has n words have all but
+    2 (1 - SIMILARITY) n of its n - 1 pairs in common, and the first 2 (1 - SIMILARITY) n + 1 of each can't all differ. How
+    rare a pair is, COUNTERS counters say: a fixed size.
     """
 
     def tokens(text: str) -> np.ndarray:
-        return shingle_hashes(words(text), 1)
+        return shingle_hashes(words(text), 2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
@@ -385,7 +385,7 @@ def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = tokens(text)
                 rare = np.lexsort((own, spread.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))
-                first = own[rare[: int((1 - similarity) * len(own) + 1e-9) + 1]]
+                first = own[rare[: int(2 * (1 - similarity) * (len(own) + 1) + 1e-9) + 1]]
                 keys.append(first.view(np.int64))
                 nodes += [node] * len(first)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(nodes, pa.binary())], names=["_key", "_node"])
