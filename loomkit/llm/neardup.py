@@ -189,18 +189,25 @@ def similar(a: list[bytes], b: list[bytes], share: float = SIMILARITY) -> bool:
     return within(a, b, int((1 - share) * max(len(a), len(b)) + 1e-9))
 
 
-def alike_at_most(a: list[bytes], b: list[bytes]) -> int:
-    """Words that the texts have in common, at most: no alignment can match more."""
+def counted(a: list[bytes]) -> dict[bytes, int]:
     counts: dict[bytes, int] = {}
     for w in a:
         counts[w] = counts.get(w, 0) + 1
-    common = 0
+    return counts
+
+
+def enough_alike(counts: dict[bytes, int], b: list[bytes], least: int) -> bool:
+    """Whether a text with these counts of words and b have `least` words in common: no alignment can match more."""
+    left, missing = counts.copy(), len(b) - least
     for w in b:
-        left = counts.get(w, 0)
-        if left:
-            counts[w] = left - 1
-            common += 1
-    return common
+        n = left.get(w, 0)
+        if n:
+            left[w] = n - 1
+        else:
+            missing -= 1
+            if missing < 0:
+                return False
+    return True
 
 
 def node_of(text: str | None, found: list[bytes]) -> bytes:
@@ -401,16 +408,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, a = None, []
+        hub, a, counts = None, [], {}
         for batch in batches:
             ok = []
             for text, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if text != hub:
                     hub, a = text, words(text)
+                    counts = counted(a)
                 b = words(other)
                 longer = max(len(a), len(b))
                 most = int((1 - similarity) * longer + 1e-9)
-                ok.append(abs(len(a) - len(b)) <= most and longer - alike_at_most(a, b) <= most and within(a, b, most))
+                ok.append(abs(len(a) - len(b)) <= most and enough_alike(counts, b, longer - most) and within(a, b, most))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     large = cut(pairs.groupBy("_hub").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_parts")).where("_parts > 1"), "large-hubs")
