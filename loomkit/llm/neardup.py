@@ -199,6 +199,8 @@ def counted(a: list[bytes]) -> dict[bytes, int]:
 def enough_alike(counts: dict[bytes, int], b: list[bytes], least: int) -> bool:
     """Whether a text with these counts of words and b have `least` words in common: no alignment can match more."""
     left, missing = counts.copy(), len(b) - least
+    if missing < 0:
+        return False
     for w in b:
         n = left.get(w, 0)
         if n:

@@ -211,6 +211,19 @@ def test_alignment_in_a_band(a, b, most):
     assert neardup.within(a, b, most) == (distance(a, b) <= most)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=12), st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=12), st.integers(0, 13))
+def test_words_in_common(a, b, least):
+    common = sum(min(a.count(w), b.count(w)) for w in set(a))
+    assert neardup.enough_alike(neardup.counted(a), b, least) == (common >= least)
+
+
+def test_words_have_hashes_of_their_own():
+    w = [b"", b"a", b"b", b"ab", b"ba", b"aa", b"a" * 5000, b"a" * 5001, b"b" + b"a" * 4999, *(f"w{i}".encode() for i in range(5000))][1:]
+    h = neardup.word_hashes(w)
+    assert len(set(h.tolist())) == len(w) and (neardup.word_hashes(w[::-1]) == h[::-1]).all() and len(neardup.word_hashes([])) == 0
+
+
 def test_sketches_keep_the_order_of_the_text():
     w = [f"w{i}".encode() for i in range(40)]
     s = neardup.shingle_hashes(w)
