@@ -13,9 +13,8 @@ Texts that are equal word for word form one node. Nodes that share a key meet in
 2. each with nodes that come first in DRAWS other orders, of which each bucket uses one, if their classes still differ: a
    large group of near copies is one class by now;
 3. all pairs of a bucket that are still in different classes. A bucket of more than CROWD nodes would make too many: its
-   nodes, mostly unlike texts with one passage in common, are dealt anew, by the pairs of neighbouring words that are rarest
-   among them. Similar texts share one of the rarest two fifths of these for certain (a prefix filter), so no pair is lost
-   by that.
+   nodes, mostly unlike texts with one passage in common, are dealt anew, by the words that are rarest among them. Similar
+   texts share one of the rarest fifth of their words for certain (a prefix filter), so no pair is lost by that.
 So any two similar texts that share a key end in one class, through whatever turn. Lengths and counts of words rule out
 pairs before their texts are fetched; links that alignment confirms give classes by connected components.
 """
@@ -47,7 +46,7 @@ BINS = 256
 CROWD, BLOCK = 256, 1000
 #: Orders of nodes by hash for the second turn; pairs of a hub that one task compares.
 DRAWS, STAR = 4, 1000
-#: Counters of pairs of words by hash that say which ones are rare (their number bounds what is broadcast).
+#: Counters of words by hash that say which ones are rare (their number bounds what is broadcast).
 COUNTERS = 1 << 18
 #: Hashes that are put in all orders at once (memory of a very long text).
 AT_ONCE = 1 << 22
@@ -299,16 +298,20 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, "_hub binary, _node binary")
 
 
-def rivals(met: DataFrame, similarity: float) -> DataFrame:
+def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (_hub, _node) of nodes that share a key, are in different classes and may be similar.
 
-    met has _key, _node, _root, _n and _bins. A bucket of many members is dealt out by pairs of blocks of about BLOCK.
+    met has _key, _node and _root; sizes (or met) has _n and _bins of each _node, which are fetched only for buckets of several
+    classes. A bucket of many members is dealt out by pairs of blocks of about BLOCK.
     """
     open_ = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), (F.min("_root") < F.max("_root")).alias("_open")).where("_open")
     blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
-    rows = met.join(open_, "_key").withColumn("_i", F.pmod(F.xxhash64("_node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    place = ["_key", "_low", "_high"]
-    rows = rows.select("_key", F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "_i", "_node", "_root", "_n", "_bins")
+    rows = met.join(open_, "_key")
+    rows = rows if sizes is None else rows.join(sizes, "_node")
+    place, held = ["_key", "_low", "_high"], ["_node", "_root", "_n", "_bins"]
+    one = rows.where(F.col("_size") <= BLOCK).select("_key", *(F.lit(0).alias(c) for c in ("_low", "_high", "_i")), *held)
+    many = rows.where(F.col("_size") > BLOCK).withColumn("_i", F.pmod(F.xxhash64("_node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = one.unionByName(many.select("_key", F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "_i", *held))
 
     def pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key, low, high, side, n = (group.column(c).to_numpy() for c in (*place, "_i", "_n"))
@@ -364,16 +367,15 @@ def rivals(met: DataFrame, similarity: float) -> DataFrame:
 
 
 def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
-    """_key and _node: each text (_node, _text) under the rarest pairs of words, as many as any similar text shares one of.
+    """_key and _node: each text (_node, _text) under the rarest of its words, as many as any similar text shares one of.
 
-    The pairs of neighbouring words of a text, with their occurrence numbers, are put in one order for all texts, rare ones
-    first. An edit changes two pairs at most, so similar texts of which the longer one has n words have all but
-    2 (1 - SIMILARITY) n of its n - 1 pairs in common, and the first 2 (1 - SIMILARITY) n + 1 of each can't all differ. How
-    rare a pair is, COUNTERS counters say: a fixed size.
+    The words of a text, with their occurrence numbers, are put in one order for all texts, rare ones first. Texts of which
+    the longer one has n words are similar only if they have all but (1 - SIMILARITY) n of them in common, so the first
+    (1 - SIMILARITY) n + 1 of each can't all differ. How rare a word is, COUNTERS counters say: a fixed size.
     """
 
     def tokens(text: str) -> np.ndarray:
-        return shingle_hashes(words(text), 2)
+        return shingle_hashes(words(text), 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
@@ -394,7 +396,7 @@ def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = tokens(text)
                 rare = np.lexsort((own, spread.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))
-                first = own[rare[: int(2 * (1 - similarity) * (len(own) + 1) + 1e-9) + 1]]
+                first = own[rare[: int((1 - similarity) * len(own) + 1e-9) + 1]]
                 keys.append(first.view(np.int64))
                 nodes += [node] * len(first)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(nodes, pa.binary())], names=["_key", "_node"])
@@ -504,7 +506,7 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
         used.append(cut(texts.join(crowded, "_node"), "crowded"))
         again = by_rare_words(used[-1], similarity)
         dealt = dealt.unionByName(again.join(second, "_node").select("_key", "_node", "_root"))
-    last = second if left.isEmpty() else linked(second, rivals(dealt.join(nodes.select("_node", "_n", "_bins"), "_node"), similarity), True)
+    last = second if left.isEmpty() else linked(second, rivals(dealt, similarity, nodes.select("_node", "_n", "_bins")), True)
     of = nodes.select("_node", "_id").join(last, "_node")
     least = cut(of.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least")), "least")
     classes = of.join(least, "_root").select("_node", F.col("_least._id").alias("_class"), (F.col("_node") == F.col("_least._node")).alias("_keeper"))
