@@ -395,8 +395,9 @@ def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
             nodes, keys = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = tokens(text)
-                rare = np.lexsort((own, spread.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))
-                first = own[rare[: int((1 - similarity) * len(own) + 1e-9) + 1]]
+                often = spread.value[(own % np.uint64(COUNTERS)).astype(np.int64)]
+                rare = np.lexsort((own, often))[: int((1 - similarity) * len(own) + 1e-9) + 1]
+                first = own[rare[often[rare] > 1]]  # a counter of 1 is a word of this text alone
                 keys.append(first.view(np.int64))
                 nodes += [node] * len(first)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(nodes, pa.binary())], names=["_key", "_node"])
