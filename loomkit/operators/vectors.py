@@ -132,12 +132,23 @@ def natural_key(c: Column) -> Column:
     return F.array_join(padded, "")
 
 
+#: Keys drawn for each range of numbered().
+DRAWN = 100
+
+
 def numbered(df: DataFrame, key: Column, name: str, parts: int = 64) -> DataFrame:
     """df with each row's place (from 1) in the order of key: ranges of keys are numbered by tasks of their own.
 
     What precedes a range is a sum over `parts` counts, which are broadcast. Equal keys are one range; their order is open.
+    Ranges end at keys drawn here once, so that counts and places have the same ones: Spark draws those of a
+    repartitionByRange anew for each plan that reads it. Which keys are drawn says only how even the ranges are.
     """
-    cut = df.withColumn("_order", key).repartitionByRange(parts, "_order").withColumn("_part", F.spark_partition_id())
+    keyed = df.withColumn("_order", key)
+    keys = keyed.select("_order").where(F.col("_order").isNotNull())
+    drawn = keys.sample(min(1.0, DRAWN * parts / max(1, keys.count())), 1).orderBy("_order").collect()  # DRAWN * parts keys or so
+    ends = F.array(*(F.lit(drawn[len(drawn) * i // parts][0]) for i in range(1, parts) if drawn)).cast(T.ArrayType(keyed.schema["_order"].dataType))
+    place = F.transform(F.array("_order"), lambda k: F.size(F.filter(ends, lambda e: e <= k)))  # the key is made once a row, not for each end
+    cut = keyed.withColumn("_part", place[0])
     counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy("_order"))
