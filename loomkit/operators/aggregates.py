@@ -1,15 +1,16 @@
 """Custom aggregates that take DISTINCT, FILTER, GROUP BY, CUBE and OVER like built-in ones.
 
 Where an aggregate is a formula of built-in ones it is written as that, so Spark combines partial results before the
-shuffle. Where it isn't, it folds the list of a group's values; a group must then fit into a task, as the docstrings say.
+shuffle; exact percentiles of large groups are found in steps. Where it isn't, it folds the list of a group's values; a group must then fit into a task, as the docstrings say.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +63,54 @@ def median_of(values: Column) -> Column:
     return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2.0)
 
 
+#: Share of a group's values on each side of a percentile that are looked through for it.
+NEAR = 0.001
+
+
+def percentiles(df: DataFrame, keys: list[str], x: Column, at: dict[str, float], also: list[Column] = (), how: str = "groupBy") -> DataFrame:
+    """keys, the aggregates `also`, and for each name in `at` that percentile of x, exact (as Spark's percentile gives it).
+
+    how is groupBy, rollup or cube. Spark's own percentile brings all values of a group to one task. Here approximate
+    percentiles part a group's values, the parts are counted, and the values of those that hold a rank looked for (about
+    2 NEAR of them all) are ranked. A bad approximation makes parts larger, never results other. df is read three times;
+    groups are broadcast, so for very many small ones take Spark's own.
+    """
+    n_keys = len(keys)
+    sets = {"groupBy": [(1 << n_keys) - 1], "rollup": [((1 << i) - 1) << (n_keys - i) for i in range(n_keys + 1)], "cube": range(1 << n_keys)}[how]
+    rows = df.withColumn("_x", x.cast("double"))
+    ends = sorted({min(1.0, max(0.0, p + d)) for p in at.values() for d in (-NEAR, NEAR)})
+    own_set = F.lit(0) if how == "groupBy" else F.grouping_id()
+    groups = getattr(rows, how)(*keys).agg(own_set.cast("long").alias("_set"), *also, F.count("_x").alias("_n"), F.percentile_approx("_x", ends, int(2 / NEAR)).alias("_ends"))
+
+    held = lambda kept: [F.when(F.lit(bool(kept >> (n_keys - 1 - i) & 1)), F.col(k)).alias(k) for i, k in enumerate(keys)]
+    each = F.explode(F.array(*(F.struct(F.lit((1 << n_keys) - 1 - kept).cast("long").alias("_set"), *held(kept)) for kept in sets))).alias("_g")
+    place = ["_set", *keys]
+
+    def met(left: DataFrame, right: DataFrame, on: list[str], kind: str = "inner") -> DataFrame:
+        right = right.select(*(F.col(c).alias(f"_r_{c}") if c in on else c for c in right.columns))
+        same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]  # keys may be null
+        return left.join(F.broadcast(right), same, kind).drop(*(f"_r_{c}" for c in on))
+
+    spread = rows.where(F.col("_x").isNotNull()).select(each, "_x").select("_g.*", "_x")
+    number = reduce(lambda a, b: a + b, ((F.get("_ends", F.lit(i)) < F.col("_x")).cast("int") + (F.get("_ends", F.lit(i)) <= F.col("_x")).cast("int") for i in range(len(ends))))
+    parted = met(spread, groups.select(*place, "_n", "_ends"), place).withColumn("_part", number)
+    counts = parted.groupBy(*place, "_part").agg(F.count(F.lit(1)).alias("_size"), F.first("_n").alias("_n"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*place).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in at.items()}
+    holds = reduce(lambda a, b: a | b, ((F.col("_before") <= F.ceil(r)) & (F.floor(r) < F.col("_before") + F.col("_size")) for r in rank.values()))
+    looked = counts.withColumn("_before", before).where(holds).select(*place, "_part", "_before")
+    values = met(parted, looked, [*place, "_part"]).groupBy(*place, "_part", "_x").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("_before").alias("_before"))
+    values = values.withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy(*place, "_part").orderBy("_x")))
+    value = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_x")))
+    found = values.groupBy(*place).agg(*(F.struct(value(F.floor(r)).alias("a"), value(F.ceil(r)).alias("b")).alias(name) for name, r in rank.items()))
+    joined = met(groups, found, place, "left")
+    done = []
+    for name, r in rank.items():
+        a, b = F.col(name)["a"], F.col(name)["b"]
+        done.append(F.when(a == b, a).otherwise((F.ceil(r) - r) * a + (r - F.floor(r)) * b).alias(name))
+    return joined.select(*(c for c in groups.columns if c not in ("_set", "_n", "_ends")), *done)
+
+
 def ordered_concat(x: Column, order: Column, separator: str = ",", **modifiers) -> Column:
     return fold(x.cast("string"), lambda v: F.array_join(v, separator), order=order, **modifiers)
 

@@ -272,7 +272,8 @@ def hm_window_rows(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, round(count(l_quantity) / sum(1.0 / l_quantity), 6) AS hm, median(l_extendedprice) AS med FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def hm_rollup(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(r(A.harmonic_mean(F.col("l_quantity"))).alias("hm"), F.median("l_extendedprice").alias("med"))
+    hm = r(A.harmonic_mean(F.col("l_quantity"))).alias("hm")
+    return A.percentiles(t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), {"med": 0.5}, [hm], "rollup")
 
 
 @query("SELECT o_custkey, median(DISTINCT o_totalprice) FILTER (WHERE o_orderstatus <> 'P') AS med FROM orders GROUP BY 1")
@@ -333,9 +334,9 @@ def incremental_variance(spark, sf_dir):
 def approximate_events(spark, sf_dir):
     """Approximate aggregates within their stated errors of the exact ones."""
     e = t(spark, sf_dir, "events")
-    low, high = (F.percentile("value", p) for p in (0.48, 0.52))
     near = F.abs(F.approx_count_distinct("user_id", 0.02) - F.count_distinct("user_id")) <= 0.1 * F.count_distinct("user_id") + 1
-    return e.groupBy("event_type").agg(near.alias("distinct_close"), F.percentile_approx("value", 0.5, 1000).between(low, high).alias("median_close"))
+    d = A.percentiles(e, ["event_type"], F.col("value"), {"low": 0.48, "high": 0.52}, [near.alias("distinct_close"), F.percentile_approx("value", 0.5, 1000).alias("mid")])
+    return d.select("event_type", "distinct_close", F.col("mid").between(F.col("low"), F.col("high")).alias("median_close"))
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n, CAST(grouping(event_type) AS BIGINT) AS g FROM events GROUP BY CUBE (event_type)")
