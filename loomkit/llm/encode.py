@@ -42,14 +42,14 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Parts(dict):
-    """Ids by part of a text; a missing one is encoded by the library."""
+    """Ids by part of a text; a missing one is encoded by the library. A part that begins with a line feed has no space before it."""
 
     def __init__(self, encoder: Encoder, prefix: str):
         super().__init__()
         self.encoder, self.prefix = encoder, prefix
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.encoder.part(self.prefix + part)
+        ids = self.encoder.newline + self.encoder.first[part[1:]] if part[:1] == "\n" else self.encoder.part(self.prefix + part)
         if len(part) <= LONGEST and len(self) < CACHE:
             self[part] = ids
         return ids
@@ -63,7 +63,10 @@ class Pieces(dict):
         self.encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.encoder.letters)
+        if piece.isascii() and piece.isprintable():  # such bytes stand for themselves, but for the space
+            letters = piece.replace(" ", self.encoder.letters[32])
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.encoder.letters)
         ids = packed([t.id for t in self.encoder.model.tokenize(letters)])
         if len(piece) <= LONGEST and len(self) < CACHE:
             self[piece] = ids
@@ -87,12 +90,15 @@ class Encoder:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def part(self, text: str) -> bytes:
-        if "<|" in text or BEYOND_LATIN.search(text):
+        if "<|" in text or not text.isascii() and BEYOND_LATIN.search(text):
             return self.whole(text)
         plain = text.lower() if self.by_word else text  # Latin text is in normal form C already
-        if self.by_word and BEYOND_LATIN.search(plain):
+        if self.by_word and not plain.isascii() and BEYOND_LATIN.search(plain):
             return self.whole(text)
-        if plain[-1:] in ".," and plain[:-1].removeprefix(" ").isalpha():
+        word = plain.removeprefix(" ")
+        if word.isalpha():  # one pre-token
+            return self.pieces[plain]
+        if plain[-1:] in ".," and word[:-1].isalpha():
             return self.pieces[plain[:-1]] + self.pieces[plain[-1]]
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(plain)))
 
@@ -107,13 +113,8 @@ class Encoder:
             return b"".join(map(self.first.__getitem__, text.split()))
         if text.split() != text.replace("\n", " ").split(" "):  # other white space than single spaces and line feeds between words
             return self.part(text)
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(self.first[words[0]] if words[0] else b"")
-            out.extend(map(self.rest.__getitem__, words[1:]))
-            out.append(self.newline)
-        return b"".join(out[:-1])
+        words = text.replace("\n", " \n").split(" ")
+        return self.first[words[0]] + b"".join(map(self.rest.__getitem__, words[1:]))
 
 
 def encoder(path: str) -> Encoder:
