@@ -14,7 +14,8 @@ Texts that are equal word for word form one node. Nodes that share a key meet in
    large group of near copies is one class by now;
 3. all pairs of a bucket that are still in different classes. A bucket of more than CROWD nodes would make too many: its
    nodes, mostly unlike texts with one passage in common, are dealt anew, by the words that are rarest among them. Similar
-   texts share one of the rarest fifth of their words for certain (a prefix filter), so no pair is lost by that.
+   texts share one of the rarest fifth of their words for certain (a prefix filter), so no pair is lost by that. Before,
+   those nodes go of which too many short runs of words stand in no other class: each such run takes an edit of its own.
 So any two similar texts that share a key end in one class, through whatever turn. Lengths and counts of words rule out
 pairs before their texts are fetched; links that alignment confirms give classes by connected components.
 """
@@ -48,6 +49,9 @@ CROWD, BLOCK = 256, 1000
 DRAWS, STAR = 4, 1000
 #: Counters of words by hash that say which ones are rare (their number bounds what is broadcast).
 COUNTERS = 1 << 18
+#: Words of the runs that tell whether other classes have a text's passages; bits by hash that say so (a power of 2, which
+#: bounds what is broadcast), and those of a slice that one task merges.
+RUNS, BITS, SLICE = (1, 2, 3), 1 << 26, 1 << 20
 #: Hashes that are put in all orders at once (memory of a very long text).
 AT_ONCE = 1 << 22
 #: An odd factor for each order (from a fixed seed, so that all workers agree).
@@ -75,17 +79,23 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return mixed(h ^ sizes.astype(np.uint64), STEP)
 
 
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words (hashes h), equal ones alike."""
+    n = max(0, len(h) - size + 1)
+    s = np.zeros(n, np.uint64)
+    for k in range(size):
+        s = (s ^ h[k : k + n]) * STEP
+        s ^= s >> np.uint64(32)
+    return s
+
+
 def shingle_hashes(found: list[bytes], size: int = SHINGLE, h: np.ndarray | None = None) -> np.ndarray:
     """Hashes of the shingles of `size` words with their occurrence numbers, in the order of the text; h: the words' hashes."""
     if not found:
         return np.empty(0, np.uint64)
     h = word_hashes(found) if h is None else h
     if len(found) >= size:
-        n = len(found) - size + 1
-        s = np.zeros(n, np.uint64)
-        for k in range(size):
-            s = (s ^ h[k : k + n]) * STEP
-            s ^= s >> np.uint64(32)
+        s = run_hashes(h, size)
     else:
         s = np.array([xxhash.xxh64_intdigest(b" ".join(found))], np.uint64)
     ranked = np.sort(s)
@@ -366,6 +376,107 @@ def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) ->
     return found.select(F.least("a", "b").alias("_hub"), F.greatest("a", "b").alias("_node")).distinct()
 
 
+def runs_by_length(h: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """Places in BITS of a text's runs of each of RUNS words, in two rows, of which similar texts have one in common.
+
+    A similar text's length is in the same level or in one next to it, so each text uses its own and the next one.
+    """
+    level = int(np.log(max(len(h), 1)) / np.log(1.0001 / similarity))
+    found = []
+    for size in RUNS:
+        s = run_hashes(h, size)
+        found.append(np.stack([mixed(s ^ np.uint64(k), STEP) * STEP >> np.uint64(65 - BITS.bit_length()) for k in (level, level + 1)]))
+    return found
+
+
+def least_edits(there: list[np.ndarray]) -> int:
+    """Edits at least between a text and one of another class; there: by RUNS, whether another class may have its runs.
+
+    Of runs that no other class has and that don't overlap, each takes an edit; the most of them are found from left to right.
+    """
+    n = len(there[0])
+    start = np.full(n, -1)  # of the shortest such run by its last word
+    for size, known in reversed(list(zip(RUNS, there))):
+        at = np.flatnonzero(~known)
+        start[at + size - 1] = at
+    ends = np.flatnonzero(start >= 0)
+    edits, last = 0, -1
+    for end, first in zip(ends.tolist(), start[ends].tolist()):
+        if first > last:
+            edits, last = edits + 1, end
+    return edits
+
+
+def with_chances(texts: DataFrame, similarity: float) -> DataFrame:
+    """The rows of texts (_node, _root, _text) without those that can't be similar to one of another _root.
+
+    A similar text has all runs of words that no edit touches. Which runs several classes have, BITS bits say: each task
+    gives the least and greatest class of each bit that its texts use, as arrays by slices of bits, and these are merged.
+    """
+
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            at, of = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(at)
+            at, of = at[order], of[order]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            low, high, at = np.minimum.reduceat(of, first), np.maximum.reduceat(of, first), at[first].astype(np.int64)
+            cuts = np.searchsorted(at, np.arange(0, BITS + 1, SLICE)).tolist()
+            some = [(k, x, y) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+            several = [low[x:y] < high[x:y] for _, x, y in some]
+            bits = [np.concatenate([at[x:y], at[x:y][m]]).astype(np.int32) % SLICE for (_, x, y), m in zip(some, several)]
+            classes = [np.concatenate([low[x:y], high[x:y][m]]) for (_, x, y), m in zip(some, several)]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (bits, classes))], names=["_slice", "_at", "_of"])
+
+        for batch in batches:
+            for root, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = np.concatenate([x.ravel() for x in runs_by_length(word_hashes(words(text)), similarity)])
+                held.append((at, np.full(len(at), np.frombuffer(root.ljust(8, b"\0")[:8], np.uint64)[0])))
+                size += len(at)
+                if size >= AT_ONCE:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, low, high = None, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(low < high).tobytes()], pa.binary())], names=["_slice", "_bits"])
+
+        for batch in batches:
+            for slice_, at, of in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if slice_ != now:
+                    if now is not None:
+                        yield out()
+                    now, low, high = slice_, np.full(SLICE, ~np.uint64(0)), np.zeros(SLICE, np.uint64)
+                at, of = np.frombuffer(at, np.int32), np.frombuffer(of, np.uint64)
+                np.minimum.at(low, at, of)
+                np.maximum.at(high, at, of)
+        if now is not None:
+            yield out()
+
+    bits = np.zeros(BITS // 8, np.uint8)
+    used = texts.select("_root", "_text").mapInArrow(use, "_slice int, _at binary, _of binary")
+    for k, found in used.repartition("_slice").sortWithinPartitions("_slice").mapInArrow(merge, "_slice int, _bits binary").collect():  # BITS bits at most
+        bits[k * SLICE // 8 : (k + 1) * SLICE // 8] = np.frombuffer(found, np.uint8)
+    spread = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for text in batch.column(2).to_pylist():
+                h = word_hashes(words(text))
+                there = [(spread.value[(x >> np.uint64(3)).astype(np.int64)] >> (7 - (x & np.uint64(7)).astype(np.uint8)) & 1).any(0) for x in runs_by_length(h, similarity)]
+                ok.append(least_edits(there) <= int((1 - similarity) / similarity * len(h) + 1e-6))
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return texts.select("_node", "_root", "_text").mapInArrow(run, "_node binary, _root binary, _text string")
+
+
 def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
     """_key and _node: each text (_node, _text) under the rarest of its words, as many as any similar text shares one of.
 
@@ -504,7 +615,8 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
     crowded = left.where(F.col("_size") > CROWD).select("_node").distinct()
     dealt = left.where(F.col("_size") <= CROWD).select("_key", "_node", "_root")
     if not crowded.isEmpty():
-        used.append(cut(texts.join(crowded, "_node"), "crowded"))
+        used.append(cut(texts.join(crowded, "_node").join(second, "_node").select("_node", "_root", "_text"), "crowded"))
+        used.append(cut(with_chances(used[-1], similarity), "chances"))
         again = by_rare_words(used[-1], similarity)
         dealt = dealt.unionByName(again.join(second, "_node").select("_key", "_node", "_root"))
     last = second if left.isEmpty() else linked(second, rivals(dealt, similarity, nodes.select("_node", "_n", "_bins")), True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from test_neardup_recall import classes, edited, plain_classes
 
 from loomkit.llm import neardup
@@ -51,3 +53,33 @@ def test_pairs_of_blocks(spark, monkeypatch):
     met = spark.createDataFrame(members, "_key long, _node binary, _root binary, _n long, _bins binary")
     got = sorted((bytes(p["_hub"])[0], bytes(p["_node"])[0]) for p in neardup.rivals(met, 0.8).collect())
     assert got == [(a, b) for a in range(20) for b in range(a + 1, 20) if a % 5 != b % 5]
+
+
+def test_nodes_without_chances_are_not_dealt(spark):
+    """Of unlike texts with one passage none is dealt by its words; of similar texts of different classes all are."""
+    r = random.Random(21)
+    passage = [f"p{i}" for i in range(20)]
+    unlike = [passage + [f"c{k}q{i}" for i in range(60)] for k in range(50)]
+    family = [edited(passage + [f"c0x{i}" for i in range(r.randint(40, 160))], 0, r) for _ in range(6)]
+    near = [edited(t, len(t) // 5, r) for t in family]
+    copies = [unlike[0][:-1] + [f"z{k}"] for k in range(5)]  # like unlike[0], and of its class
+    texts = [*unlike, *family, *near, *copies]
+    root = lambda k: 0 if k >= len(texts) - len(copies) else k
+    rows = [(bytes([k]), bytes([root(k)]) * 16, " ".join(t)) for k, t in enumerate(texts)]
+    kept = neardup.with_chances(spark.createDataFrame(rows, "_node binary, _root binary, _text string").repartition(3), 0.8)
+    got = {bytes(x["_node"])[0] for x in kept.select("_node").collect()}
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if root(a) != root(b) and neardup.similar(*([w.encode() for w in texts[k]] for k in (a, b)))]
+    assert len(pairs) >= 6 and got >= {k for pair in pairs for k in pair}
+    assert not got & {*range(len(unlike)), *range(len(texts) - len(copies), len(texts))}
+
+
+def test_least_edits_is_a_bound():
+    r, tight = random.Random(22), 0
+    for _ in range(300):
+        a = [b"w%d" % r.randrange(30) for _ in range(r.randint(1, 40))]
+        b = [w.encode() for w in edited([w.decode() for w in a], r.randint(0, 9), r)]
+        there = [np.array([tuple(a[i : i + k]) in {tuple(b[j : j + k]) for j in range(len(b) - k + 1)} for i in range(len(a) - k + 1)], bool) for k in neardup.RUNS]
+        least = neardup.least_edits(there)
+        assert neardup.within(a, b, 40) and (least == 0 or not neardup.within(a, b, least - 1))
+        tight += least > 0
+    assert tight > 100
