@@ -30,9 +30,9 @@ from loomkit.llm.common import cut, dealt_once, forget, named
 from loomkit.llm.suffixes import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 20
-#: Places of the fingerprint in a window, and the middle one.
+#: Places of the fingerprint in a window, and the first and last ones of some stretches of them.
 PLACES = LENGTH - GRAM + 1
-HALF = PLACES // 2 + 1
+STANDS = [(k, min(k + 4, PLACES) - 1) for k in range(0, PLACES, 4)]
 #: Bytes that are hashed at once, fingerprints that a task reduces at once, contexts of a shard.
 PIECE, FLUSH, SHARD = 1 << 20, 1 << 20, 16_000
 #: Contexts of a fingerprint that still go to one shard.
@@ -266,8 +266,8 @@ def halved(part: dict) -> Iterator[tuple]:
 def alone(keys: list[int], datas: list[bytes], grams: list[int]) -> np.ndarray:
     """Of a shard's parts those that can't share a window with another one of their key.
 
-    Equal windows in which the gram stands at HALF or later have HALF bytes before it in common, others PLACES - 1 - HALF bytes
-    after it. A part that has the gram more than once may be read in more ways than one, and is not judged.
+    Equal windows in which the gram stands at first to last have the bytes in common that all such windows hold around it. A
+    part that has the gram more than once may be read in more ways than one, and is not judged.
     """
     sides: dict[tuple, int] = {}
     own = []
@@ -276,11 +276,7 @@ def alone(keys: list[int], datas: list[bytes], grams: list[int]) -> np.ndarray:
         if data.find(gram) < at or data.find(gram, at + 1) >= 0:
             own.append(None)
             continue
-        mine = []
-        if at >= HALF:
-            mine.append((key, gram, data[at - HALF : at], True))
-        if len(data) >= at + GRAM + PLACES - HALF:
-            mine.append((key, gram, data[at + GRAM : at + GRAM + PLACES - HALF], False))
+        mine = [(key, first, data[at - first : at + LENGTH - last]) for first, last in STANDS if first <= at <= len(data) - LENGTH + last]
         for side in mine:
             sides[side] = sides.get(side, 0) + 1
         own.append(mine)

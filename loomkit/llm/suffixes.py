@@ -1,7 +1,7 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are S-type (smaller than the next one) or L-type. Leftmost S-type ones (LMS) begin the LMS substrings; these are
-sorted by inducing, named, and the string of names is sorted recursively; its order induces that of all suffixes. A level
+sorted (by inducing; over many letters, letter by letter), named, and the string of names is sorted recursively; its order induces that of all suffixes. A level
 has at most half the letters of the one before, and each is sorted in linear time.
 
 Inducing scans the buckets of first letters from the least to the greatest and back. Over few letters a bucket is handled as
@@ -114,6 +114,33 @@ def induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.n
     return (induce_buckets if len(s) >= DENSE * sigma else induce_one_by_one)(s, is_s, lms, sigma)
 
 
+def ranked_substrings(s: np.ndarray, lms: np.ndarray, size: np.ndarray, sigma: int) -> np.ndarray:
+    """lms in the order of the LMS substrings (of `size` letters each), letter by letter among those that are still tied.
+
+    One that ends comes after others with the same letters, which go on to smaller suffixes; the last one, before them.
+    """
+    order = np.argsort(s[lms], kind="stable")
+    past = np.full(len(lms), sigma)
+    past[-1] = -1
+    first = s[lms][order]
+    heads = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+    group = np.repeat(heads, np.diff(np.append(heads, len(lms))))  # the first place in order of those that are tied
+    live, k = np.arange(len(lms)), 1
+    while len(live):
+        tied = np.append(False, group[live[1:]] == group[live[:-1]])
+        live = live[tied | np.append(tied[1:], False)]
+        if not len(live):
+            break
+        who, of = order[live], group[live]
+        letter = np.where(size[who] > k, s[np.minimum(lms[who] + k, len(s) - 1)], past[who]).astype(np.int64)
+        by = np.argsort(of * (sigma + 2) + letter + 1, kind="stable")
+        order[live], letter = who[by], letter[by]
+        heads = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (letter[1:] != letter[:-1])))
+        group[live] = np.repeat(live[heads], np.diff(np.append(heads, len(live))))
+        live, k = live[(letter >= 0) & (letter < sigma)], k + 1
+    return lms[order]
+
+
 def named(s: np.ndarray, ranked: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Numbers of the LMS substrings of ranked (starts, in their order), from 0; equal ones have one number."""
     differ = np.ones(len(ranked), bool)
@@ -137,12 +164,15 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     is_s = s_types(s)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if len(lms) > 1:
-        ranked = induce(s, is_s, lms, sigma)
-        flag = np.zeros(n, bool)
-        flag[lms] = True
-        ranked = ranked[flag[ranked]]
         size = np.zeros(n, np.int64)
         size[lms] = np.append(np.diff(lms) + 1, n - lms[-1])  # with the next one's first letter
+        if n >= DENSE * sigma:
+            ranked = induce(s, is_s, lms, sigma)
+            flag = np.zeros(n, bool)
+            flag[lms] = True
+            ranked = ranked[flag[ranked]]
+        else:  # short substrings: sorted faster as arrays than by a scan
+            ranked = ranked_substrings(s, lms, size[lms], sigma)
         number = np.empty(n, np.int64)
         number[ranked] = named(s, ranked, size[ranked])
         names = number[lms]
