@@ -43,6 +43,8 @@ SMALL, SMALL_BANDS = 3, 64
 SHORT = 30
 #: Counts of words by hash, 255 at most each, that rule out pairs.
 BINS = 256
+#: The same for nodes of crowded buckets, a multiple of BINS: their texts have much in common, so that few counts rule out little.
+FINE_BINS = 2048
 #: Nodes of a bucket from which it is dealt anew, and nodes that are compared with each other (or as many others) at once.
 CROWD, BLOCK = 256, 1000
 #: Orders of nodes by hash for the second turn; pairs of a hub that one task compares.
@@ -52,6 +54,8 @@ COUNTERS = 1 << 18
 #: Words of the runs that tell whether other classes have a text's passages; bits by hash that say so (a power of 2, which
 #: bounds what is broadcast), and those of a slice that one task merges.
 RUNS, BITS, SLICE = (1, 2, 3), 1 << 26, 1 << 20
+#: Pairs whose fine counts are compared at once.
+AT_A_TIME = 1 << 10
 #: Hashes that are put in all orders at once (memory of a very long text).
 AT_ONCE = 1 << 22
 #: An odd factor for each order (from a fixed seed, so that all workers agree).
@@ -145,14 +149,20 @@ def short_keys(h: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
     return np.array(sorted(keys), np.uint64).view(np.int64).tolist()
 
 
-def word_bins(h: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+def word_bins(h: np.ndarray, bins: int = BINS) -> bytes:
+    return np.minimum(np.bincount((h % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
 def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, bins: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the texts numbered a and b can be similar: an edit changes the length by 1 and the counts by 2 at most."""
+    """Whether the texts numbered a and b can be similar, by lengths and counts of words.
+
+    A substitution changes the counts by 2 at most, an insertion or deletion by 1; of the latter there are at least as many as
+    the lengths differ by.
+    """
     most = ((1 - similarity) * np.maximum(n[a], n[b]) + 1e-9).astype(np.int64)
-    return (np.abs(n[a] - n[b]) <= most) & (np.abs(bins[a] - bins[b]).sum(1) <= 2 * most)
+    apart = np.abs(n[a] - n[b])
+    x, y = bins[a], bins[b]
+    return (apart <= most) & ((np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= 2 * most - apart)
 
 
 def within(a: list[bytes], b: list[bytes], most: int) -> bool:
@@ -311,8 +321,8 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (_hub, _node) of nodes that share a key, are in different classes and may be similar.
 
-    met has _key, _node and _root; sizes (or met) has _n and _bins of each _node, which are fetched only for buckets of several
-    classes. A bucket of many members is dealt out by pairs of blocks of about BLOCK.
+    met has _key, _node and _root; sizes (or met) has _n and _bins (BINS or a multiple) of each _node, which are fetched only
+    for buckets of several classes. A bucket of many members is dealt out by pairs of blocks of about BLOCK.
     """
     open_ = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), (F.min("_root") < F.max("_root")).alias("_open")).where("_open")
     blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
@@ -326,7 +336,8 @@ def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) ->
     def pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key, low, high, side, n = (group.column(c).to_numpy() for c in (*place, "_i", "_n"))
         root = group.column("_root").combine_chunks().dictionary_encode().indices.to_numpy()
-        bins = np.frombuffer(b"".join(group.column("_bins").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        fine = np.frombuffer(b"".join(group.column("_bins").to_pylist()), np.uint8).reshape(len(n), -1)
+        bins = fine.reshape(len(n), -1, BINS).sum(1, dtype=np.int16)
         ends = np.flatnonzero(np.append((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True)) + 1
         for at, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
             if low[at] == high[at]:
@@ -340,7 +351,12 @@ def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) ->
             for k in range(0, len(a), 1 << 13):
                 x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
                 ok = possible(x, y, n, bins, similarity)
-                yield x[ok], y[ok]
+                x, y = x[ok], y[ok]
+                if fine.shape[1] > BINS:
+                    ok = [possible(x[j : j + AT_A_TIME], y[j : j + AT_A_TIME], n, fine, similarity) for j in range(0, len(x), AT_A_TIME)]
+                    ok = np.concatenate([np.empty(0, bool), *ok])
+                    x, y = x[ok], y[ok]
+                yield x, y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -477,6 +493,18 @@ def with_chances(texts: DataFrame, similarity: float) -> DataFrame:
     return texts.select("_node", "_root", "_text").mapInArrow(run, "_node binary, _root binary, _text string")
 
 
+def fine_counts(texts: DataFrame) -> DataFrame:
+    """_node, _n and _bins (FINE_BINS) of texts (_node, _text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words(text) for text in batch.column(1).to_pylist()]
+            bins = [word_bins(word_hashes(w), FINE_BINS) for w in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(bins, pa.binary())], names=["_node", "_n", "_bins"])
+
+    return texts.select("_node", "_text").mapInArrow(run, "_node binary, _n long, _bins binary")
+
+
 def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
     """_key and _node: each text (_node, _text) under the rarest of its words, as many as any similar text shares one of.
 
@@ -613,13 +641,13 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
         used += [left, drawn]
         left = still_open(met, second)
     crowded = left.where(F.col("_size") > CROWD).select("_node").distinct()
-    dealt = left.where(F.col("_size") <= CROWD).select("_key", "_node", "_root")
+    pairs = rivals(left.where(F.col("_size") <= CROWD).select("_key", "_node", "_root"), similarity, nodes.select("_node", "_n", "_bins"))
     if not crowded.isEmpty():
         used.append(cut(texts.join(crowded, "_node").join(second, "_node").select("_node", "_root", "_text"), "crowded"))
         used.append(cut(with_chances(used[-1], similarity), "chances"))
-        again = by_rare_words(used[-1], similarity)
-        dealt = dealt.unionByName(again.join(second, "_node").select("_key", "_node", "_root"))
-    last = second if left.isEmpty() else linked(second, rivals(dealt, similarity, nodes.select("_node", "_n", "_bins")), True)
+        again = by_rare_words(used[-1], similarity).join(second, "_node").select("_key", "_node", "_root")
+        pairs = pairs.unionByName(rivals(again, similarity, fine_counts(used[-1]))).distinct()
+    last = second if left.isEmpty() else linked(second, pairs, True)
     of = nodes.select("_node", "_id").join(last, "_node")
     least = cut(of.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least")), "least")
     classes = of.join(least, "_root").select("_node", F.col("_least._id").alias("_class"), (F.col("_node") == F.col("_least._node")).alias("_keeper"))

@@ -83,3 +83,40 @@ def test_least_edits_is_a_bound():
         assert neardup.within(a, b, 40) and (least == 0 or not neardup.within(a, b, least - 1))
         tight += least > 0
     assert tight > 100
+
+
+def test_counts_use_lengths():
+    """20 edits at most, 16 of them for the lengths: 4 words may differ, not 6."""
+    a = [b"w%d" % i for i in range(100)]
+    for other, expected in ((4, True), (6, False)):
+        b = a[: 84 - other] + [b"x%d" % i for i in range(other)]
+        bins = np.array([np.frombuffer(neardup.word_bins(neardup.word_hashes(t), 1 << 14), np.uint8) for t in (a, b)])
+        got = neardup.possible(np.array([0]), np.array([1]), np.array([len(a), len(b)]), bins, 0.8)[0]
+        assert got == neardup.similar(a, b) == expected
+
+
+def test_crowds_make_few_pairs(spark, monkeypatch):
+    """Texts with three quarters in common, and rare words of many kinds: fine counts rule pairs out before texts are fetched."""
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    made, plain = [], neardup.rivals
+    monkeypatch.setattr(neardup, "rivals", lambda *a: made.append(plain(*a)) or made[-1])
+    monkeypatch.setattr(neardup, "forget", lambda *a: None)
+    r = random.Random(23)
+    passage = [f"p{i}" for i in range(600)]
+    texts = [passage + [f"v{r.randrange(4000)}" for _ in range(200)] for _ in range(36)]
+    texts += [edited(texts[k], 60, r) for k in range(4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert classes(spark, rows) == plain_classes(rows)
+    pairs = [{(x["_hub"], x["_node"]) for x in m.collect()} for m in made]
+    assert len(made) == 2 and len(set().union(*pairs)) < 80  # 763 by BINS counts and without the lengths
+
+
+def test_fine_counts_lose_no_pair(spark):
+    r = random.Random(24)
+    texts = [[f"w{r.randrange(300)}" for _ in range(r.randint(50, 300))] for _ in range(8)]
+    texts += [edited(t, len(t) // 6, r) for t in texts for _ in range(3)]
+    named = spark.createDataFrame([(bytes([k]), " ".join(t)) for k, t in enumerate(texts)], "_node binary, _text string")
+    met = named.selectExpr("1L _key", "_node", "_node _root")
+    got = {(bytes(x["_hub"])[0], bytes(x["_node"])[0]) for x in neardup.rivals(met, 0.8, neardup.fine_counts(named)).collect()}
+    near = {(a, b) for b in range(len(texts)) for a in range(b) if neardup.similar(*([w.encode() for w in texts[k]] for k in (a, b)))}
+    assert len(near) > 20 and got >= near
