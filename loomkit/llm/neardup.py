@@ -322,13 +322,14 @@ def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) ->
     """Distinct pairs (_hub, _node) of nodes that share a key, are in different classes and may be similar.
 
     met has _key, _node and _root; sizes (or met) has _n and _bins (BINS or a multiple) of each _node, which are fetched only
-    for buckets of several classes. A bucket of many members is dealt out by pairs of blocks of about BLOCK.
+    for buckets of several classes. A bucket of many members is dealt out by pairs of blocks of about BLOCK. If met has _before
+    (the lesser keys of each _node, as bytes), only the bucket of the least key that two nodes share makes a pair of them.
     """
     open_ = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), (F.min("_root") < F.max("_root")).alias("_open")).where("_open")
     blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
     rows = met.join(open_, "_key")
     rows = rows if sizes is None else rows.join(sizes, "_node")
-    place, held = ["_key", "_low", "_high"], ["_node", "_root", "_n", "_bins"]
+    place, held = ["_key", "_low", "_high"], ["_node", "_root", "_n", "_bins", *(["_before"] if "_before" in met.columns else [])]
     one = rows.where(F.col("_size") <= BLOCK).select("_key", *(F.lit(0).alias(c) for c in ("_low", "_high", "_i")), *held)
     many = rows.where(F.col("_size") > BLOCK).withColumn("_i", F.pmod(F.xxhash64("_node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = one.unionByName(many.select("_key", F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "_i", *held))
@@ -340,6 +341,7 @@ def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) ->
         bins = fine.reshape(len(n), -1, BINS).sum(1, dtype=np.int16)
         ends = np.flatnonzero(np.append((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True)) + 1
         for at, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            before: dict[int, set[int]] = {}
             if low[at] == high[at]:
                 a, b = np.triu_indices(end - at, 1)
             else:
@@ -356,6 +358,11 @@ def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) ->
                     ok = [possible(x[j : j + AT_A_TIME], y[j : j + AT_A_TIME], n, fine, similarity) for j in range(0, len(x), AT_A_TIME)]
                     ok = np.concatenate([np.empty(0, bool), *ok])
                     x, y = x[ok], y[ok]
+                if len(held) > 4:
+                    for i in {*x.tolist(), *y.tolist()} - before.keys():
+                        before[i] = {*np.frombuffer(group.column("_before")[i].as_py(), np.int64).tolist()}
+                    ok = np.array([before[i].isdisjoint(before[j]) for i, j in zip(x.tolist(), y.tolist())], bool)
+                    x, y = x[ok], y[ok]
                 yield x, y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +513,7 @@ def fine_counts(texts: DataFrame) -> DataFrame:
 
 
 def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
-    """_key and _node: each text (_node, _text) under the rarest of its words, as many as any similar text shares one of.
+    """_key, _node and _before (lesser keys): each text (_node, _text) under the rarest of its words, as many as any similar text shares one of.
 
     The words of a text, with their occurrence numbers, are put in one order for all texts, rare ones first. Texts of which
     the longer one has n words are similar only if they have all but (1 - SIMILARITY) n of them in common, so the first
@@ -531,17 +538,18 @@ def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, before = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = tokens(text)
                 often = spread.value[(own % np.uint64(COUNTERS)).astype(np.int64)]
                 rare = np.lexsort((own, often))[: int((1 - similarity) * len(own) + 1e-9) + 1]
                 first = own[rare[often[rare] > 1]]  # a counter of 1 is a word of this text alone
-                keys.append(first.view(np.int64))
+                keys.append(np.sort(first.view(np.int64)))
+                before += [keys[-1][:k].tobytes() for k in range(len(first))]
                 nodes += [node] * len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(nodes, pa.binary())], names=["_key", "_node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(nodes, pa.binary()), pa.array(before, pa.binary())], names=["_key", "_node", "_before"])
 
-    return texts.select("_node", "_text").mapInArrow(run, "_key long, _node binary")
+    return texts.select("_node", "_text").mapInArrow(run, "_key long, _node binary, _before binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -645,7 +653,7 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
     if not crowded.isEmpty():
         used.append(cut(texts.join(crowded, "_node").join(second, "_node").select("_node", "_root", "_text"), "crowded"))
         used.append(cut(with_chances(used[-1], similarity), "chances"))
-        again = by_rare_words(used[-1], similarity).join(second, "_node").select("_key", "_node", "_root")
+        again = by_rare_words(used[-1], similarity).join(second, "_node").select("_key", "_node", "_root", "_before")
         pairs = pairs.unionByName(rivals(again, similarity, fine_counts(used[-1]))).distinct()
     last = second if left.isEmpty() else linked(second, pairs, True)
     of = nodes.select("_node", "_id").join(last, "_node")

@@ -120,3 +120,16 @@ def test_fine_counts_lose_no_pair(spark):
     got = {(bytes(x["_hub"])[0], bytes(x["_node"])[0]) for x in neardup.rivals(met, 0.8, neardup.fine_counts(named)).collect()}
     near = {(a, b) for b in range(len(texts)) for a in range(b) if neardup.similar(*([w.encode() for w in texts[k]] for k in (a, b)))}
     assert len(near) > 20 and got >= near
+
+
+def test_pairs_are_made_once(spark, monkeypatch):
+    """Nodes that share many rare words are one pair of one bucket, blocks or not."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    r = random.Random(25)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(bytes([k]), " ".join(edited(base, 6, r))) for k in range(12)]
+    texts = spark.createDataFrame(rows, "_node binary, _text string")
+    met = neardup.by_rare_words(texts, 0.8).selectExpr("_key", "_node", "_node _root", "_before")
+    monkeypatch.setattr(type(met), "distinct", lambda df: df)
+    got = sorted((bytes(x["_hub"])[0], bytes(x["_node"])[0]) for x in neardup.rivals(met, 0.8, neardup.fine_counts(texts)).collect())
+    assert got == [(a, b) for a in range(12) for b in range(a + 1, 12)]
