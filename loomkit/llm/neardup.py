@@ -13,9 +13,10 @@ Texts that are equal word for word form one node. Nodes that share a key meet in
 2. each with nodes that come first in DRAWS other orders, of which each bucket uses one, if their classes still differ: a
    large group of near copies is one class by now;
 3. all pairs of a bucket that are still in different classes. A bucket of more than CROWD nodes would make too many: its
-   nodes, mostly unlike texts with one passage in common, are dealt anew, by the words that are rarest among them. Similar
-   texts share one of the rarest fifth of their words for certain (a prefix filter), so no pair is lost by that. Before,
-   those nodes go of which too many short runs of words stand in no other class: each such run takes an edit of its own.
+   nodes, mostly unlike texts with one passage in common, are dealt anew, by length, and those of about one length are
+   compared if they share one of the words that are rarest among them. Similar texts share one of the rarest fifth of their
+   words for certain (a prefix filter), so no pair is lost by that. Before, those nodes go of which too many short runs of
+   words stand in no other class: each such run takes an edit of its own.
 So any two similar texts that share a key end in one class, through whatever turn. Lengths and counts of words rule out
 pairs before their texts are fetched; links that alignment confirms give classes by connected components.
 """
@@ -45,8 +46,13 @@ SHORT = 30
 BINS = 256
 #: The same for nodes of crowded buckets, a multiple of BINS: their texts have much in common, so that few counts rule out little.
 FINE_BINS = 2048
+#: Bits that say of many pairs of crowded nodes that their counts differ by too much, a divisor of FINE_BINS.
+ODD = 512
 #: Nodes of a bucket from which it is dealt anew, and nodes that are compared with each other (or as many others) at once.
 CROWD, BLOCK = 256, 1000
+#: Nodes of a block of crowded ones, in times BLOCK. A node goes to as many tasks as its length has blocks, in rounds of
+#: COPIES rows of each node in the mean, so that disk grows no faster than the crowd.
+CROWD_BLOCKS, COPIES = 8, 4
 #: Orders of nodes by hash for the second turn; pairs of a hub that one task compares.
 DRAWS, STAR = 4, 1000
 #: Counters of words by hash that say which ones are rare (their number bounds what is broadcast).
@@ -54,8 +60,8 @@ COUNTERS = 1 << 18
 #: Words of the runs that tell whether other classes have a text's passages; bits by hash that say so (a power of 2, which
 #: bounds what is broadcast), and those of a slice that one task merges.
 RUNS, BITS, SLICE = (1, 2, 3), 1 << 26, 1 << 20
-#: Pairs whose fine counts are compared at once.
-AT_A_TIME = 1 << 10
+#: Pairs whose fine counts are compared at once, and pairs that are made at once.
+AT_A_TIME, MADE_AT_ONCE = 1 << 10, 1 << 19
 #: Hashes that are put in all orders at once (memory of a very long text).
 AT_ONCE = 1 << 22
 #: An odd factor for each order (from a fixed seed, so that all workers agree).
@@ -153,16 +159,26 @@ def word_bins(h: np.ndarray, bins: int = BINS) -> bytes:
     return np.minimum(np.bincount((h % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
 
 
-def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, bins: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the texts numbered a and b can be similar, by lengths and counts of words.
+def most_apart(a: np.ndarray, b: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """By how much counts of words of the texts numbered a and b can differ, of n words, if they are similar; negative: they can't be.
 
     A substitution changes the counts by 2 at most, an insertion or deletion by 1; of the latter there are at least as many as
     the lengths differ by.
     """
-    most = ((1 - similarity) * np.maximum(n[a], n[b]) + 1e-9).astype(np.int64)
-    apart = np.abs(n[a] - n[b])
+    most, apart = ((1 - similarity) * np.maximum(n[a], n[b]) + 1e-9).astype(np.int64), np.abs(n[a] - n[b])
+    return np.where(apart <= most, 2 * most - apart, -1)
+
+
+def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, bins: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the texts numbered a and b can be similar, by lengths and counts of words."""
     x, y = bins[a], bins[b]
-    return (apart <= most) & ((np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= 2 * most - apart)
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= most_apart(a, b, n, similarity)
+
+
+def odd_bits(bins: np.ndarray) -> np.ndarray:
+    """ODD bits of each row of counts, as 64-bit words, of which two rows differ in no more than their counts: whether sums of counts are odd."""
+    bits = np.packbits(bins & 1, axis=1).reshape(len(bins), -1, ODD // 8)
+    return np.bitwise_xor.reduce(bits, axis=1).view(np.uint64)
 
 
 def within(a: list[bytes], b: list[bytes], most: int) -> bool:
@@ -318,52 +334,90 @@ def plausible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, "_hub binary, _node binary")
 
 
-def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) -> DataFrame:
+def levels(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Levels of texts by their numbers of words; those of similar texts are the same or next to each other."""
+    return (np.log(np.maximum(n, 1)) / np.log(1.0001 / similarity)).astype(np.int64)
+
+
+def meeting(lists: list[np.ndarray] | None, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of n lists (the first place less) that have a number in common, about MADE_AT_ONCE at a time.
+
+    A pair can come more than once. Without lists, or if they make no fewer, they are all pairs.
+    """
+    at, later = np.arange(n), np.arange(n)[::-1]  # places, and how many of those after each make a pair with it
+    if lists is not None:
+        held = np.repeat(at, [len(x) for x in lists])
+        order = np.argsort(numbers := np.concatenate(lists), kind="stable")
+        numbers, held = numbers[order], held[order]
+        ends = np.flatnonzero(np.append(numbers[1:] != numbers[:-1], True)[: len(numbers)]) + 1
+        after = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(numbers)) - 1
+        if after.sum() < later.sum():
+            at, later = held, after
+    upto = np.cumsum(later)
+    cuts = np.searchsorted(upto, np.arange(MADE_AT_ONCE, (upto[-1] if n and len(upto) else 0) + MADE_AT_ONCE, MADE_AT_ONCE)) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+        count = later[low:high]
+        first = np.repeat(np.arange(low, low + len(count)), count)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+        if len(first):
+            yield at[first], at[second]
+
+
+def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None, part: int = 0, parts: int = 1) -> DataFrame:
     """Distinct pairs (_hub, _node) of nodes that share a key, are in different classes and may be similar.
 
     met has _key, _node and _root; sizes (or met) has _n and _bins (BINS or a multiple) of each _node, which are fetched only
     for buckets of several classes. A bucket of many members is dealt out by pairs of blocks of about BLOCK. If met has _before
-    (the lesser keys of each _node, as bytes), only the bucket of the least key that two nodes share makes a pair of them.
+    (by_rare_words()), only nodes that have one of these words in common make a pair, once, and blocks are CROWD_BLOCKS times as
+    large. Each of the parts gives pairs of its own.
     """
+    rare = "_before" in met.columns
+    block = BLOCK * CROWD_BLOCKS if rare else BLOCK
     open_ = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_size"), (F.min("_root") < F.max("_root")).alias("_open")).where("_open")
-    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("_size") / block).cast("int")
     rows = met.join(open_, "_key")
     rows = rows if sizes is None else rows.join(sizes, "_node")
-    place, held = ["_key", "_low", "_high"], ["_node", "_root", "_n", "_bins", *(["_before"] if "_before" in met.columns else [])]
-    one = rows.where(F.col("_size") <= BLOCK).select("_key", *(F.lit(0).alias(c) for c in ("_low", "_high", "_i")), *held)
-    many = rows.where(F.col("_size") > BLOCK).withColumn("_i", F.pmod(F.xxhash64("_node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    place, held = ["_key", "_low", "_high"], ["_node", "_root", "_n", "_bins", *(["_before"] if rare else [])]
+    one = rows.where(F.col("_size") <= block).select("_key", *(F.lit(0).alias(c) for c in ("_low", "_high", "_i")), *held)
+    many = rows.where(F.col("_size") > block).withColumn("_i", F.pmod(F.xxhash64("_node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = one.unionByName(many.select("_key", F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "_i", *held))
+    rows = rows if parts == 1 else rows.where(F.pmod(F.xxhash64(*place), F.lit(parts)) == part)
 
     def pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key, low, high, side, n = (group.column(c).to_numpy() for c in (*place, "_i", "_n"))
         root = group.column("_root").combine_chunks().dictionary_encode().indices.to_numpy()
         fine = np.frombuffer(b"".join(group.column("_bins").to_pylist()), np.uint8).reshape(len(n), -1)
         bins = fine.reshape(len(n), -1, BINS).sum(1, dtype=np.int16)
+        if rare:
+            level, odd = levels(n, similarity), odd_bits(fine)
+            numbers = [np.frombuffer(x, np.uint32) for x in group.column("_before").to_pylist()]
         ends = np.flatnonzero(np.append((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True)) + 1
         for at, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-            before: dict[int, set[int]] = {}
-            if low[at] == high[at]:
-                a, b = np.triu_indices(end - at, 1)
-            else:
-                one = side[at:end] == low[at]
-                a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(one), np.flatnonzero(~one)))
-            a, b = a + at, b + at
-            apart = (root[a] != root[b]) & (np.abs(n[a] - n[b]) <= (1 - similarity) * np.maximum(n[a], n[b]) + 1e-9)
-            a, b = a[apart], b[apart]
-            for k in range(0, len(a), 1 << 13):
-                x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
-                ok = possible(x, y, n, bins, similarity)
-                x, y = x[ok], y[ok]
-                if fine.shape[1] > BINS:
-                    ok = [possible(x[j : j + AT_A_TIME], y[j : j + AT_A_TIME], n, fine, similarity) for j in range(0, len(x), AT_A_TIME)]
-                    ok = np.concatenate([np.empty(0, bool), *ok])
+            made = np.empty(0, np.int64)
+            for a, b in meeting(numbers[at:end] if rare else None, end - at):
+                a, b = a + at, b + at
+                apart = root[a] != root[b]
+                if low[at] != high[at]:
+                    apart &= side[a] != side[b]
+                if rare:
+                    apart &= np.maximum(level[a], level[b]) == key[at]  # two of one level meet in two buckets
+                a, b = a[apart], b[apart]
+                ok = np.abs(n[a] - n[b]) <= (1 - similarity) * np.maximum(n[a], n[b]) + 1e-9
+                a, b = a[ok], b[ok]
+                if rare:
+                    ok = np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64) <= most_apart(a, b, n, similarity)
+                    new = np.setdiff1d(a[ok] * len(n) + b[ok], made)
+                    made = np.append(made, new)
+                    a, b = np.divmod(new, len(n))
+                for k in range(0, len(a), 1 << 13):
+                    x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
+                    ok = possible(x, y, n, bins, similarity)
                     x, y = x[ok], y[ok]
-                if len(held) > 4:
-                    for i in {*x.tolist(), *y.tolist()} - before.keys():
-                        before[i] = {*np.frombuffer(group.column("_before")[i].as_py(), np.int64).tolist()}
-                    ok = np.array([before[i].isdisjoint(before[j]) for i, j in zip(x.tolist(), y.tolist())], bool)
-                    x, y = x[ok], y[ok]
-                yield x, y
+                    if fine.shape[1] > BINS:
+                        ok = [possible(x[j : j + AT_A_TIME], y[j : j + AT_A_TIME], n, fine, similarity) for j in range(0, len(x), AT_A_TIME)]
+                        ok = np.concatenate([np.empty(0, bool), *ok])
+                        x, y = x[ok], y[ok]
+                    yield x, y
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -399,12 +453,18 @@ def rivals(met: DataFrame, similarity: float, sizes: DataFrame | None = None) ->
     return found.select(F.least("a", "b").alias("_hub"), F.greatest("a", "b").alias("_node")).distinct()
 
 
+def rounds(met: DataFrame) -> int:
+    """Parts of rivals() of met (by_rare_words()) that make COPIES copies of each row at most, in the mean."""
+    sizes = [n for _, n in met.groupBy("_key").count().collect()]  # a row for each level of length
+    return max(1, -(-sum(n * -(-n // (BLOCK * CROWD_BLOCKS)) for n in sizes) // (COPIES * max(1, sum(sizes)))))
+
+
 def runs_by_length(h: np.ndarray, similarity: float) -> list[np.ndarray]:
     """Places in BITS of a text's runs of each of RUNS words, in two rows, of which similar texts have one in common.
 
     A similar text's length is in the same level or in one next to it, so each text uses its own and the next one.
     """
-    level = int(np.log(max(len(h), 1)) / np.log(1.0001 / similarity))
+    level = int(levels(np.array([len(h)]), similarity)[0])
     found = []
     for size in RUNS:
         s = run_hashes(h, size)
@@ -513,11 +573,13 @@ def fine_counts(texts: DataFrame) -> DataFrame:
 
 
 def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
-    """_key, _node and _before (lesser keys): each text (_node, _text) under the rarest of its words, as many as any similar text shares one of.
+    """_key, _node and _before of texts (_node, _text): a text's rarest words, as many as any similar text shares one of.
 
     The words of a text, with their occurrence numbers, are put in one order for all texts, rare ones first. Texts of which
     the longer one has n words are similar only if they have all but (1 - SIMILARITY) n of them in common, so the first
-    (1 - SIMILARITY) n + 1 of each can't all differ. How rare a word is, COUNTERS counters say: a fixed size.
+    (1 - SIMILARITY) n + 1 of each can't all differ. How rare a word is, COUNTERS counters say: a fixed size. _before has 32 bits
+    of the hash of each of them, without those that no other text has; texts without such words have no row. _key is the
+    level of the text's length or the next one: two rows a text, however many words it has.
     """
 
     def tokens(text: str) -> np.ndarray:
@@ -544,10 +606,12 @@ def by_rare_words(texts: DataFrame, similarity: float) -> DataFrame:
                 often = spread.value[(own % np.uint64(COUNTERS)).astype(np.int64)]
                 rare = np.lexsort((own, often))[: int((1 - similarity) * len(own) + 1e-9) + 1]
                 first = own[rare[often[rare] > 1]]  # a counter of 1 is a word of this text alone
-                keys.append(np.sort(first.view(np.int64)))
-                before += [keys[-1][:k].tobytes() for k in range(len(first))]
-                nodes += [node] * len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.array(nodes, pa.binary()), pa.array(before, pa.binary())], names=["_key", "_node", "_before"])
+                if len(first):
+                    level = int(levels(np.array([len(own)]), similarity)[0])
+                    nodes += [node, node]
+                    keys += [level, level + 1]
+                    before += [np.unique(first.astype(np.uint32)).tobytes()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(before, pa.binary())], names=["_key", "_node", "_before"])
 
     return texts.select("_node", "_text").mapInArrow(run, "_key long, _node binary, _before binary")
 
@@ -653,8 +717,12 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
     if not crowded.isEmpty():
         used.append(cut(texts.join(crowded, "_node").join(second, "_node").select("_node", "_root", "_text"), "crowded"))
         used.append(cut(with_chances(used[-1], similarity), "chances"))
-        again = by_rare_words(used[-1], similarity).join(second, "_node").select("_key", "_node", "_root", "_before")
-        pairs = pairs.unionByName(rivals(again, similarity, fine_counts(used[-1]))).distinct()
+        again = cut(by_rare_words(used[-1], similarity).join(used[-1].select("_node", "_root"), "_node").select("_key", "_node", "_root", "_before"), "rare")
+        parts, counts = rounds(again), fine_counts(used[-1])
+        rare = [rivals(again, similarity, counts, k, parts) for k in range(parts)]
+        rare = rare if parts == 1 else [cut(x, "rivals") for x in rare]  # one after the other
+        pairs = reduce(DataFrame.unionByName, rare, pairs).distinct()
+        used += [again, *(rare if parts > 1 else [])]
     last = second if left.isEmpty() else linked(second, pairs, True)
     of = nodes.select("_node", "_id").join(last, "_node")
     least = cut(of.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_node")).alias("_least")), "least")
