@@ -57,8 +57,8 @@ CROWD_BLOCKS, COPIES = 8, 4
 DRAWS, STAR = 4, 1000
 #: Counters of words by hash that say which ones are rare (their number bounds what is broadcast).
 COUNTERS = 1 << 18
-#: Words of the runs that tell whether other classes have a text's passages; bits by hash that say so (a power of 2, which
-#: bounds what is broadcast), and those of a slice that one task merges.
+#: Words of the runs that tell whether other classes have a text's passages; bits by hash that say so, or which keys are
+#: shared (a power of 2, which bounds what is broadcast), and those of a slice that one task merges.
 RUNS, BITS, SLICE = (1, 2, 3), 1 << 26, 1 << 20
 #: Pairs whose fine counts are compared at once, and pairs that are made at once.
 AT_A_TIME, MADE_AT_ONCE = 1 << 10, 1 << 19
@@ -280,9 +280,34 @@ def sketch_rows(df: DataFrame, id_col: str, text_col: str, similarity: float = S
     return df.select(named(id_col), named(text_col)).mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows (_key, _node, _n) whose key several nodes have."""
-    many = cut(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key"), "many")
+def marked(keys: DataFrame) -> np.ndarray:
+    """BITS bits (as bytes), of which those are set that the lowest bits of the keys (_key) name."""
+    bit = F.pmod("_key", F.lit(BITS)) + 1
+    slices = keys.groupBy(F.bitmap_bucket_number(bit).alias("_slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for k, found in slices.collect():  # BITS bits at most
+        bits[(k - 1) * len(found) : k * len(found)] = np.frombuffer(found, np.uint8)[: len(bits)]
+    return bits
+
+
+def shared(nodes: DataFrame) -> DataFrame:
+    """The rows (_key, _node, _n) of nodes (_node, _n, _keys) whose key several nodes have.
+
+    Most keys are of one node. Of these, bits leave the less the fewer keys are shared, so that few rows are moved in vain.
+    """
+    many = cut(nodes.select(F.explode("_keys").alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select("_key"), "many")
+    spread = nodes.sparkSession.sparkContext.broadcast(marked(many))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            key, of = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            bit = key.to_numpy().view(np.uint64) & np.uint64(BITS - 1)
+            at = np.flatnonzero(spread.value[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+            of = pa.array(of[at])
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(at)), batch.column(0).take(of), batch.column(1).take(of)], names=["_key", "_node", "_n"])
+
+    rows = nodes.select("_node", "_n", "_keys").mapInArrow(run, "_key long, _node binary, _n long")
     found = cut(rows.join(many, "_key"), "shared")
     forget(many)
     return found
@@ -681,7 +706,7 @@ def node_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -
     rows = cut(with_nodes(df.select(named(id_col).alias("_id"), named(text_col).alias("_text")), "_text").select("_node", "_id"), "rows")
     sketched = sketch_rows(df, id_col, text_col, similarity)
     nodes = dealt_once(sketched.groupBy("_node").agg(F.min("_id").alias("_id"), *(F.first(c).alias(c) for c in ("_n", "_bins", "_keys", "_text"))), ["_node"], total, grouped=True)
-    met = shared(nodes.select(F.explode("_keys").alias("_key"), "_node", "_n"))
+    met = shared(nodes)
     texts = nodes.select("_node", "_text")
 
     def linked(classes: DataFrame, pairs: DataFrame, checked: bool = False) -> DataFrame:

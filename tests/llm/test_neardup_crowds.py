@@ -72,3 +72,21 @@ def test_classes_of_a_crowd_in_rounds(spark, monkeypatch):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     assert classes(spark, rows) == plain_classes(rows)
     assert "rare" in tags and tags.count("rivals") > 1
+
+
+def test_shared_keys_are_marked_and_their_rows_whole(spark, monkeypatch):
+    """110 of some 39,000 keys are shared: no more bits are set, and other rows stay where they are."""
+    rows = [(bytes([k // 256, k % 256]), k, [k * 7919 + i * 104729 << 20 | (k * 200 + i) for i in range(197)] + [-5 - k // 2, 1 << 62 | k % 9, 77]) for k in range(200)]
+    nodes = spark.createDataFrame(rows, "_node binary, _n long, _keys array<long>").repartition(3)
+    want = {}
+    for node, n, keys in rows:
+        for key in keys:
+            want.setdefault(key, []).append((key, node, n))
+    want = sorted(x for found in want.values() if len(found) > 1 for x in found)
+    for bits in (neardup.BITS, 1 << 15):
+        monkeypatch.setattr(neardup, "BITS", bits)
+        got = neardup.shared(nodes)
+        assert sorted((x["_key"], bytes(x["_node"]), x["_n"]) for x in got.collect()) == want
+        marked = np.unpackbits(neardup.marked(got), bitorder="little")
+        assert len(marked) == bits and {*np.flatnonzero(marked)} == {key % bits for key, _, _ in want}
+    assert len(want) == 600
